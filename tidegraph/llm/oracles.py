@@ -15,4 +15,22 @@ r AS (SELECT d.doc_id, d.size, g.source_size, g.target, CASE WHEN g.source_size
 SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM r
 """
 
-SQL = {"op6_source_mixing": MIXING}
+DECONTAMINATION = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS words FROM documents),
+b AS (SELECT DISTINCT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+i AS (SELECT item_id, words, least(10, len(words)) AS width FROM b WHERE len(words) > 0),
+iw AS (SELECT DISTINCT item_id, width, array_to_string(words[k : k + width - 1], ' ') AS win FROM i, unnest(range(1, len(words) - width + 2)) AS u(k)),
+dw AS (SELECT doc_id, width, k, array_to_string(words[k : k + width - 1], ' ') AS win
+       FROM d, (SELECT DISTINCT width FROM i), unnest(range(1, len(words) - width + 2)) AS u(k)),
+m AS (SELECT DISTINCT doc_id, k, dw.width AS width, item_id FROM dw JOIN iw ON dw.width = iw.width AND dw.win = iw.win),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM m, unnest(range(k, k + width)) AS u(p) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+SQL = {
+    "op2_benchmark_decontamination": DECONTAMINATION,
+    "op6_source_mixing": MIXING,
+}
