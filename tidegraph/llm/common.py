@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,15 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written once to the checkpoint folder that all executors share, its lineage cut.
-
-    The folder is the session's spark.checkpoint.dir; only where that is unset
-    (single-process tests) is one made here.
-    """
-    sc = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; made here only where none is set (single-process tests)."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp())
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written once to the checkpoint folder that all executors share, its lineage cut."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -40,3 +43,10 @@ def parallel(df: DataFrame, per_core: int = 1) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism * per_core
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def stage_table(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet under the shared checkpoint folder and read again."""
+    path = f"{checkpoint_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -178,7 +178,7 @@ def _concentrated(rows: DataFrame, estimates: DataFrame, share: float, few: bool
     return _factored(total.withColumns(scatter))
 
 
-def judged(docs: DataFrame, share: float = 0.6, steps: int = 4, cut: float = 1e-6, least: int = 50) -> DataFrame:
+def judged(docs: DataFrame, share: float = 0.6, steps: int = 4, cut: float = 1e-8, least: int = 50) -> DataFrame:
     """doc_id, the statistics, _failed, _distance (null without an estimate) and _kept of each row of docs.
 
     docs has doc_id, text, lang and source. cut: the part of normal data that may be rejected.
@@ -193,3 +193,9 @@ def judged(docs: DataFrame, share: float = 0.6, steps: int = 4, cut: float = 1e-
     out = _joined(rows, estimates, few).withColumn("_distance", _distance())
     kept = ~F.col("_failed") & F.coalesce(F.col("_distance") <= F.lit(chi_quantile(1 - cut, D)), F.lit(True))
     return out.withColumn("_kept", kept)
+
+
+def kept(docs: DataFrame, **settings) -> DataFrame:
+    """docs without the documents that the rules reject; a row without an id stays."""
+    gone = judged(docs, **settings).where("not _kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

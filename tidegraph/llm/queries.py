@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm import decontamination, mixing, oracles, quality_rules, simhash, token_counts
+from tidegraph.llm import decontamination, mixing, oracles, quality_rules, secrets, simhash, token_counts
 from tidegraph.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.findings(table(spark, sf_dir, "documents"), secrets.train(secrets.labelled_findings(spark)))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = {"_words": "n_words", "_chars": "word_chars", "_symbols": "n_symbols", "_dup_lines": "n_dup_lines", "_repeats": "n_repeat_words", "_failed": "base_failed", "_kept": "kept", "_distance": "distance"}
     return quality_rules.judged(table(spark, sf_dir, "documents")).select("doc_id", *(F.col(a).alias(b) for a, b in names.items()))
@@ -37,7 +41,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_benchmark_decontamination, op5_quality_rules, op6_source_mixing, op8_simhash_near_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op2_benchmark_decontamination, op4_secret_scan, op5_quality_rules, op6_source_mixing, op8_simhash_near_dedup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

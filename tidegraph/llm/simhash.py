@@ -198,3 +198,13 @@ def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4, seed: in
     least = linked.join(distinct, "fp").groupBy("root").agg(F.min("first").alias("least"))
     of = distinct.join(linked.join(least, "root").select("fp", "least"), "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
     return printed.join(of, "fp").select("doc_id", "fp", "component_id")
+
+
+def deduplicate(docs: DataFrame, distance: int = 4, width: int = 4, seed: int = 42) -> DataFrame:
+    """docs with one document of each group of near duplicates: the one with the smallest id.
+
+    Rows without an id stay; rows that repeat an id are one document and stay together.
+    """
+    found = near_duplicates(docs, distance, width, seed)
+    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
