@@ -30,7 +30,22 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
+SUBSTRINGS = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents),
+w AS (SELECT doc_id, k, array_to_string(words[k : k + 12], ' ') AS win FROM d, unnest(range(1, len(words) - 11)) AS u(k)),
+m AS (SELECT win, min(doc_id) AS least FROM w GROUP BY win HAVING count(*) > 1),
+h AS (SELECT doc_id, k FROM w JOIN m USING (win) WHERE doc_id > least),
+r AS (SELECT DISTINCT doc_id, p FROM h, unnest(range(k, k + 13)) AS u(p)),
+g AS (SELECT doc_id, count(*) AS n_removed, list(p) AS gone FROM r GROUP BY doc_id),
+x AS (SELECT doc_id, p, words[p] AS word FROM d JOIN g USING (doc_id), unnest(range(1, len(words) + 1)) AS u(p)),
+q AS (SELECT x.doc_id, string_agg(x.word, ' ' ORDER BY x.p) AS kept FROM x LEFT JOIN r ON x.doc_id = r.doc_id AND x.p = r.p WHERE r.p IS NULL GROUP BY x.doc_id)
+SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       sha256(CASE WHEN n_removed IS NULL THEN array_to_string(words, ' ') ELSE coalesce(kept, '') END) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id) LEFT JOIN q USING (doc_id)
+"""
+
 SQL = {
     "op2_benchmark_decontamination": DECONTAMINATION,
     "op6_source_mixing": MIXING,
+    "op7_substring_dedup": SUBSTRINGS,
 }
