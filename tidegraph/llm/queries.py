@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm import chat_format, decontamination, mixing, oracles, quality_rules, secrets, simhash, substring_dedup, token_counts
+from tidegraph.llm import chat_format, decontamination, mixing, oracles, quality_classifier, quality_rules, secrets, simhash, substring_dedup, token_counts
 from tidegraph.llm.common import table
 
 
@@ -47,12 +47,17 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_classifier.scores(docs, quality_classifier.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_benchmark_decontamination, op3_chat_format, op4_secret_scan, op5_quality_rules, op6_source_mixing, op7_substring_dedup, op8_simhash_near_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op2_benchmark_decontamination, op3_chat_format, op4_secret_scan, op5_quality_rules, op6_source_mixing, op7_substring_dedup, op8_simhash_near_dedup, op9_quality_classifier, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
