@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm import chat_format, decontamination, mixing, oracles, quality_classifier, quality_rules, secrets, simhash, substring_dedup, token_counts
+from tidegraph.llm import chat_format, decontamination, html_extraction, mixing, oracles, quality_classifier, quality_rules, secrets, simhash, substring_dedup, token_counts
 from tidegraph.llm.common import table
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -57,7 +61,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_benchmark_decontamination, op3_chat_format, op4_secret_scan, op5_quality_rules, op6_source_mixing, op7_substring_dedup, op8_simhash_near_dedup, op9_quality_classifier, op10_token_counts)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_benchmark_decontamination, op3_chat_format, op4_secret_scan, op5_quality_rules, op6_source_mixing, op7_substring_dedup, op8_simhash_near_dedup, op9_quality_classifier, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
