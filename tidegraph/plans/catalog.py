@@ -1,19 +1,459 @@
-"""Named queries of the graph engine and their SQL."""
+"""Named queries of the graph engine over the driver's tables; their SQL is in `plans.oracles`."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidegraph.functions import text as tx
+from tidegraph.functions import truth as tr
+from tidegraph.operators import cfg, contexts, dataflow, dependencies, fixpoint, reports, storage
+from tidegraph.plans import oracles
+from tidegraph.sources import documents as src
+from tidegraph.sources.programs import blocks, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+
+
+def named(f: Query) -> Query:
+    _QUERIES[f.__name__] = f
+    return f
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
+    """Reached and unreached blocks per kind of event."""
+    b = blocks(spark, sf_dir)
+    met = b.join(dataflow.reach(b).withColumn("reached", F.lit(True)), ["unit", "pos"], "left")
+    return met.groupBy("event_type").agg(F.count("reached").alias("reached"), F.count(F.when(F.col("reached").isNull(), 1)).alias("unreached"))
+
+
+# control-flow graphs
+
+
+@named
+def reach_by_kind(spark: SparkSession, d: str) -> DataFrame:
+    return flagship(spark, d)
+
+
+@named
+def cfg_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return cfg.nodes(blocks(spark, d))
+
+
+@named
+def cfg_edges(spark: SparkSession, d: str) -> DataFrame:
+    return cfg.edges(blocks(spark, d))
+
+
+@named
+def cfg_entry_edges(spark: SparkSession, d: str) -> DataFrame:
+    return cfg.entry_edges(blocks(spark, d))
+
+
+@named
+def cfg_edge_kind_counts(spark: SparkSession, d: str) -> DataFrame:
+    return cfg.kind_counts(cfg.edges(blocks(spark, d)))
+
+
+@named
+def cfg_invalid_edges(spark: SparkSession, d: str) -> DataFrame:
+    b = blocks(spark, d)
+    return cfg.invalid(cfg.edges(b), b)
+
+
+@named
+def cfg_invalid_edges_mutated(spark: SparkSession, d: str) -> DataFrame:
+    """The same check over edges of which every 97th place is moved past the end: it must find them."""
+    b = blocks(spark, d)
+    moved = cfg.edges(b).withColumn("dst", F.when(F.col("src") % 97 == 3, F.col("dst") + 1_000_000).otherwise(F.col("dst")))
+    return cfg.invalid(moved, b)
+
+
+@named
+def cfg_duplicate_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Of edges without their kinds, so that branches and returns that meet show."""
+    return cfg.duplicates(cfg.edges(blocks(spark, d)).withColumn("kind", F.lit("ANY")))
+
+
+@named
+def cfg_count_mismatches(spark: SparkSession, d: str) -> DataFrame:
+    b = blocks(spark, d)
+    return cfg.count_mismatches(cfg.edges(b), b)
+
+
+@named
+def open_control_edges(spark: SparkSession, d: str) -> DataFrame:
+    return cfg.open_edges(blocks(spark, d))
+
+
+@named
+def projection_issues(spark: SparkSession, d: str) -> DataFrame:
+    return cfg.issues(blocks(spark, d))
+
+
+@named
+def build_status(spark: SparkSession, d: str) -> DataFrame:
+    return cfg.build_status(blocks(spark, d))
+
+
+@named
+def unsupported_capabilities(spark: SparkSession, d: str) -> DataFrame:
+    return cfg.unsupported(blocks(spark, d), ["view", "click", "purchase"])
+
+
+# dataflow
+
+
+@named
+def reach_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return dataflow.reach(blocks(spark, d))
+
+
+@named
+def unreachable_blocks(spark: SparkSession, d: str) -> DataFrame:
+    b = blocks(spark, d)
+    return b.select("unit", "pos").join(dataflow.reach(b), ["unit", "pos"], "left_anti")
+
+
+@named
+def reach_bits(spark: SparkSession, d: str) -> DataFrame:
+    """unit, pos, state: 1 if reached, 2 more if control may come from an open block."""
+    b = blocks(spark, d)
+    reached = dataflow.reach(b)
+    opened = cfg.open_edges(b).join(reached.withColumnRenamed("pos", "src"), ["unit", "src"], "left_semi").select("unit", F.col("dst").alias("pos"), F.lit(2).alias("bit"))
+    return reached.select("unit", "pos", F.lit(1).alias("bit")).union(opened).groupBy("unit", "pos").agg(F.bit_or("bit").cast("long").alias("state"))
+
+
+@named
+def reverse_reach(spark: SparkSession, d: str) -> DataFrame:
+    return dataflow.reverse_reach(blocks(spark, d))
+
+
+@named
+def reaching_definitions(spark: SparkSession, d: str) -> DataFrame:
+    return dataflow.reaching_definitions(blocks(spark, d))
+
+
+@named
+def possible_values(spark: SparkSession, d: str) -> DataFrame:
+    return dataflow.possible_values(blocks(spark, d))
+
+
+@named
+def value_support(spark: SparkSession, d: str) -> DataFrame:
+    return dataflow.value_support(blocks(spark, d))
+
+
+@named
+def value_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return dataflow.candidates(dataflow.possible_values(blocks(spark, d)))
+
+
+@named
+def closed_everywhere(spark: SparkSession, d: str) -> DataFrame:
+    """unit, cell, n: cells closed at some reached block, minus those open at any (difference of fact sets)."""
+    c = dataflow.candidates(dataflow.possible_values(blocks(spark, d)))
+    held = c.where("not open").groupBy("unit", "cell").agg(F.count(F.lit(1)).alias("n"))
+    return held.join(c.where("open and pos > 0").select("unit", "cell"), ["unit", "cell"], "left_anti")
+
+
+@named
+def replay_points(spark: SparkSession, d: str) -> DataFrame:
+    return contexts.replay(blocks(spark, d))
+
+
+@named
+def last_writes(spark: SparkSession, d: str) -> DataFrame:
+    return contexts.last_writes(blocks(spark, d))
+
+
+@named
+def stack_contexts(spark: SparkSession, d: str) -> DataFrame:
+    return contexts.stacks(blocks(spark, d))
+
+
+@named
+def recursive_activations(spark: SparkSession, d: str) -> DataFrame:
+    return contexts.recursive(blocks(spark, d))
+
+
+@named
+def branch_pruned_values(spark: SparkSession, d: str) -> DataFrame:
+    return contexts.pruned_values(blocks(spark, d))
+
+
+# storage
+
+
+@named
+def segments(spark: SparkSession, d: str) -> DataFrame:
+    return storage.segments(storage.writes(blocks(spark, d)))
+
+
+@named
+def covered_segments(spark: SparkSession, d: str) -> DataFrame:
+    return storage.covered_segments(storage.writes(blocks(spark, d)))
+
+
+@named
+def overlapping_writes(spark: SparkSession, d: str) -> DataFrame:
+    return storage.overlaps(storage.writes(blocks(spark, d)))
+
+
+@named
+def coalesced_ranges(spark: SparkSession, d: str) -> DataFrame:
+    return storage.coalesced(storage.writes(blocks(spark, d)))
+
+
+@named
+def copy_components(spark: SparkSession, d: str) -> DataFrame:
+    return storage.copy_components(blocks(spark, d))
+
+
+@named
+def alias_closure(spark: SparkSession, d: str) -> DataFrame:
+    return storage.resolved(storage.aliases(blocks(spark, d)))[0]
+
+
+@named
+def alias_cycles(spark: SparkSession, d: str) -> DataFrame:
+    return storage.resolved(storage.aliases(blocks(spark, d)))[1]
+
+
+# dependencies
+
+
+def _sites(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    b = blocks(spark, d)
+    values = dataflow.possible_values(b)
+    return b, dependencies.call_sites(b, dataflow.reach(b), values), values
+
+
+@named
+def call_sites(spark: SparkSession, d: str) -> DataFrame:
+    return _sites(spark, d)[1]
+
+
+@named
+def call_candidates(spark: SparkSession, d: str) -> DataFrame:
+    _, sites, values = _sites(spark, d)
+    return dependencies.call_candidates(sites, values)
+
+
+@named
+def call_edges(spark: SparkSession, d: str) -> DataFrame:
+    _, sites, values = _sites(spark, d)
+    return dependencies.call_edges(dependencies.call_candidates(sites, values))
+
+
+@named
+def site_classification(spark: SparkSession, d: str) -> DataFrame:
+    return dependencies.classification(_sites(spark, d)[1])
+
+
+@named
+def target_resolution(spark: SparkSession, d: str) -> DataFrame:
+    b, sites, values = _sites(spark, d)
+    return dependencies.target_resolution(dependencies.call_candidates(sites, values), b)
+
+
+@named
+def unresolved_sites(spark: SparkSession, d: str) -> DataFrame:
+    _, sites, values = _sites(spark, d)
+    return dependencies.uncorrelated(sites, dependencies.call_candidates(sites, values))
+
+
+@named
+def conditional_values(spark: SparkSession, d: str) -> DataFrame:
+    _, sites, values = _sites(spark, d)
+    return dependencies.conditional_values(sites, values)
+
+
+@named
+def file_sites(spark: SparkSession, d: str) -> DataFrame:
+    b = blocks(spark, d)
+    return dependencies.file_sites(b, dataflow.possible_values(b))
+
+
+@named
+def source_dependencies(spark: SparkSession, d: str) -> DataFrame:
+    return dependencies.source_dependencies(table(spark, d, "pages"))
+
+
+# closures over the parts and suppliers of orders, across all units
+
+
+def _graph(spark: SparkSession, d: str) -> DataFrame:
+    """src, dst: orders use parts, parts use suppliers; supplier s leads to parts of number 7 s."""
+    items = table(spark, d, "lineitem")
+    uses = items.select(F.concat(F.lit("o"), "l_orderkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"))
+    made = items.where("l_linenumber = 1").select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"))
+    back = items.where("l_suppkey % 10 = 0").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), F.col("l_suppkey") * 7).alias("dst"))
+    return uses.union(made).union(back).distinct()
+
+
+@named
+def proof_closure(spark: SparkSession, d: str) -> DataFrame:
+    seeds = table(spark, d, "orders").where("o_orderkey % 500 = 1").select(F.concat(F.lit("o"), "o_orderkey").alias("node"))
+    return fixpoint.closure(_graph(spark, d), seeds)
+
+
+def _rules(spark: SparkSession, d: str) -> DataFrame:
+    """rule, premise, head: an order holds when its parts of two lines or fewer do, a part when its supplier does."""
+    items = table(spark, d, "lineitem")
+    order = items.where("l_linenumber <= 2").select(F.concat(F.lit("o"), "l_orderkey").alias("rule"), F.concat(F.lit("p"), "l_partkey").alias("premise"), F.concat(F.lit("o"), "l_orderkey").alias("head"))
+    part = items.where("l_linenumber = 1").select(F.concat(F.lit("r"), "l_orderkey").alias("rule"), F.concat(F.lit("s"), "l_suppkey").alias("premise"), F.concat(F.lit("p"), "l_partkey").alias("head"))
+    return order.union(part).distinct()
+
+
+@named
+def and_closure(spark: SparkSession, d: str) -> DataFrame:
+    seeds = table(spark, d, "supplier").where("s_suppkey % 3 <> 0").select(F.concat(F.lit("s"), "s_suppkey").alias("node"))
+    return fixpoint.and_closure(_rules(spark, d), seeds)
+
+
+@named
+def assumed_only(spark: SparkSession, d: str) -> DataFrame:
+    """Heads of rules that do not follow from the seeds."""
+    return _rules(spark, d).select(F.col("head").alias("node")).distinct().join(and_closure(spark, d), "node", "left_anti")
+
+
+# scalar functions, over whole texts
+
+
+def _texts(spark: SparkSession, d: str, column: Callable[[Column], Column]) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", column(F.col("text")).alias("value"))
+
+
+def _words(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, word, at: the texts' words between spaces."""
+    return table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("at", "word"))
+
+
+for _name, _column in {
+    "text_fit": lambda t: tx.fit(t, 40, "*"),
+    "text_slice": lambda t: tx.piece(t, F.lit(5), F.lit(25)),
+    "text_fill_concat": lambda t: F.concat(tx.fill("-", F.length(t) % 7), F.substring(t, 1, 3)),
+    "text_trim": lambda t: F.concat(F.lit("["), tx.trimmed(F.substring(t, 1, 12)), F.lit("]")),
+    "text_upper_ascii": tx.upper_ascii,
+    "text_sha256": lambda t: F.sha2(t, 256),
+    "text_key": lambda t: tx.key_of(F.substring(t, 1, 6), F.substring(t, 3, 9)),
+    "text_ascii": lambda t: F.hex(tx.to_ascii(F.substring(t, 1, 24))),
+}.items():
+    _QUERIES[_name] = lambda spark, d, c=_column: _texts(spark, d, c)
+
+
+@named
+def is_digits(spark: SparkSession, d: str) -> DataFrame:
+    return _words(spark, d).groupBy("doc_id").agg(F.count(F.when(tx.is_digits(F.col("word")), 1)).alias("n_digits"), F.count(F.lit(1)).alias("n"))
+
+
+@named
+def name_rules(spark: SparkSession, d: str) -> DataFrame:
+    """name, calls, transactions, files: capitalised words by the three rules for names."""
+    w = F.rpad(tx.upper_ascii(F.col("word")), 8, " ")
+    rows = _words(spark, d).select(tx.call_name(w).alias("call"), tx.fixed_name(w, 8).alias("transaction"), tx.fixed_name(tx.upper_ascii(F.col("word")), 8, computed=False).alias("file"))
+    each = rows.select(F.explode(F.array(*(F.struct(F.lit(k).alias("rule"), F.col(k).alias("name")) for k in ("call", "transaction", "file")))).alias("x"))
+    return each.select("x.rule", "x.name").where("name is not null").groupBy("rule", "name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@named
+def truth_tables(spark: SparkSession, d: str) -> DataFrame:
+    a, b = (spark.range(1, 4).select(F.col("id").cast("int").alias(x)) for x in "ab")
+    rows = a.join(b, F.lit(True))  # nine rows
+    return rows.select("a", "b", tr.both_hold(F.col("a"), F.col("b")).alias("both_hold"), tr.either_holds(F.col("a"), F.col("b")).alias("either_holds"), tr.negate(F.col("a")).alias("negated"))
+
+
+@named
+def padded_equality(spark: SparkSession, d: str) -> DataFrame:
+    """Nations' names against their padded or shortened forms."""
+    n = table(spark, d, "nation")
+    other = F.when(F.col("n_nationkey") % 3 == 0, F.concat("n_name", F.lit("  "))).when(F.col("n_nationkey") % 3 == 1, F.col("n_name")).otherwise(F.concat("n_name", F.lit(" x")))
+    return n.select("n_nationkey", tx.padded_equal(F.col("n_name"), other).alias("result"))
+
+
+@named
+def candidate_equality(spark: SparkSession, d: str) -> DataFrame:
+    """unit, pos, result: whether cells 0 and 1 are equal at each reached block, as a truth."""
+    c = dataflow.candidates(dataflow.possible_values(blocks(spark, d)))
+    one = lambda k: c.where(F.col("cell") == k).select("unit", "pos", F.filter(F.split("vals", r"\|"), lambda x: x != "").alias(f"v{k}"), F.col("open").alias(f"o{k}"))
+    met = one(0).join(one(1), ["unit", "pos"])
+    return met.select("unit", "pos", tr.equal(F.col("v0"), F.col("v1"), F.col("o0") | F.col("o1")).alias("result"))
+
+
+@named
+def numeric_comparison(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").cast("decimal(18,2)").alias("p"))
+    return o.select("o_orderkey", *(tr.compare(F.col("p"), op, F.lit("150000.00").cast("decimal(18,2)")).alias(op.lower()) for op in ("LT", "GE", "EQ", "NE")))
+
+
+# sources and reports
+
+
+@named
+def artifact_receipts(spark: SparkSession, d: str) -> DataFrame:
+    return src.receipts(table(spark, d, "pages"), "page_id", "html")
+
+
+@named
+def evidence_rows(spark: SparkSession, d: str) -> DataFrame:
+    return src.decoded(table(spark, d, "events"))
+
+
+@named
+def invalid_evidence(spark: SparkSession, d: str) -> DataFrame:
+    return src.rejected(table(spark, d, "events"))
+
+
+@named
+def cfg_documents(spark: SparkSession, d: str) -> DataFrame:
+    return src.cfg_documents(cfg.edges(blocks(spark, d)))
+
+
+@named
+def timing_stats(spark: SparkSession, d: str) -> DataFrame:
+    return reports.timing_stats(table(spark, d, "events").select("event_type", F.col("value").alias("seconds"), "event_id"), "event_type", "seconds", "event_id")
+
+
+@named
+def vector_diff(spark: SparkSession, d: str) -> DataFrame:
+    """Of each kind, which (user, whole value) went and came between the first and the second half of events."""
+    e = table(spark, d, "events")
+    half = lambda k: e.where(F.col("event_id") % 2 == k).select(F.col("event_type").alias("key"), F.floor("value").alias("value"))
+    return reports.difference(half(0), half(1))
+
+
+@named
+def gap_report(spark: SparkSession, d: str) -> DataFrame:
+    return reports.gaps(cfg.issues(blocks(spark, d)))
+
+
+def _requests(b: DataFrame) -> DataFrame:
+    """batch, consumer, unit, pos, cell: what three consumers ask, with what they ask in common."""
+    first = b.where("event_type = 'purchase'").select(F.lit("values").alias("batch"), F.lit("calls").alias("consumer"), "unit", "pos", F.lit(0).cast("long").alias("cell"))
+    second = b.where("k < 50 and event_type in ('purchase', 'view')").select(F.lit("values").alias("batch"), F.lit("files").alias("consumer"), "unit", "pos", (F.col("k") % 2).alias("cell"))
+    third = b.where("event_type = 'error'").select(F.lit("regions").alias("batch"), F.lit("audit").alias("consumer"), "unit", "pos", "cell")
+    return first.unionByName(second).unionByName(third)
+
+
+@named
+def query_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return reports.deduplicated(_requests(blocks(spark, d)))
+
+
+@named
+def request_status(spark: SparkSession, d: str) -> DataFrame:
+    b = blocks(spark, d)
+    out = reports.answered(_requests(b), dataflow.possible_values(b), F.col("batch") == "values")
+    return out.groupBy("batch", "consumer", "status").agg(F.count(F.lit(1)).alias("requests"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("facts"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
