@@ -38,7 +38,7 @@ def coalesced(ranges: DataFrame) -> DataFrame:
     """unit, base, start, end: ranges that overlap or touch made one (gaps and islands)."""
     order = Window.partitionBy("unit", "base").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    starts = ranges.withColumn("new", F.when(F.col("start") <= reach, 0).otherwise(1))
+    starts = ranges.select("unit", "base", "start", "end").distinct().withColumn("new", F.when(F.col("start") <= reach, 0).otherwise(1))
     island = F.sum("new").over(Window.partitionBy("unit", "base").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0))
     return starts.withColumn("island", island).groupBy("unit", "base", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 

@@ -131,7 +131,7 @@ SQL = {
         WINDOW o AS (PARTITION BY unit, base ORDER BY pos)) WHERE a IS NOT NULL AND s < f0 AND s0 < f""",
     "coalesced_ranges": BASE + RANGES + """SELECT unit, base, min(s) AS "start", max(f) AS "end" FROM (
         SELECT *, sum(new) OVER (PARTITION BY unit, base ORDER BY s, f ROWS UNBOUNDED PRECEDING) AS island FROM (
-        SELECT *, CASE WHEN s <= max(f) OVER (PARTITION BY unit, base ORDER BY s, f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM w)) GROUP BY unit, base, island""",
+        SELECT *, CASE WHEN s <= max(f) OVER (PARTITION BY unit, base ORDER BY s, f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM (SELECT DISTINCT unit, base, s, f FROM w))) GROUP BY unit, base, island""",
     "copy_components": BASE + """, y AS (SELECT unit, source AS p, cell AS q FROM x WHERE action = 1 UNION SELECT unit, cell, source FROM x WHERE action = 1),
         z AS (SELECT unit, c AS cell, c AS seen FROM l, (SELECT unnest([0, 1, 2, 3])::BIGINT AS c) UNION SELECT z.unit, z.cell, y.q FROM z JOIN y ON y.unit = z.unit AND y.p = z.seen)
         SELECT unit, cell, min(seen) AS component FROM z GROUP BY unit, cell""",
