@@ -41,6 +41,8 @@ _NIBBLE = np.array([sum(((n >> b) & 1) << (16 * b) for b in range(4)) for n in r
 _LOW, _HIGH = _NIBBLE[np.arange(256) & 15], _NIBBLE[np.arange(256) >> 4]
 #: Hashes added up in counters of 16 bits at a time.
 _BLOCK = 32768
+#: A fingerprint is hot from one row in so many on.
+SHARES = 1000
 
 
 def fingerprints_of(texts: list[bytes], width: int = 4, seed: int = 42) -> np.ndarray:
@@ -192,12 +194,17 @@ def links(fps: DataFrame, distance: int = 4) -> DataFrame:
 def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4, seed: int = 42) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id reachable) for each row of docs (doc_id, text)."""
     printed = checkpointed(fingerprints(docs, width, seed))
-    distinct = checkpointed(printed.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    distinct = checkpointed(printed.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
     roots = components(links(distinct.select("fp"), distance))
     linked = roots.union(roots.select("root", "root").distinct()).toDF("fp", "root")
     least = linked.join(distinct, "fp").groupBy("root").agg(F.min("first").alias("least"))
-    of = distinct.join(linked.join(least, "root").select("fp", "least"), "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return printed.join(of, "fp").select("doc_id", "fp", "component_id")
+    of = checkpointed(distinct.join(linked.join(least, "root").select("fp", "least"), "fp", "left").select("fp", "n", F.coalesce("least", "first").alias("component_id")))
+    # at most SHARES fingerprints can have that share of all rows: those are broadcast, the others have no hot key left
+    total = of.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(of.where(F.col("n") * SHARES >= total).select("fp", "component_id"))
+    rest = of.where(F.col("n") * SHARES < total).select("fp", "component_id")
+    every = printed.join(hot, "fp").unionByName(printed.join(hot.select("fp"), "fp", "left_anti").join(rest, "fp"))
+    return every.select("doc_id", "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame, distance: int = 4, width: int = 4, seed: int = 42) -> DataFrame:
