@@ -34,6 +34,8 @@ from tidegraph.llm.batches import PIECE, joined, pieces, span_hashes
 from tidegraph.llm.common import parallel
 
 SPACE, LINE = 32, 10
+#: The model's mark for a space, which reads the same where a text holds it.
+MARK = "▁".encode()
 
 
 class Transducer:
@@ -82,6 +84,7 @@ class Transducer:
 
     def texts(self, texts: list[bytes]) -> np.ndarray:
         """Tokens of each text, none of them long."""
+        texts = [t.replace(MARK, b" ") for t in texts]
         raw = b" " + b"\n ".join(texts) + b"\n"
         data = np.frombuffer(raw, np.uint8)
         starts, line = self.points(data)
@@ -135,7 +138,7 @@ class Transducer:
 
     def long_text(self, text: bytes, size: int = PIECE) -> int:
         """Tokens of a text of any length, from the maps of its chunks."""
-        text = b" " + text
+        text = b" " + text.replace(MARK, b" ")
         cuts = [0]
         while cuts[-1] < len(text):
             to = min(cuts[-1] + size, len(text))
