@@ -51,6 +51,8 @@ MARKS = frozenset(
     "copyright form search login signup subscribe newsletter comment comments replies reply disqus discussion respond share sharing social related recommended "
     "trending contentinfo complementary skip".split()
 )
+#: Of these, marks of what readers or the site add; an article in there is no main text.
+ADDED = frozenset("comment comments replies reply disqus discussion respond related recommended trending".split())
 PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol blockquote pre td th tr table tbody thead figcaption figure dl dt dd".split())
 MAIN = frozenset(("article", "main"))
 GAMMA = 0.9
@@ -62,24 +64,25 @@ class Page(NamedTuple):
     tag: list[str]
     parent: list[int]
     label: list[str]
-    noise: list[bool]
+    noise: list[int]
     blocks: list[tuple[int, str]]
     links: list[int]
 
 
-def _marked(attributes: str) -> tuple[str, bool]:
-    """Class and id as part of a label, and whether a name in them marks no content."""
-    label, noise = "", False
+def _marked(attributes: str) -> tuple[str, int]:
+    """Class and id as part of a label, and whether a name in them marks no content (1) or an addition (2)."""
+    label, noise = "", 0
     for kind, a, b, c in _ATTRIBUTE.findall(attributes):
         value = a or b or c
-        noise = noise or any(x.lower() in MARKS for x in _NAME.findall(value))
+        names = {x.lower() for x in _NAME.findall(value)}
+        noise = max(noise, 2 if names & ADDED else 1 if names & MARKS else 0)
         if kind.lower() != "role":
             label += f".{' '.join(sorted(re.sub('[0-9]+', '0', value).split()))}"
     return label, noise
 
 
 def parse(html: str) -> Page:
-    page = Page([""], [-1], [""], [False], [], [0])
+    page = Page([""], [-1], [""], [0], [], [0])
     stack, buffer = [0], []
     linked = 0
 
@@ -132,7 +135,7 @@ def parse(html: str) -> Page:
             if tag == "hr":
                 flush()
             continue
-        label, noise = _marked(m[3]) if m[3] and not m[3].isspace() else ("", False)
+        label, noise = _marked(m[3]) if m[3] and not m[3].isspace() else ("", 0)
         if tag in INLINE and not noise:
             continue
         flush()
@@ -211,7 +214,7 @@ def main_text(html: str, host: str, values: dict[int, tuple[float, float, int]],
     for i in range(1, n):
         up = page.parent[i]
         inside[i] = inside[up] or page.tag[i] in MAIN
-        by_name = page.noise[i] and not (page.tag[i] in ("html", "body", "main") or holds[i])
+        by_name = page.noise[i] > 0 and not (page.tag[i] in ("html", "body", "main") or holds[i] and page.noise[i] == 1)
         gone[i] = gone[up] or page.tag[i] in NOISE or by_name or page.tag[i] == "header" and not inside[up] and not holds[i]
     # importance from below: own, and the mean of the children's
     total, count, alive = [0.0] * n, [0] * n, [False] * n
