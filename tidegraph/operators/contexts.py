@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegraph.operators import cfg
 from tidegraph.operators.dataflow import CELLS, REACHED, UNKNOWN, _entry, _inside, _valued
-from tidegraph.operators.fixpoint import FACT, GROUP, Transfer, fact, solve
+from tidegraph.operators.fixpoint import GROUP, Transfer, by_unit, fact, solve
 from tidegraph.sources.programs import LITERAL
 
 #: Blocks of a straight run between replay points.
@@ -33,7 +33,7 @@ def replay(blocks: DataFrame) -> DataFrame:
 def _stacked(block: dict, held: tuple) -> list:
     stack = held[1]
     if block["event_call"]:
-        return [(REACHED, f"{stack}/{int(block['pos'])}", -1)]
+        return [(REACHED, f"{stack}/{block['pos']}", -1)]
     if block["event_return"] and stack:
         return [(REACHED, stack.rsplit("/", 1)[0], -1)]
     return [held]
@@ -91,15 +91,13 @@ def pruned_values(blocks: DataFrame) -> DataFrame:
     edges = cfg.edges(blocks).where("dst >= 0").select("unit", F.col("src").alias("pos"), "dst", "kind")
     flow = blocks.select("unit", "pos", "cell", "action", "source", "literal").join(edges, ["unit", "pos"], "left")
 
-    def solve_unit(rows):
-        import pandas as pd
-
+    def solve_unit(rows: list[dict]) -> list[tuple]:
         after: dict[int, list] = {}
         block = {}
-        for r in rows.to_dict("records"):
+        for r in rows:
             block[r["pos"]] = r
-            if not pd.isna(r["dst"]):
-                after.setdefault(r["pos"], []).append((int(r["dst"]), r["kind"]))
+            if r["dst"] is not None:
+                after.setdefault(r["pos"], []).append((r["dst"], r["kind"]))
         start = {(REACHED, "", -1), *((c, UNKNOWN, -1) for c in range(CELLS))}
         state, work = {0: start}, [0]
         while work:
@@ -114,7 +112,6 @@ def pruned_values(blocks: DataFrame) -> DataFrame:
                 if not out <= old:
                     state[to] = old | out
                     work.append(to)
-        unit = rows["unit"].iloc[0]
-        return pd.DataFrame([(unit, at, c, v, -1) for at, s in state.items() for c, v, _ in s if c != REACHED], columns=["unit", "pos", "cell", "val", "prod"])
+        return [(at, *f) for at, s in state.items() for f in s if f[0] != REACHED]
 
-    return flow.groupBy("unit").applyInPandas(solve_unit, FACT).drop("prod")
+    return by_unit(flow, solve_unit).drop("prod")

@@ -45,7 +45,7 @@ def reverse_reach(blocks: DataFrame, group: int = GROUP) -> DataFrame:
 
 def _defined(block: dict, held: tuple) -> list:
     if held[0] == REACHED:
-        return [held, (int(block["cell"]), "", int(block["pos"]))]
+        return [held, (block["cell"], "", block["pos"])]
     return [] if held[0] == block["cell"] else [held]
 
 
@@ -67,12 +67,12 @@ def _valued(block: dict, held: tuple) -> list:
     if held[0] == REACHED:
         out.append(held)
         if block["action"] != COPY:
-            out.append((int(block["cell"]), block["literal"] if block["action"] == LITERAL else UNKNOWN, int(block["pos"])))
+            out.append((block["cell"], block["literal"] if block["action"] == LITERAL else UNKNOWN, block["pos"]))
     else:
         if held[0] != block["cell"]:
             out.append(held)
         if block["action"] == COPY and held[0] == block["source"]:
-            out.append((int(block["cell"]), held[1], held[2]))
+            out.append((block["cell"], held[1], held[2]))
     return out
 
 

@@ -2,18 +2,18 @@
 
 A fact (cell, val, prod) holds at a block's entry; a transfer says what a block
 makes of it, and the results hold at the entry of every successor. All analyses
-are inside a unit. Units of up to `GROUP` blocks are solved each in a grouped
-map, which costs one shuffle; larger ones by a loop of joins over whatever is
+are inside a unit. Units of up to `GROUP` blocks are solved each by itself in a
+task, which costs one shuffle; larger ones by a loop of joins over whatever is
 new (semi-naive), with a checkpoint a round, so that no unit has to fit a task.
 """
 
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +22,7 @@ from tidegraph.operators.shared import checkpointed
 #: Blocks of a unit that one task solves.
 GROUP = 20_000
 FACT = "unit long, pos long, cell long, val string, prod long"
+_NAMES, _TYPES = ["unit", "pos", "cell", "val", "prod"], [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
 Fact = tuple[int, str, int]
 
 
@@ -40,29 +41,62 @@ def fact(cell: Column, val: Column, prod: Column) -> Column:
     return F.struct(cell.cast("long").alias("cell"), val.alias("val"), prod.cast("long").alias("prod"))
 
 
+def by_unit(flow: DataFrame, solve: Callable[[list[dict]], Iterable[tuple]]) -> DataFrame:
+    """Facts that solve finds from all rows of a unit, unit after unit of sorted partitions.
+
+    Partitions hold many units each, and are read as a stream: one unit is in memory at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        out: list[tuple] = []
+
+        def given() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _TYPES, strict=True)], _NAMES)
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and row["unit"] != held[-1]["unit"]:
+                    out.extend((held[0]["unit"], *f) for f in solve(held))
+                    held = []
+                    if len(out) > 50_000:
+                        yield given()
+                        out.clear()
+                held.append(row)
+        if held:
+            out.extend((held[0]["unit"], *f) for f in solve(held))
+        if out:
+            yield given()
+
+    return flow.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, FACT)
+
+
 def _grouped(flow: DataFrame, transfer: Transfer) -> DataFrame:
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+    alone = transfer.alone
+
+    def solve(rows: list[dict]) -> Iterable[tuple]:
         after: dict[int, list[int]] = {}
         block: dict[int, dict] = {}
         found: set[tuple[int, Fact]] = set()
-        for r in rows.to_dict("records"):
-            block[r["pos"]] = r
-            if not pd.isna(r["dst"]):
-                after.setdefault(r["pos"], []).append(int(r["dst"]))
-            for c, v, p in zip(r["s_cell"], r["s_val"], r["s_prod"], strict=True):
-                found.add((r["pos"], (int(c), v, int(p))))
+        for r in rows:
+            at = r["pos"]
+            block[at] = r
+            if r["dst"] is not None:
+                after.setdefault(at, []).append(r["dst"])
+            found.update((at, f) for f in zip(r["s_cell"], r["s_val"], r["s_prod"], strict=True))
         work = deque(found)
         while work:
             at, held = work.popleft()
-            for made in transfer.alone(block[at], held):
-                for to in after.get(at, ()):
-                    if (to, made) not in found:
-                        found.add((to, made))
-                        work.append((to, made))
-        unit = rows["unit"].iloc[0]
-        return pd.DataFrame([(unit, at, *f) for at, f in found], columns=["unit", "pos", "cell", "val", "prod"])
-
-    return flow.groupBy("unit").applyInPandas(solve, FACT)
+            to = after.get(at)
+            for made in alone(block[at], held) if to else ():
+                for x in to:
+                    new = (x, made)
+                    if new not in found:
+                        found.add(new)
+                        work.append(new)
+        return [(at, *f) for at, f in found]
+
+    return by_unit(flow, solve)
 
 
 def _joined(flow: DataFrame, transfer: Transfer, most_rounds: int) -> DataFrame:
