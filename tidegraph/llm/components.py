@@ -14,17 +14,16 @@ def _lowest(edges: DataFrame) -> DataFrame:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node's higher neighbours are tied to its lowest neighbour (or to itself)."""
-    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = edges.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
     low = _lowest(both).withColumn("m", F.least("u", "m"))
-    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    """Each node and its lower neighbours are tied to the lowest of them."""
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-    low = _lowest(down)
-    moved = down.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return low.select("u", F.col("m").alias("v")).union(moved).distinct()
+    """Each node and its lower neighbours are tied to the lowest of them; repeated ties are left out."""
+    down = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    tied = down.join(_lowest(down), "u").select(F.inline(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))))
+    return tied.where("u <> v").distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -33,7 +32,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Every round is written to the checkpoint folder, so a lost executor costs
     no more than the round under way. Only two numbers a round reach the driver.
     """
-    state = checkpointed(_small_star(edges))
+    state = checkpointed(_small_star(checkpointed(edges.select("u", "v").distinct())))
     seen = None
     for _ in range(most_rounds):
         now = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
