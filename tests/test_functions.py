@@ -71,3 +71,33 @@ def test_mutated_edges_are_found(spark):
     assert {tuple(r) for r in e.collect()} == {(1, 0, 1, "JUMP"), (1, 1, -2, "HALT")}
     assert cfg.invalid(e, b).count() == 0
     assert cfg.invalid(e.withColumn("dst", F.col("dst") + 7), b).count() == 2
+
+
+def test_code_page_1047_round_trip(spark):
+    from tidegraph.functions.codecs import decoding_1047, from_1047, to_1047
+
+    assert len(set(decoding_1047())) == 256
+    rows = spark.createDataFrame([("HELLO [x]^\n",), ("日",), (None,)], "t string")
+    got = [tuple(r) for r in rows.select("t", F.hex(to_1047("t")), from_1047(to_1047("t"))).collect()]
+    assert got == [("HELLO [x]^\n", "C8C5D3D3D640ADA7BD5F15", "HELLO [x]^\n"), ("日", None, None), (None, None, None)]
+
+
+def test_peeling_leaves_cycles_and_what_needs_them(spark):
+    from tidegraph.operators.evidence import ungrounded
+
+    p = spark.createDataFrame([(1, 2), (2, None), (3, 4), (4, 3), (5, 4), (6, 1)], "proof long, needs long")
+    assert {r.proof for r in ungrounded(p).collect()} == {3, 4, 5}
+
+
+def test_stream_solves_changed_units_again(spark, tmp_path):
+    from tidegraph.operators import dataflow
+    from tidegraph.sources.programs import blocks
+    from tidegraph.streaming.incremental import current, events_stream, keep_current
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    folders = [str(tmp_path / x) for x in ("in", "log", "facts", "checkpoint")]
+    for part in (events.where("event_id < 700"), events.where("event_id >= 700 and user_id % 2 = 0")):
+        part.write.mode("append").parquet(folders[0])
+        keep_current(events_stream(spark, folders[0]), *folders[1:]).awaitTermination()
+    want = dataflow.reach(blocks(spark, events.where("event_id < 700 or user_id % 2 = 0")))
+    assert sorted(current(spark, folders[2]).select("unit", "pos").collect()) == sorted(want.collect())

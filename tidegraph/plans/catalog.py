@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidegraph.functions import text as tx
 from tidegraph.functions import truth as tr
-from tidegraph.operators import cfg, contexts, dataflow, dependencies, fixpoint, reports, storage
+from tidegraph.operators import cfg, contexts, dataflow, dependencies, evidence, fixpoint, reports, storage
 from tidegraph.plans import oracles
 from tidegraph.sources import documents as src
 from tidegraph.sources.programs import blocks, table
@@ -321,6 +321,48 @@ def assumed_only(spark: SparkSession, d: str) -> DataFrame:
     return _rules(spark, d).select(F.col("head").alias("node")).distinct().join(and_closure(spark, d), "node", "left_anti")
 
 
+@named
+def demanded_cells(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.demanded_cells(blocks(spark, d))
+
+
+@named
+def separation_premises(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.separations(blocks(spark, d))
+
+
+@named
+def local_control_rules(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.local_rules(blocks(spark, d))
+
+
+@named
+def byte_images(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.images(storage.writes(blocks(spark, d)))
+
+
+@named
+def closed_on_all_ways(spark: SparkSession, d: str) -> DataFrame:
+    b = blocks(spark, d)
+    closed = dataflow.candidates(dataflow.possible_values(b)).where("not open").select("unit", "pos", "cell")
+    return evidence.met_on_all_ways(cfg.edges(b), closed)
+
+
+@named
+def system_context(spark: SparkSession, d: str) -> DataFrame:
+    b = blocks(spark, d)
+    return evidence.system_context(b, dataflow.possible_values(b))
+
+
+@named
+def proof_cycles(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers whose parts (numbers seven and eleven times theirs, up to the last supplier) lead back to them."""
+    s = table(spark, d, "supplier").select("s_suppkey")
+    last = s.agg(F.max("s_suppkey").alias("last"))
+    ways = s.join(F.broadcast(last)).select(F.col("s_suppkey").alias("proof"), F.explode(F.array(F.col("s_suppkey") * 7, F.col("s_suppkey") * 11 % (F.col("last") + 1))).alias("needs"), "last")  # last is one row
+    return evidence.ungrounded(ways.where("needs <= last and proof % 5 <> 4").select("proof", "needs"))
+
+
 # scalar functions, over whole texts
 
 

@@ -197,3 +197,24 @@ SQL["query_dedup"] = BASE + _REQUESTS + "SELECT batch, count(*) AS raw, count(DI
 SQL["request_status"] = BASE + SUPPORT + _REQUESTS + """SELECT batch, consumer, CASE WHEN batch <> 'values' THEN 'NOT_STARTED' WHEN n IS NULL THEN 'UNREACHABLE' ELSE 'COMPLETE' END AS status,
     count(*) AS requests, coalesce(sum(CASE WHEN batch = 'values' THEN n END), 0)::BIGINT AS facts
     FROM (SELECT DISTINCT * FROM rq) q LEFT JOIN (SELECT unit, pos, cell, count(*) AS n FROM v GROUP BY ALL) f USING (unit, pos, cell) GROUP BY ALL"""
+SQL |= {
+    "demanded_cells": BASE + """, z AS (SELECT unit, 0::BIGINT AS cell FROM l UNION SELECT x.unit, x.source FROM z JOIN x ON x.unit = z.unit AND x.cell = z.cell AND x.action = 1) SELECT unit, cell FROM z""",
+    "separation_premises": BASE + """, m AS (SELECT DISTINCT unit, event_type, k // 20 AS premise, cell FROM x)
+        SELECT a.unit, a.cell AS a, b.cell AS b, count(*) AS n FROM m a JOIN m b ON a.unit = b.unit AND a.event_type = b.event_type AND a.premise = b.premise AND a.cell < b.cell GROUP BY ALL""",
+    "local_control_rules": BASE + """, q AS (SELECT x.*, last FROM x JOIN l USING (unit)), c AS (SELECT * FROM q WHERE event_type = 'error' AND k % 4 = 0 AND k % 10 <> 0)
+        SELECT unit, pos, 'INVOKE' AS rule, pos + 1 AS to FROM c WHERE pos < last UNION ALL SELECT unit, pos, 'RESUME', pos + 2 FROM c WHERE pos + 2 <= last
+        UNION ALL SELECT unit, pos, 'BOUNDARY', pos FROM q WHERE event_type = 'view' AND k % 2 = 0 UNION ALL SELECT unit, pos, 'UNWIND', 0 FROM q WHERE event_type = 'error' AND k % 10 = 0""".replace("AS to", 'AS "to"'),
+    "byte_images": BASE + SEGMENTS + """, h AS (SELECT g.unit, g.base, "start", "end", max(pos) AS pos FROM g JOIN w ON g.unit = w.unit AND g.base = w.base AND s < "end" AND "start" < f GROUP BY ALL),
+        n AS (SELECT *, CASE WHEN lag(pos) OVER o = pos AND lag("end") OVER o = "start" THEN 0 ELSE 1 END AS new FROM h WINDOW o AS (PARTITION BY unit, base ORDER BY "start")),
+        p2 AS (SELECT *, sum(new) OVER (PARTITION BY unit, base ORDER BY "start" ROWS UNBOUNDED PRECEDING) AS part FROM n)
+        SELECT unit, base, min("start") AS "start", max("end") AS "end", pos FROM p2 GROUP BY unit, base, part, pos""",
+    "closed_on_all_ways": BASE + CANDIDATES + """, asked AS (SELECT unit, dst, count(*) AS n FROM i GROUP BY ALL), held AS (SELECT i.unit, i.dst, c.cell, count(*) AS n FROM i JOIN c ON c.unit = i.unit AND c.pos = i.src AND NOT c.open GROUP BY ALL)
+        SELECT held.unit, held.dst AS pos, cell FROM held JOIN asked ON held.unit = asked.unit AND held.dst = asked.dst AND held.n = asked.n""",
+    "system_context": BASE + SUPPORT + """SELECT x.unit, x.pos, CASE WHEN k >= 50 THEN 'EXPLICIT' ELSE 'DEFAULT' END AS mode, CASE WHEN k >= 50 THEN coalesce(names, '') END AS candidates
+        FROM x LEFT JOIN (SELECT unit, pos, string_agg(DISTINCT val[1:4], '|' ORDER BY val[1:4]) AS names FROM v WHERE cell = 3 AND val <> '?' GROUP BY ALL) q ON q.unit = x.unit AND q.pos = x.pos WHERE event_type = 'view'""",
+    "proof_cycles": """WITH RECURSIVE s AS (SELECT s_suppkey AS proof, unnest([s_suppkey * 7, s_suppkey * 11 % ((SELECT max(s_suppkey) FROM supplier) + 1)]) AS needs FROM supplier),
+        w AS (SELECT DISTINCT proof, needs FROM s WHERE needs <= (SELECT max(s_suppkey) FROM supplier) AND proof % 5 <> 4),
+        z AS (SELECT proof, needs FROM w UNION SELECT z.proof, w.needs FROM z JOIN w ON w.proof = z.needs),
+        y AS (SELECT DISTINCT proof FROM z WHERE proof = needs)
+        SELECT proof FROM y UNION SELECT z.proof FROM z JOIN y ON z.needs = y.proof""",
+}

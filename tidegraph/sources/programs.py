@@ -21,9 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """unit, pos, event_id, event_type, k, cell, action, source, literal."""
-    events = table(spark, sf_dir, "events").select("event_id", "ts", F.col("user_id").alias("unit"), "event_type", F.get_json_object("props", "$.k").cast("long").alias("k"))
+def blocks(spark: SparkSession, events: str | DataFrame) -> DataFrame:
+    """unit, pos, event_id, event_type, k, cell, action, source, literal, of events or of a folder's events table."""
+    events = table(spark, events, "events") if isinstance(events, str) else events
+    events = events.select("event_id", "ts", F.col("user_id").alias("unit"), "event_type", F.get_json_object("props", "$.k").cast("long").alias("k"))
     pos = (F.row_number().over(Window.partitionBy("unit").orderBy("ts", "event_id")) - 1).cast("long")
     return events.select(
         "unit",
