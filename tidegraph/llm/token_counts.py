@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidegraph.llm.batches import PIECE, joined, pieces, span_hashes
+from tidegraph.llm.batches import PIECE, pieces, span_hashes
 from tidegraph.llm.common import parallel
 
 SPACE, LINE = 32, 10
