@@ -33,14 +33,21 @@ FORMATS = {
     "github_token": r"\bgh[pousr]_[A-Za-z0-9]{36,}\b",
     "slack_token": r"\bxox[abprs]-[A-Za-z0-9-]{10,}",
     "json_web_token": r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
-    "private_key": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[^-]*(?:-----END [A-Z ]{0,20}PRIVATE KEY-----)?",
+    "google_api_key": r"\bAIza[A-Za-z0-9_-]{35}",
+    # up to its END mark, header lines and all; without one, headers and what follows up to a dash
+    "private_key": r"-----BEGIN [A-Z0-9 ]{0,20}PRIVATE KEY(?: BLOCK)?-----(?:[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+-----END [A-Z0-9 ]{0,20}PRIVATE KEY(?: BLOCK)?-----|(?:\s{0,4}[A-Za-z][A-Za-z-]{0,30}: [^\r\n]*){0,8}[^-]*)",
 }
-#: Names whose values are secrets, and words that go with what only looks like one.
-NAMES = r"(?:password|passwd|pwd|secret|token|api[_-]?key|apikey|auth|bearer|credential|private[_-]?key)"
+#: Names whose values are secrets, with anything before and after them, and words that go with what only looks like one.
+NAMES = r"(?:pass(?:word|wd|phrase|code)|(?<![a-z])pass(?![a-z])|pwd|secret|token|(?:api|access|private|signing|encryption|account)[_.-]?key|auth|bearer|credential)"
 HARMLESS = r"(?:sha\d*|commit|checksum|md5|uuid|guid|digest|hash|revision|build|version|isbn|order|tracking|serial|example|sample|etag|id)"
-PREFIX = r"\b(?i:password|passwd|pwd|secret|token|api[_-]?key|apikey)[ \t]{0,3}[=:][ \t]{0,3}[\"']?"
-ASSIGNED = PREFIX + r"[^\s\"']{6,}"
-MIXED = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,64}[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"
+#: The name of an assignment (also a quoted one, or with a scheme after it), a bearer's token, a user in an address.
+_NAMED = r"(?i:" + NAMES.replace("a-z", "A-Za-z") + r")[\w.-]{0,64}(?:\\?[\"'])?[ \t]{0,3}[=:]{1,2}>?[ \t]{0,3}(?:\\?[\"'])?(?:(?i:bearer|basic|token)[ \t]{1,3})?"
+_BEARER = r"\b(?i:bearer)[ \t]{1,3}"
+_USER = r"://[^\s/:@\"'?#<>]{0,128}:"
+PREFIX = "(?:" + "|".join([_NAMED, _BEARER, _USER]) + ")"
+ASSIGNED = "|".join([_NAMED + r"(?!-----BEGIN )[^\s\"']{3,}[^\s\"'\\]", _BEARER + r"[A-Za-z0-9+/_.~-]{16,}={0,2}", _USER + r"[^\s/\"'<>]{1,256}(?=@)"])
+#: A long token with a digit that is not itself the name of an assignment.
+MIXED = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,64}[0-9])(?=[A-Za-z0-9+/_-]{16})(?![\w.-]*" + _NAMED + r"[^\s\"'])[A-Za-z0-9+/_-]{16,}={0,2}"
 CANDIDATE = "|".join([*FORMATS.values(), ASSIGNED, MIXED])
 #: Common words by which placeholders, identifiers and paths are told from random strings.
 COMMON = "example|sample|placeholder|changeme|dummy|test|user|name|path|file|config|value|data|index|image|static|assets|http|www|com|org|net|section|chapter|page|report|version|build|release|default|module|class|function|server|client|local|host|node|time|date|your|this|that|with|from|here|none|null|true|false"
@@ -90,6 +97,13 @@ def features(value: Column, before: Column, after: Column, path: Column) -> dict
     chars = F.size(F.array_distinct(F.split(value, "")))
     beside = F.lower(before)
     yes = lambda c: F.coalesce(c, F.lit(False)).cast("double")
+    covered = (n - F.length(F.regexp_replace(lower, COMMON, ""))) / n
+    # what stands for a value: references, placeholders; what is a word
+    reference = value.rlike(r"^(?:[$<{%*(\[]|[xX*.]{4,}$|[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+\W{0,2}$|[\w.]+[(\[])") & (kind(value) == "token")
+    word = value.rlike(r"^[A-Za-z]?[a-z]{1,15}[.,;:!?)]{0,2}$")
+    named = beside.rlike(NAMES + r"(?:s|[_.-]?key|[_.-]?value|orization|[_.-][a-z0-9_.-]*)?\W{0,6}(?:(?:bearer|basic|token)\W{1,3})?$")
+    assigned = before.rlike(r"=\s?[\"']?$|[\"']\s{0,3}:\s{0,3}[\"']$|(?i:bearer|basic)\s+$")
+    user = before.rlike(r"://[^\s/:@]*:$") & after.startswith("@")
     return {
         "length": n,
         "kinds": (F.regexp_count(value, F.lit("[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+")) - 1) / n,
@@ -99,13 +113,14 @@ def features(value: Column, before: Column, after: Column, path: Column) -> dict
         "distinct": chars / n,
         "hexadecimal": yes(value.rlike("^[0-9a-f]+$")),
         "dashes": part("[-_]"),
-        "covered": (n - F.length(F.regexp_replace(lower, COMMON, ""))) / n,
-        "format": yes(kind(value) != "token"),
+        "covered": covered,
+        "looks": F.when(reference, 0).when(word, 1).when((kind(value) != "token") & (covered < 0.2), 3).otherwise(2).cast("double"),
         "in_path": yes(value.contains("/") | F.right(before, F.lit(1)).isin("/", ".", "@", "\\") | after.rlike(r"^(?:\.[a-z]{2,4}\b|/|@)")),
         "test_path": yes(F.lower(path).rlike("test|fixture|example|sample|mock|docs?/")),
-        "named": yes(beside.rlike(NAMES + r"\W{0,6}$")),
+        "named": yes(named),
         "near_name": yes(beside.rlike(NAMES)),
-        "harmless": yes(beside.rlike(r"\b" + HARMLESS + r"\W{0,6}$")),
+        "harmless": yes(beside.rlike(r"(?:\b|[_.-])" + HARMLESS + r"\W{0,6}$")),
+        "context": F.when(user, 3).when(named & assigned, 2).when(named, 1).otherwise(0).cast("double"),
     }
 
 
@@ -122,6 +137,22 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
     words = F.concat(pick(4, "section", "chapter", "report", "image", "module", "release"), pick(5, "Default", "_index_", "-version-", "Config", "Value"), pick(6, "Server2", "page10", "Test01", "node3", "file2024", "data7"))
     uuid = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12))
     number = F.substring(F.translate(h, "abcdef", "012345"), 1, 16)
+    letters = F.translate(h, "0123456789", "ghijkmnpqr")
+    alphabetic = F.translate(F.translate(random64, "0123456789", "ghKmNpQrSt"), "+/", "vW")
+    word = pick(11, "hunter", "dragon", "monkey", "summer", "letmein", "winter", "admin", "Tr0ub4dor", "pa55word", "qwerty")
+    short = F.concat(word, pick(12, "2", "42!", "#1", "2024", "_7", "!"), pick(13, "", "", "secret", "Pass", "x"))
+    compound = pick(14, "DB_PASSWORD=", "\"password\": \"", "db.password = ", "SMTP_PASS=", "PGPASSWORD=", "client_secret=", "\"userPassword\":\"", "admin_pwd: ", "passphrase='", "?password=")
+    keyed = pick(15, "AWS_SECRET_ACCESS_KEY=", "client_secret=", "access_token=", "\"refresh_token\": \"", "secretKey: ", "SECRET_KEY = '", "&access_token=", "azure_account_key=", "credentials: ", "private_key=")
+    bearer = pick(16, "Authorization: Bearer ", "\"authorization\": \"Bearer ", "-H 'Authorization: Bearer ", "Bearer ", "proxy-authorization: Basic ")
+    address = F.concat(pick(17, "postgres", "mysql", "mongodb+srv", "https", "amqp", "redis"), F.lit("://"), pick(18, "admin", "root", "app", "svc_user", "", "deploy"), F.lit(":"))
+    host = F.concat(F.lit("@"), pick(19, "db.internal:5432/app", "localhost/x", "10.0.0.7:6379", "host"))
+    body = F.concat_ws("\n", random64, F.reverse(random64), F.substring(random64, 1, 64))
+    armour = lambda kind, head: F.concat(F.lit(f"-----BEGIN {kind}PRIVATE KEY-----\n"), head, body, F.lit(f"\n-----END {kind}PRIVATE KEY-----"))
+    headers = F.concat(F.lit("Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,"), F.substring(upper, 1, 32), F.lit("\n\n"))
+    spoken = pick(20, "author: ", "tokenizer: ", "secretary: ", "the password: ", "authority: ", "token: ", "secret: ", "authors: ", "Authentication: ", "passwords: ")
+    said = pick(21, "Johnson", "sentencepiece", "Margaret", "required", "optional,", "nobody", "invalid.", "Ministry", "whatever", "default", "because", "choose")
+    stands = pick(22, "${DB_PASSWORD}", "<password>", "process.env.API_KEY", "os.environ['TOKEN']", "getpass.getpass()", "settings.SECRET_KEY", "********", "xxxxxxxx", "{{password}}", "$PASSWORD", "null,", "None", "config.get(", "%(password)s")
+    query = pick(23, "?id=", "&ref=", "utm_campaign=", "page=", "&v=", "?session_date=", "name=")
     cases = [
         (1, F.concat(F.lit("AKIA"), F.substring(upper, 1, 16)), prose),
         (1, F.concat(F.lit("ghp_"), F.substring(F.regexp_replace(random64, "[+/]", "k"), 1, 36)), prose),
@@ -137,10 +168,28 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
         (0, F.concat(F.lit("articles/"), words, F.lit("/view1")), F.concat(prose, F.lit("https://www.site.com/"))),
         (0, F.concat(F.lit("AKIA"), F.substring(upper, 1, 9), F.lit("EXAMPLE")), prose),
         (0, pick(10, "your_password_here1", "changeme1234", "xxxxxxxxxxxxxxxx1", "example-token-000", "placeholder_value_1"), F.concat(prose, name)),
+        (1, short, F.concat(prose, compound)),
+        (1, pick(24, "letmein", "correcthorse", "sunshine", "iloveyou", "trustno", "opensesame"), F.concat(prose, pick(25, "password=", "DB_PASSWORD=", "\"password\": \"", "passwd='"))),
+        (1, F.substring(h, 1, 24), F.concat(prose, keyed)),
+        (1, F.substring(h, 3, 40), F.concat(prose, keyed)),
+        (1, F.substring(random64, 3, 40), F.concat(prose, keyed)),
+        (1, F.concat(F.lit("AIza"), F.substring(F.translate(random64, "+/", "_-"), 1, 35)), F.concat(prose, pick(26, "?key=", "&key=", "", "apiKey: \""))),
+        (1, F.substring(letters, 1, 26), F.concat(prose, bearer)),
+        (1, F.substring(alphabetic, 1, 32), F.concat(prose, bearer)),
+        (1, F.when(F.col("id") % 2 == 0, short).otherwise(pick(27, "pw", "hunter", "s3cr3t", "admin", "guest", "p%40ss")), F.concat(prose, address), host),
+        (1, F.substring(random64, 2, 20), F.concat(prose, address), host),
+        (1, armour("RSA ", headers), prose),
+        (1, armour("", F.lit("")), prose),
+        (0, said, F.concat(prose, spoken)),
+        (0, stands, F.concat(prose, compound)),
+        (0, pick(28, "${PASSWORD}", "<password>", "$PGPASS", "{password}", "****"), F.concat(prose, address), host),
+        (0, words, F.concat(prose, query)),
+        (0, uuid, F.concat(prose, query)),
+        (0, number, F.concat(prose, query)),
     ]
-    made = F.element_at(F.array(*(F.struct(F.lit(y).alias("label"), v.alias("value"), b.alias("before")) for y, v, b in cases)), (F.col("id") % len(cases) + 1).cast("int"))
+    made = F.element_at(F.array(*(F.struct(F.lit(y).alias("label"), v.alias("value"), b.alias("before"), (after[0] if after else F.lit(" and so")).alias("after")) for y, v, b, *after in cases)), (F.col("id") % len(cases) + 1).cast("int"))
     path = F.when(F.col("id") % 11 == 0, "tests/fixture").otherwise(F.lit("src"))
-    return row.select(made.alias("m"), path.alias("path")).select("m.value", F.right("m.before", F.lit(BEFORE)).alias("before"), F.lit(" and so").alias("after"), "path", F.col("m.label").cast("double").alias("label"))
+    return row.select(made.alias("m"), path.alias("path")).select("m.value", F.right("m.before", F.lit(BEFORE)).alias("before"), F.left("m.after", F.lit(AFTER)).alias("after"), "path", F.col("m.label").cast("double").alias("label"))
 
 
 class Forest:
