@@ -251,6 +251,21 @@ def test_outliers_go_and_clean_documents_stay(spark, none):
     assert quality_rules.judged(none).count() == 0 and quality_rules.kept(none).count() == 0
 
 
+def test_every_row_is_judged_by_its_own_verdict(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    clean = lambda: " ".join(word() for _ in range(rng.randint(30, 300))).capitalize() + "."
+    junk = lambda: " ".join(word() + "***" for _ in range(60))
+    rows = [(i, clean(), "en", "a") for i in range(200)]
+    rows += [(1000 + i, clean(), "sw", "a") for i in range(35)] + [(2000 + i, junk(), "sw", "a") for i in range(5)]  # a language of 40
+    rows += [(3000 + i, "too short", "fr", "b") for i in range(55)] + [(4000 + i, clean(), "fr", "b") for i in range(3)] + [(5000 + i, junk(), "fr", "b") for i in range(2)]  # 5 sound ones of 60
+    rows += [(None, junk(), "en", "a"), (None, clean(), "en", "a"), (7, junk(), "en", "a")]  # without an id; with that of a clean row
+    docs = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert quality_rules.judged(docs).where("_distance is null").count() == 0
+    want = Counter((r[0], r[1]) for r in rows if "***" not in r[1] and r[1] != "too short")
+    assert Counter((r.doc_id, r.text) for r in quality_rules.kept(docs).collect()) == want
+
+
 def test_chi_square_quantiles():
     assert abs(quality_rules.chi_quantile(0.95, 5) - 11.0705) < 1e-3 and abs(quality_rules.chi_square(4.3515, 5) - 0.5) < 1e-4
 

@@ -11,13 +11,14 @@ document is rejected if its squared Mahalanobis distance exceeds the cut-off.
 
 All of it is column expressions; texts are read once and never shuffled.
 
-Groups of fewer than `least` documents are pooled by language, those that are
-still short over all; if even that falls short, nothing is rejected by the
-method. Documents that fail the base limits have no part in the estimates.
+Documents that fail the base limits have no part in the estimates and do not
+count. Groups of fewer than `least` others are judged by the estimate of all
+documents of their language, languages of fewer by that of the whole corpus;
+only if the corpus itself falls short is nothing rejected by the method.
 
 Defined results: null text has no words and fails the base; null languages and
-sources are values of their own; repeated rows count each; an empty table gives
-an empty result; a constant statistic keeps the least scatter of `FLOORS`.
+sources are values of their own; repeated rows count each; each row is kept or
+not by its own verdict, whatever its id; an empty table gives an empty result; a constant statistic keeps the least scatter of `FLOORS`.
 """
 
 from __future__ import annotations
@@ -108,18 +109,18 @@ def vector() -> dict[str, Column]:
 
 
 def _grouped(rows: DataFrame, least: int) -> tuple[DataFrame, bool]:
-    """rows with _group, and whether there are few enough groups to broadcast."""
-    sizes = rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("_n"))
-    small = F.when(F.col("_n") < least, F.col("_n"))
-    pooled = (
-        checkpointed(sizes)
-        .withColumn("_lang_n", F.sum(small).over(Window.partitionBy("lang")))
-        .withColumn("_rest", F.when(F.col("_lang_n") < least, small))
-        .withColumn("_all_n", F.sum("_rest").over(Window.partitionBy()))
-    )
+    """rows with _group, whose estimate judges them, and _uses, the groups whose estimates they are part of; and whether groups are few enough to broadcast."""
+    sizes = checkpointed(rows.groupBy("lang", "source").agg(F.count_if(~F.col("_failed")).alias("_n")))
+    lang, every = Window.partitionBy("lang"), Window.partitionBy()
+    sizes = sizes.withColumn("_lang_n", F.sum("_n").over(lang)).withColumn("_all_n", F.sum("_n").over(every))
+    sizes = sizes.withColumn("_level", F.when(F.col("_n") >= least, 0).when(F.col("_lang_n") >= least, 1).when(F.col("_all_n") >= least, 2))
+    used = lambda level, over: F.max(F.coalesce(F.col("_level") == level, F.lit(False))).over(over)
+    sizes = sizes.withColumn("_lang_used", used(1, lang)).withColumn("_all_used", used(2, every))
     key = lambda level, *cols: F.to_json(F.struct(F.lit(level).alias("level"), *cols))
-    group = F.when(F.col("_n") >= least, key(0, "lang", "source")).when(F.col("_lang_n") >= least, key(1, "lang")).when(F.col("_all_n") >= least, key(2))
-    of = checkpointed(pooled.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), group.alias("_group")))
+    keys = key(0, "lang", "source"), key(1, "lang"), key(2)
+    group = F.when(F.col("_level") == 0, keys[0]).when(F.col("_level") == 1, keys[1]).when(F.col("_level") == 2, keys[2])
+    uses = F.array_compact(F.array(F.when(F.col("_level") == 0, keys[0]), F.when(F.col("_lang_used"), keys[1]), F.when(F.col("_all_used"), keys[2])))
+    of = checkpointed(sizes.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), group.alias("_group"), uses.alias("_uses")))
     few = of.count() <= BROADCAST_GROUPS
     met = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
     return rows.join(F.broadcast(of) if few else of, met, "left").drop("_lang", "_source"), few
@@ -178,24 +179,26 @@ def _concentrated(rows: DataFrame, estimates: DataFrame, share: float, few: bool
     return _factored(total.withColumns(scatter))
 
 
-def judged(docs: DataFrame, share: float = 0.6, steps: int = 4, cut: float = 1e-8, least: int = 50) -> DataFrame:
-    """doc_id, the statistics, _failed, _distance (null without an estimate) and _kept of each row of docs.
+def _verdicts(measured: DataFrame, share: float = 0.6, steps: int = 4, cut: float = 1e-8, least: int = 50) -> DataFrame:
+    """measured (rows with their statistics) with _failed, _distance (null without an estimate) and _kept.
 
-    docs has doc_id, text, lang and source. cut: the part of normal data that may be rejected.
+    cut: the part of normal data that may be rejected.
     """
-    measured = statistics(docs.select("doc_id", "text", "lang", "source")).drop("text").withColumn("_failed", base_failed())
-    rows, few = _grouped(checkpointed(measured.withColumns(vector())), least)
-    rows = checkpointed(rows)
-    sound = rows.where(~F.col("_failed") & F.col("_group").isNotNull()).select("_group", *(f"_x{i}" for i in range(D)))
+    rows, few = _grouped(checkpointed(measured.withColumn("_failed", base_failed()).withColumns(vector())), least)
+    sound = checkpointed(rows.where(~F.col("_failed")).select(F.explode("_uses").alias("_group"), *(f"_x{i}" for i in range(D))))
     estimates = checkpointed(_started(sound))
     for _ in range(steps):
         estimates = checkpointed(_concentrated(sound, estimates, share, few))
-    out = _joined(rows, estimates, few).withColumn("_distance", _distance())
+    out = _joined(rows.drop("_uses"), estimates, few).withColumn("_distance", _distance())
     kept = ~F.col("_failed") & F.coalesce(F.col("_distance") <= F.lit(chi_quantile(1 - cut, D)), F.lit(True))
     return out.withColumn("_kept", kept)
 
 
+def judged(docs: DataFrame, **settings) -> DataFrame:
+    """doc_id, the statistics, _failed, _distance and _kept of each row of docs (doc_id, text, lang, source)."""
+    return _verdicts(statistics(docs.select("doc_id", "text", "lang", "source")).drop("text"), **settings)
+
+
 def kept(docs: DataFrame, **settings) -> DataFrame:
-    """docs without the documents that the rules reject; a row without an id stays."""
-    gone = judged(docs, **settings).where("not _kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """docs without the rows that the rules reject, each by its own verdict; texts are held in a checkpoint instead of joined again."""
+    return _verdicts(statistics(docs), **settings).where("_kept").select(*docs.columns)
