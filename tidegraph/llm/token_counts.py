@@ -1,21 +1,15 @@
-"""Token counts by a compiled transducer instead of the tokenizer.
-
-The tokenizer is compiled into a deterministic transducer over characters whose
-states are prefixes of segments. A segment is a run of spaces with what follows
-up to the next space; the transition on a character carries the change in the
-number of tokens of its prefix. No piece of the model holds a space mark after
-another character, and none holds a line feed, so both characters send every
-state to one and the same state: they synchronise the machine. What a chunk of
-text does to the machine is then a short state map: what it has before its
-first such point (head), tokens in between (count), what follows the last
-(tail). Maps compose associatively (tail and head are read as one text), so a
-document's maps are combined by a scan in which neighbours meet pairwise, and a
-text of any length needs only chunks of bounded size.
-
-Segments' path weights are compiled lazily: a worker keeps a table of bounded
-size from a segment's 64-bit hash to its weight, and asks the library for
-segments that aren't there. If a model doesn't have the two properties above,
-`compiled` refuses it.
+"""Token counts by a cached library call per segment.
+
+No transducer is built. A segment is a run of spaces with what follows up to the
+next space or line feed. No piece of the model holds a space mark after another
+character, and none holds a line feed, so segments are counted by themselves: a
+worker keeps a table of bounded size from a segment's 64-bit hash to its count,
+and asks the library for segments that aren't there. If a model doesn't have the
+two properties above, `compiled` refuses it.
+
+A text of over 1 MiB is cut into chunks. What a chunk does is a short map: what
+it has before its first cut (head), tokens in between (count), what follows the
+last (tail); one task composes a document's maps one after another.
 
 Defined results: null counts as empty; empty has 0 tokens; repeated rows and
 ids are counted each; an empty table gives an empty result.
