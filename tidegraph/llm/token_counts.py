@@ -1,150 +1,158 @@
-"""Token counts by a cached library call per segment.
+"""Token counts by a finite-state transducer compiled from the model's pieces.
 
-No transducer is built. A segment is a run of spaces with what follows up to the
-next space or line feed. No piece of the model holds a space mark after another
-character, and none holds a line feed, so segments are counted by themselves: a
-worker keeps a table of bounded size from a segment's 64-bit hash to its count,
-and asks the library for segments that aren't there. If a model doesn't have the
-two properties above, `compiled` refuses it.
+Merging in the model's order gives every text one sequence of pieces, and a
+sequence is that of its text exactly if each two neighbours are what merging
+makes of the two of them. So the last piece of a prefix follows from the last
+pieces of shorter prefixes: it is the one suffix that is a piece and goes with
+the last piece of what stands before it.
 
-A text of over 1 MiB is cut into chunks. What a chunk does is a short map: what
-it has before its first cut (head), tokens in between (count), what follows the
-last (tail); one task composes a document's maps one after another.
+A state of the transducer is what later characters can still depend on: the
+longest suffix that some piece goes on from, and at each place in it where a
+piece may have begun the last piece there and the tokens since the first such
+place. A transition reads a character and carries the tokens that are settled
+by it; a state's final weight are those not settled yet. Pieces are short, so
+states are finitely many. States are made when first met, in a table of bounded
+size that is emptied when full. Two characters that are nowhere side by side in
+a piece separate what is before from what is after.
+
+A text of over `long_bytes` is cut into chunks that are dealt over tasks. A
+chunk's map sends an entry state to its exit state and tokens; the entry is the
+state that the characters before the chunk lead to. Neighbouring maps compose
+where exit and entry agree, pairs of chunks into pairs of pairs, as a parallel
+scan does; where they don't, the chunk is read again from the state needed.
 
 Defined results: null counts as empty; empty has 0 tokens; repeated rows and
-ids are counted each; an empty table gives an empty result.
+ids are counted each; a text of any length is counted whole; an empty table
+gives an empty result; only doc_id and text are read, so extra columns of any
+name do not matter.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidegraph.llm.batches import PIECE, pieces
+from tidegraph.llm.common import checkpointed, parallel
+
+#: The model's mark for a space.
+MARK = "▁"
+#: Characters before a chunk that its entry state is taken from.
+BEFORE = 256
+
+
+class State(dict):
+    """Transitions by character: the next state and the tokens settled."""
 
-from tidegraph.llm.batches import PIECE, pieces, span_hashes
-from tidegraph.llm.common import parallel
+    __slots__ = ("machine", "suffix", "live", "final")
 
-SPACE, LINE = 32, 10
-#: The model's mark for a space, which reads the same where a text holds it.
-MARK = "▁".encode()
+    def __missing__(self, char: str) -> tuple[State, int]:
+        made = self[char] = self.machine.transition(self, char)
+        return made
 
 
 class Transducer:
-    """Weights of the paths of segments through the compiled machine."""
-
-    def __init__(self, path: str, bits: int = 20):
-        import sentencepiece
-
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size()) if not self.model.IsByte(i)]
-        if any("▁" in x.lstrip("▁") or "\n" in x for x in names) or self.model.encode("  a \n", out_type=str)[0][0] != "▁":
-            raise ValueError("the model's pieces do not synchronise at spaces and line feeds")
-        self.mask = np.uint64((1 << bits) - 1)
-        self.keys, self.weights = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
-
-    def _compile(self, segments: list[bytes]) -> np.ndarray:
-        """Weights by the library, which puts one space mark before what it is given."""
-        texts = [s.decode("utf-8", "replace") for s in segments]
-        given = [t[1:] if t[:1] == " " else "\n" + t for t in texts]
-        counts = np.array([len(x) for x in self.model.encode(given, num_threads=1)], np.int32) if given else np.zeros(0, np.int32)
-        return counts + np.array([(t == " ") - 2 * (t[:1] != " ") for t in texts], np.int32)
-
-    def weights_of(self, raw: bytes, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        hashes = span_hashes(data, starts, ends)
-        slots = (hashes & self.mask).astype(np.int64)
-        out = self.weights[slots]
-        missed = np.flatnonzero(self.keys[slots] != hashes)
-        if len(missed):
-            new, first, back = np.unique(hashes[missed], return_index=True, return_inverse=True)
-            at = missed[first]
-            weights = self._compile([raw[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-            out[missed] = weights[back]
-            where = (new & self.mask).astype(np.int64)
-            self.keys[where], self.weights[where] = new, weights
-        return out
-
-    def points(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where segments start, and which places are line feeds; data[0] counts as a start."""
-        space, line = data == SPACE, data == LINE
-        starts = space.copy()
-        starts[1:] &= ~space[:-1]
-        starts[1:] |= line[:-1] & ~space[1:] & ~line[1:]
-        if len(data):
-            starts[0] = not line[0]
-        return starts, line
-
-    def texts(self, texts: list[bytes]) -> np.ndarray:
-        """Tokens of each text, none of them long."""
-        texts = [t.replace(MARK, b" ") for t in texts]
-        raw = b" " + b"\n ".join(texts) + b"\n"
-        data = np.frombuffer(raw, np.uint8)
-        starts, line = self.points(data)
-        at = np.flatnonzero(starts | line)
-        segments = starts[at]
-        tokens = np.ones(len(at), np.int64)  # a line feed is one token
-        first = at[segments]
-        tokens[segments] = self.weights_of(raw, data, first, np.append(at[1:], len(data))[segments])
-        sums = np.append(0, np.cumsum(tokens))
-        sizes = np.array([len(t) for t in texts], np.int64)
-        begin = np.append(0, np.cumsum(sizes + 2))[:-1]
-        low, high = np.searchsorted(at, begin), np.searchsorted(at, begin + 1 + sizes)  # up to the line feed that ends it
-        return np.where(sizes > 0, sums[high] - sums[low], 0)
-
-    def chunk_map(self, chunk: bytes) -> tuple[bytes, int, bytes | None]:
-        """head, count, tail; tail is None if no point lies inside, all being head.
-
-        The first byte is never a point of its own here, as that depends on what comes before.
-        """
-        data = np.frombuffer(chunk, np.uint8)
-        starts, line = self.points(data)
-        starts[:1], line[:1] = False, False
-        at = np.flatnonzero(starts | line)
-        if not len(at):
-            return chunk, 0, None
-        last = int(at[-1])
-        inner, ends = at[:-1], at[1:]
-        segments = starts[inner]
-        count = int((~segments).sum()) + int(self.weights_of(chunk, data, inner[segments], ends[segments]).sum())
-        return chunk[: int(at[0])], count, chunk[last:]
-
-    def between(self, text: bytes) -> int:
-        """Tokens of tail and head read as one text: it begins at a point and another one follows it."""
-        return self.long_part(np.frombuffer(text, np.uint8), text)
-
-    def long_part(self, data: np.ndarray, raw: bytes) -> int:
-        if not len(data):
+    """The pieces of a model, and the states made so far."""
+
+    def __init__(self, path: str, most_states: int = 200_000):
+        from sentencepiece import sentencepiece_model_pb2
+
+        model = sentencepiece_model_pb2.ModelProto()
+        with open(path, "rb") as file:
+            model.ParseFromString(file.read())
+        kinds, text = model.SentencePiece, model.normalizer_spec
+        plain = not text.precompiled_charsmap and text.add_dummy_prefix and text.escape_whitespaces and not text.remove_extra_whitespaces
+        known = all(p.type in (kinds.NORMAL, kinds.UNKNOWN, kinds.CONTROL, kinds.BYTE) for p in model.pieces)
+        if model.trainer_spec.model_type != model.trainer_spec.BPE or not model.trainer_spec.byte_fallback or model.trainer_spec.treat_whitespace_as_suffix or not plain or not known:
+            raise ValueError("not a model of merged pieces with byte fallback and texts taken as they are")
+        self.scores = {p.piece: p.score for p in model.pieces if p.type == kinds.NORMAL}
+        self.prefixes = {p[:i] for p in self.scores for i in range(1, len(p))}
+        self.beside = {p[i : i + 2] for p in self.scores for i in range(len(p) - 1)}
+        self.most_states = most_states
+        self.agreed: dict[tuple[str | None, str], bool] = {}
+        self.states: dict[tuple, State] = {}
+        self.start = self.state("", ((0, None, 0),))
+
+    def state(self, suffix: str, live: tuple) -> State:
+        """The state of a suffix and of (place in it, last piece before it, tokens up to it) where a piece may have begun."""
+        made = self.states.get((suffix, live))
+        if made is None:
+            if len(self.states) >= self.most_states:
+                for old in self.states.values():
+                    old.clear()
+                self.states.clear()
+                self.agreed.clear()
+            made = State()
+            made.machine, made.suffix, made.live, made.final = self, suffix, live, live[-1][2]
+            self.states[suffix, live] = made
+        return made
+
+    def merged(self, text: str) -> list[str]:
+        """A short text's pieces: of neighbours that make a piece, the best goes first, the leftmost of equals."""
+        parts = list(text)
+        while True:
+            best, at = None, -1
+            for i in range(len(parts) - 1):
+                score = self.scores.get(parts[i] + parts[i + 1])
+                if score is not None and (best is None or score > best):
+                    best, at = score, i
+            if best is None:
+                return parts
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+
+    def agree(self, last: str | None, piece: str) -> bool:
+        """Whether the piece can stand after the last one."""
+        known = self.agreed.get((last, piece))
+        if known is None:
+            want = [piece] if last is None else [last, piece]
+            known = self.agreed[last, piece] = self.merged("".join(want)) == want
+        return known
+
+    def transition(self, state: State, char: str) -> tuple[State, int]:
+        suffix, live, settled = state.suffix, state.live, 0
+        if suffix and suffix[-1] + char not in self.beside:
+            suffix, live, settled = "", ((0, None, 0),), live[-1][2]
+        if char not in self.scores:  # stands alone, as its bytes
+            return self.state("", ((0, None, 0),)), settled + len(char.encode("utf-8", "replace"))
+        suffix += char
+        piece, tokens = next((suffix[at:], n + 1) for at, last, n in live if suffix[at:] in self.scores and self.agree(last, suffix[at:]))
+        live = (*(x for x in live if suffix[x[0] :] in self.prefixes), (len(suffix), piece, tokens))
+        first, _, less = live[0]
+        return self.state(suffix[first:], tuple((at - first, last, n - less) for at, last, n in live)), settled + less
+
+    @staticmethod
+    def run(state: State, text: str) -> tuple[State, int]:
+        """The state that a text leads to, and the tokens settled on the way."""
+        tokens = 0
+        for char in text:
+            state, settled = state[char]
+            tokens += settled
+        return state, tokens
+
+    def count(self, text: str) -> int:
+        if not text:
             return 0
-        starts, line = self.points(data)
-        at = np.flatnonzero(starts | line)
-        segments = starts[at]
-        return int((~segments).sum()) + int(self.weights_of(raw, data, at[segments], np.append(at[1:], len(data))[segments]).sum())
-
-    def compose(self, a: tuple, b: tuple) -> tuple:
-        """The map of a's text followed by b's."""
-        if a[2] is None:
-            return (a[0] + b[0], b[1], b[2]) if b[2] is not None else (a[0] + b[0], 0, None)
-        if b[2] is None:
-            return a[0], a[1], a[2] + b[0]
-        return a[0], a[1] + self.between(a[2] + b[0]) + b[1], b[2]
-
-    def long_text(self, text: bytes, size: int = PIECE) -> int:
-        """Tokens of a text of any length, from the maps of its chunks."""
-        text = b" " + text.replace(MARK, b" ")
-        cuts = [0]
-        while cuts[-1] < len(text):
-            to = min(cuts[-1] + size, len(text))
-            while to < len(text) and text[to] & 0xC0 == 0x80:
-                to += 1
-            cuts.append(to)
-        maps = [self.chunk_map(text[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
-        while len(maps) > 1:  # neighbours meet, level by level
-            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        head, count, tail = maps[0]
-        # a chunk can meet its first byte as head though a point lies between tail and head: both are read together
-        return self.between(head) + count + (self.between(tail) if tail is not None else 0)
+        state, tokens = self.run(self.start, given(text))
+        return tokens + state.final
+
+    def named(self, name: str) -> State:
+        suffix, live = json.loads(name)
+        return self.state(suffix, tuple(map(tuple, live)))
+
+
+def given(text: str) -> str:
+    """What the model reads for a text that isn't empty."""
+    return MARK + text.replace(" ", MARK)
+
+
+def name_of(state: State) -> str:
+    return json.dumps([state.suffix, state.live])
 
 
 @cache
@@ -152,20 +160,98 @@ def compiled(path: str) -> Transducer:
     return Transducer(path)
 
 
-def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 4096, long_bytes: int = PIECE) -> DataFrame:
+def _machine(path: str | None) -> Transducer:
+    import public_tokenizers
+
+    return compiled(path or public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def _chunks(long: DataFrame, chunk_chars: int) -> DataFrame:
+    """row, doc_id, n_bytes, no, before, text: texts in chunks, dealt over tasks."""
+    kind = long.schema["doc_id"].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in pieces(batches):
+            row, doc = part.column("row"), part.column("doc_id")
+            for k, raw in enumerate(texts):
+                text = given(raw.decode("utf-8", "replace"))
+                for no, at in enumerate(range(0, len(text), chunk_chars)):
+                    yield pa.RecordBatch.from_arrays(
+                        [row.slice(k, 1), doc.slice(k, 1), pa.array([len(raw)]), pa.array([no]), pa.array([text[max(0, at - BEFORE) : at]]), pa.array([text[at : at + chunk_chars]])], ["row", "doc_id", "n_bytes", "no", "before", "text"]
+                    )
+
+    rows = long.withColumn("row", F.monotonically_increasing_id())
+    # written once: row numbers must not change between the rounds that read them
+    return checkpointed(rows.mapInArrow(cut, f"row long, doc_id {kind}, n_bytes long, no long, before string, text string").repartition("row", "no"))
+
+
+def _maps(chunks: DataFrame, path: str | None) -> DataFrame:
+    """row, no, entry, exit, tokens, final: chunks' maps at the entry given, or at that which the characters before lead to."""
+    names = ["row", "no", "entry", "exit", "tokens", "final"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = _machine(path)
+        for batch in batches:
+            rows = []
+            for row, no, entry, before, text in zip(*(batch.column(c).to_pylist() for c in ("row", "no", "entry", "before", "text")), strict=True):
+                state = machine.named(entry) if entry is not None else machine.run(machine.start, before)[0]
+                entry = name_of(state)
+                state, tokens = machine.run(state, text)
+                rows.append((row, no, entry, name_of(state), tokens, state.final))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names)
+
+    return chunks.select("row", "no", "entry", "before", "text").mapInArrow(run, "row long, no long, entry string, exit string, tokens long, final long")
+
+
+def _composed(maps: DataFrame, chunks: int) -> DataFrame:
+    """The maps of whole texts: neighbours meet, level by level."""
+    while chunks > 1:
+        half = maps.withColumn("pair", F.floor(F.col("no") / 2))
+        a, b = half.where("no % 2 = 0"), half.where("no % 2 = 1").select("row", "pair", F.col("entry").alias("exit"), F.col("exit").alias("_exit"), F.col("tokens").alias("_tokens"), F.col("final").alias("_final"))
+        alone = a.join(b.select("row", "pair").distinct(), ["row", "pair"], "left_anti").select("row", F.col("pair").alias("no"), "entry", "exit", "tokens", "final")
+        met = a.join(b, ["row", "pair", "exit"]).select("row", F.col("pair").alias("no"), "entry", F.col("_exit").alias("exit"), (F.col("tokens") + F.col("_tokens")).alias("tokens"), F.col("_final").alias("final"))
+        maps = checkpointed(met.union(alone))
+        chunks = (chunks + 1) // 2
+    return maps
+
+
+def _counted_long(long: DataFrame, path: str | None, chunk_chars: int) -> DataFrame | None:
+    """doc_id, n_bytes, tokens of long texts; None if there are none."""
+    chunks = _chunks(long, chunk_chars)
+    n = chunks.agg(F.max("no")).first()[0]
+    if n is None:
+        return None
+    maps = checkpointed(_maps(chunks.withColumn("entry", F.lit(None).cast("string")), path))
+    while True:  # entries that a chunk before leads to and that have no map yet; as states are few, this ends
+        needed = maps.select("row", (F.col("no") + 1).alias("no"), F.col("exit").alias("entry")).distinct().join(maps, ["row", "no", "entry"], "left_anti")
+        more = checkpointed(_maps(chunks.join(needed, ["row", "no"]), path))
+        if more.isEmpty():
+            break
+        maps = checkpointed(maps.union(more))
+    start = name_of(_machine(path).start)
+    whole = _composed(maps, n + 1).where(F.col("entry") == start).select("row", (F.col("tokens") + F.col("final")).alias("tokens"))
+    return chunks.where("no = 0").select("row", "doc_id", "n_bytes").join(whole, "row").drop("row")
+
+
+def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 4096, long_bytes: int = PIECE, chunk_chars: int = PIECE) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for each row of docs (doc_id, text).
 
     path: the model's file, present on every executor; by default the public one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import public_tokenizers
-
-        machine = compiled(path or public_tokenizers.path("piece_bpe_32k.model"))
+        machine = _machine(path)
         for part, texts in pieces(batches):
             sizes = np.array([len(t) for t in texts], np.int64)
-            tokens = np.array([machine.long_text(texts[0], long_bytes)]) if len(texts) == 1 and len(texts[0]) > long_bytes else machine.texts(texts)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), pa.array(tokens, pa.int64()), pa.array(tokens > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            tokens = np.array([machine.count(t.decode("utf-8", "replace")) for t in texts], np.int64)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), pa.array(tokens)], ["doc_id", "n_bytes", "tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return parallel(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    docs = docs.select("doc_id", "text")
+    is_long = F.coalesce(F.octet_length("text"), F.lit(0)) > long_bytes
+    counted = parallel(docs.where(~is_long)).mapInArrow(run, f"doc_id {kind}, n_bytes long, tokens long")
+    long = _counted_long(docs.where(is_long), path, chunk_chars)
+    if long is not None:
+        counted = counted.union(long)
+    return counted.select("doc_id", "n_bytes", F.col("tokens").alias("n_tokens"), (F.col("tokens") > limit).alias("over_limit"))
