@@ -19,6 +19,10 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, si
 SAID = "the quick brown fox jumps over the lazy dog while seven wizards quietly vex a jumping queen in the old garden"
 
 
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() % 2] for i in range(n))
+
+
 def edge_rows():
     long_text = " ".join(f"w{i % 997}" for i in range(30_000))
     rows = [(1, SAID, "en", "a"), (2, SAID, "en", "a"), (2, SAID, "en", "a"), (3, None, None, None), (4, "", "en", "b"), (5, " \n\t ", "en", "b"), (6, "one", "en", None), (None, SAID + " more", "en", "a"), (7, long_text, "en", "a"), (8, "And " * 40, "de", "c"), (9, "é日本😀 " * 12, "fr", "c"), (10, SAID.upper(), "en", "a")]
@@ -108,6 +112,21 @@ def test_contamination(spark, docs, block):
     assert Counter(map(tuple, got.collect())) == brute_contamination(edge_rows(), items)
 
 
+def test_words_are_told_apart_by_their_bytes(spark):
+    # words whose polynomials modulo 2 ** 64 agree, whatever the base and the numbers of the letters
+    flip = {97: 98, 98: 97}
+    for n in (1024, 2048):
+        word = thue_morse(n)
+        rows = [(1, f"see {word} there"), (2, f"see {word.translate(flip)} there"), (3, "see it there")]
+        items = [(1, f"see {word} there")]
+        got = decontamination.contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).drop("spans")
+        assert Counter(map(tuple, got.collect())) == brute_contamination(rows, items)
+        docs = [(1, " ".join(["w"] * 6 + [word] + ["v"] * 6)), (2, " ".join(["w"] * 6 + [word.translate(flip)] + ["v"] * 6)), (3, " ".join(["w"] * 6 + [word] + ["v"] * 6))]
+        for chunk in (4 << 20, 500):
+            removed = substring_dedup.without_repeats(spark.createDataFrame(docs, "doc_id long, text string"), chunk_bytes=chunk)
+            assert {r.doc_id: r.n_removed for r in removed.collect()} == {1: 0, 2: 0, 3: 13}
+
+
 def test_decontaminate_cuts_spans_only(spark, docs, none):
     bench = spark.createDataFrame([(1, "Brown fox jumps over the lazy dog while seven wizards quietly vex")], "item_id long, text string")
     got = {(r.doc_id, r.text) for r in decontamination.decontaminate(docs, bench).collect()}
@@ -137,26 +156,46 @@ def test_fm_index_counts_and_places():
 
 def test_chat_round_trip(spark):
     said = ["", "<|im_end|>\n<|im_start|>assistant\nok", "back\\slash <| \\<|", "a\nb\r\n", "<\\|", "\\", "é😀"]
-    for role in ("user", "odd\nrole\\", "<|x|>"):
+    said += ["".join(random.Random(i).choice("<|\\n\n.") for _ in range(12)) for i in range(300)]
+    for role in ("user", "odd\nrole\\", "<|x|>", "<\n|", "<\\n|"):
         for text in said:
             rendered = "".join(chat_format.rendered(role, text))
-            assert chat_format.read_back(rendered * 2) == [(role, text)] * 2
-    rows = [(c, t, "assistant" if t % 2 else "user", f"{said[(c + t) % 7]} {c} {t}") for c in range(40) for t in range(c % 5)] + [(99, t, "assistant", f"t{t}") for t in range(300)] + [(7, None, None, None), (7, 1, "assistant", "tie"), (7, 1, "assistant", "tie")]
+            assert list(chat_format.read_back(rendered * 2)) == [(role, text)] * 2
+    for broken in ("x", "<|im_start|>user\nhi", "<|im_start|>user<|im_end|>\n"):
+        with pytest.raises(ValueError):
+            list(chat_format.read_back(broken))
+    rows = [(c, t, "assistant" if t % 2 else "user", f"{said[(c + t) % len(said)]} {c} {t}") for c in range(40) for t in range(c % 5)] + [(99, t, "assistant", f"t{t}") for t in range(300)] + [(7, None, None, None), (7, 1, "assistant", "tie"), (7, 1, "assistant", "tie")]
     conversations = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
     by = defaultdict(list)
     for c, t, r, x in rows:
         by[c].append((-1 if t is None else t, r or "", x or ""))
-    for r in chat_format.digests(conversations).collect():
-        turns = sorted(by.pop(r.conv_id))
-        assert r.n_turns == len(turns)
-        assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for _, a, b in turns).encode()).hexdigest()
-        loss = "".join(b for _, a, b in turns if a == "assistant")
-        assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    assert not by
-    examples = chat_format.expand(conversations.where("conv_id = 99")).orderBy("example").collect()
-    assert len(examples) == 300
-    assert chat_format.read_back(examples[5].context.removesuffix("<|im_start|>assistant\n")) == [("assistant", f"t{t}") for t in range(5)] and examples[5].target == "t5"
-    assert chat_format.digests(conversations.where("conv_id < 0")).count() == 0
+    for piece in (chat_format.PIECE_CHARS, 100):
+        left = dict(by)
+        for r in chat_format.digests(conversations, piece).collect():
+            turns = sorted(left.pop(r.conv_id))
+            assert r.n_turns == len(turns)
+            assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for _, a, b in turns).encode()).hexdigest()
+            loss = "".join(b for _, a, b in turns if a == "assistant")
+            assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+            assert r.formatted_chars == sum(len("".join(chat_format.rendered(a, b))) for _, a, b in turns)
+        assert not left
+        examples = chat_format.expand(conversations.where("conv_id = 99"), piece).orderBy("example").collect()
+        assert len(examples) == 300
+        assert list(chat_format.read_back(examples[5].context.removesuffix("<|im_start|>assistant\n"))) == [("assistant", f"t{t}") for t in range(5)] and examples[5].target == "t5"
+    clash = conversations.withColumns({c: F.lit("z") for c in ("part", "piece", "open", "formatted", "targets")})
+    assert sorted(chat_format.digests(clash).collect(), key=str) == sorted(chat_format.digests(conversations).collect(), key=str)
+    assert chat_format.digests(conversations.where("conv_id < 0")).count() == 0 and chat_format.expand(conversations.where("conv_id < 0")).count() == 0
+
+
+def test_a_very_long_turn_costs_few_copies():
+    import tracemalloc
+
+    text = "a<|b\\\n" * (2 << 20)
+    whole = "".join(chat_format.rendered("assistant", text))
+    tracemalloc.start()
+    assert sum(said == text for _, said in chat_format.read_back(whole)) == 1
+    assert tracemalloc.get_traced_memory()[1] < 4 * len(whole)
+    tracemalloc.stop()
 
 
 # op4
@@ -418,10 +457,6 @@ def library():
     return sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
 
 
-def thue_morse(n):
-    return "".join("ab"[i.bit_count() % 2] for i in range(n))
-
-
 def test_transducer_equals_the_library(library):
     import public_tokenizers
 

@@ -53,26 +53,16 @@ _BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_ODD))
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = _BYTE) -> np.ndarray:
-    """64-bit hashes of data[starts[i]:ends[i]]: differences of one running polynomial."""
+    """64-bit hashes of data[starts[i]:ends[i]]: differences of one running polynomial.
+
+    For features, where words may collide; they do not tell words apart.
+    """
     n = len(data)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(table[data] * _power(_ODD, n)[:n], out=sums[1:])
     return mixed((sums[ends] - sums[starts]) * _power(_INVERSE, n)[starts] + (ends - starts).astype(np.uint64))
 
 
-def window_hashes(words: np.ndarray, width: int, salt: int = 0) -> np.ndarray:
-    """64-bit hashes of every width consecutive words; none if there are fewer."""
-    n = len(words)
-    if n < width:
-        return np.zeros(0, np.uint64)
-    base = (_ODD * (2 * salt + 1) + 2 * salt) & (2**64 - 1) | 1
-    w = mixed(words + np.uint64(salt)) if salt else words
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(w * _power(base, n)[:n], out=sums[1:])
-    inverse = pow(base, -1, 1 << 64)
-    return mixed((sums[width:] - sums[:-width]) * _power(inverse, n)[: n - width + 1])
-
-
 def byte_class(members: Callable[[int], bool]) -> np.ndarray:
     return np.array([members(b) for b in range(256)])
 

@@ -15,13 +15,16 @@ Defined results: null text and null benchmark text have no words; an item of
 fewer than `width` words is one window, one of none is none; repeated items
 count once; the windows of an item without an id are hit, but it is not
 counted; repeated rows are judged each; empty tables give empty results (an
-empty benchmark: nothing is hit). Extra columns pass through `decontaminate`.
+empty benchmark: nothing is hit); a text of any length is searched whole (a
+shard of its own). Words are told apart by their bytes. Extra columns of any
+name pass through `decontaminate`; `contamination` doesn't read them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import chain, repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -29,34 +32,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.batches import byte_class, joined, pieces, runs, span_hashes
+from tidegraph.llm.batches import pieces, runs
 from tidegraph.llm.common import parallel
 from tidegraph.llm.fm_index import FMIndex
 
-#: Digits, letters in lower case and all of other scripts.
-_WORD = byte_class(lambda b: 48 <= b <= 57 or 97 <= b <= 122 or b >= 128)
+#: Letters A-Z in lower case; digits, letters and all of other scripts as they are; a space for the rest.
+_FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
 class Words(NamedTuple):
-    """Words of some texts: hashes, places in the joined bytes, and the first word of each text (and the end)."""
+    """Words of some texts as numbers of a vocabulary (0: not in it), and the first word of each text (and the end)."""
 
-    hashes: np.ndarray
-    starts: np.ndarray
-    ends: np.ndarray
+    ids: np.ndarray
     first: np.ndarray
-    at: np.ndarray
 
 
-def words_of(texts: list[bytes]) -> Words:
-    data, at = joined([t.lower() for t in texts])
-    starts, ends = runs(_WORD[data])
-    return Words(span_hashes(data, starts, ends), starts, ends, np.searchsorted(starts, at), at)
+def split(text: bytes) -> list[bytes]:
+    return text.translate(_FOLD).split()
+
+
+def places(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where a text's words start and end."""
+    return runs(np.frombuffer(text.translate(_FOLD), np.uint8) != 32)
+
+
+def words_of(lists: list[list[bytes]], vocabulary: dict[bytes, int]) -> Words:
+    first = np.zeros(len(lists) + 1, np.int64)
+    np.cumsum([len(x) for x in lists], out=first[1:])
+    return Words(np.fromiter(map(vocabulary.get, chain.from_iterable(lists), repeat(0)), np.int64, first[-1]), first)
 
 
 class Block(NamedTuple):
-    """Windows of some items: vocabulary by hash, windows by width, and each window's items."""
+    """Windows of some items: vocabulary (words by their bytes, from 1), windows by width, and each window's items."""
 
-    vocabulary: np.ndarray
+    vocabulary: dict[bytes, int]
     windows: list[np.ndarray]
     items: list[tuple[np.ndarray, np.ndarray]]
     names: list[str | None]
@@ -66,11 +75,12 @@ def block_of(rows: list[tuple[object, str | None]], width: int) -> Block:
     """The windows of rows (id, text)."""
     names = sorted({str(i) for i, _ in rows if i is not None})
     number = {x: i for i, x in enumerate(names)}
-    w = words_of([(t or "").encode() for _, t in rows])
-    vocabulary, ids = np.unique(w.hashes, return_inverse=True)
+    lists = [split((t or "").encode()) for _, t in rows]
+    vocabulary = {x: i for i, x in enumerate(sorted(set(chain.from_iterable(lists))), 1)}
+    w = words_of(lists, vocabulary)
     by_width: dict[int, list[tuple[np.ndarray, int]]] = {}
     for k, (name, _) in enumerate(rows):
-        own = ids[w.first[k] : w.first[k + 1]] + 1
+        own = w.ids[w.first[k] : w.first[k + 1]]
         if len(own):
             n = min(width, len(own))
             by_width.setdefault(n, []).append((np.lib.stride_tricks.sliding_window_view(own, n), -1 if name is None else number[str(name)]))
@@ -86,12 +96,10 @@ def block_of(rows: list[tuple[object, str | None]], width: int) -> Block:
 
 def search(w: Words, block: Block) -> tuple[np.ndarray, np.ndarray]:
     """Which words are hit, and the pairs (text, item) by number."""
-    hit, none = np.zeros(len(w.hashes), bool), np.zeros((0, 2), np.int64)
-    if not len(block.vocabulary) or not len(w.hashes):
+    hit, none = np.zeros(len(w.ids), bool), np.zeros((0, 2), np.int64)
+    if not block.vocabulary or not len(w.ids):
         return hit, none
-    slot = np.searchsorted(block.vocabulary, w.hashes)
-    slot[slot == len(block.vocabulary)] = 0
-    known = block.vocabulary[slot] == w.hashes
+    known = w.ids > 0
     # a run ends with its text: an edge of known words, or a text's first word
     broken = np.flatnonzero(known[1:] != known[:-1]) + 1
     cuts = np.unique(np.concatenate([[0], broken, w.first[w.first < len(known)]]))
@@ -103,11 +111,11 @@ def search(w: Words, block: Block) -> tuple[np.ndarray, np.ndarray]:
     # words of the runs, a zero after each
     to = np.cumsum(sizes + 1)
     place = np.arange(to[-1]) - np.repeat(to - sizes - 1, sizes + 1) + np.repeat(begin, sizes + 1)
-    text = slot[np.minimum(place, len(slot) - 1)] + 1
+    text = w.ids[np.minimum(place, len(w.ids) - 1)]
     text[to - 1] = 0
     index = FMIndex(text, len(block.vocabulary) + 1)
     pairs = [none]
-    cover = np.zeros(len(w.hashes) + 1, np.int64)
+    cover = np.zeros(len(w.ids) + 1, np.int64)
     for windows, (item_at, item) in zip(block.windows, block.items, strict=True):
         low, high = index.search(windows)
         found = np.flatnonzero(high > low)
@@ -131,38 +139,46 @@ def benchmark_blocks(benchmark: DataFrame, width: int, block_bytes: int) -> list
     rows = benchmark.select("item_id", "text").where("text is not null")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(total // block_bytes) + 1
-    dealt = rows.withColumn("_block", F.pmod(F.xxhash64("item_id", F.when(F.col("item_id").isNull(), F.col("text"))), F.lit(n)))
-    return [spark.sparkContext.broadcast(block_of([(r[0], r[1]) for r in dealt.where(F.col("_block") == i).drop("_block").collect()], width)) for i in range(n)]
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("item_id", F.when(F.col("item_id").isNull(), F.col("text"))), F.lit(n)))
+    return [spark.sparkContext.broadcast(block_of([(r[0], r[1]) for r in dealt.where(F.col("block") == i).drop("block").collect()], width)) for i in range(n)]
 
 
 def _shards(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[tuple[list[pa.RecordBatch], list[bytes]]]:
     parts: list[pa.RecordBatch] = []
     texts: list[bytes] = []
+    held = 0
     for part, own in pieces(batches):
-        if texts and sum(map(len, texts)) + sum(map(len, own)) > shard_bytes:
+        size = sum(map(len, own))
+        if texts and held + size > shard_bytes:
             yield parts, texts
-            parts, texts = [], []
+            parts, texts, held = [], [], 0
         parts.append(part)
         texts += own
+        held += size
     if texts:
         yield parts, texts
 
 
-def _marked(texts: list[bytes], blocks: list) -> tuple[Words, np.ndarray, list[list[str]]]:
-    """Words, which are hit, and the items of each text, over all blocks."""
-    w = words_of(texts)
-    hit = np.zeros(len(w.hashes), bool)
+def _marked(texts: list[bytes], blocks: list) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
+    """The first word of each text (and the end), which words are hit, and the items of each text, over all blocks."""
+    lists = [split(t) for t in texts]
+    first, hit = np.append(0, np.cumsum([len(x) for x in lists])), None
     items: list[list[str]] = [[] for _ in texts]
     for held in blocks:
         block = held.value
-        found, pairs = search(w, block)
-        hit |= found
+        found, pairs = search(words_of(lists, block.vocabulary), block)
+        hit = found if hit is None else hit | found
         for text, item in pairs.tolist():
             if item >= 0:
                 items[text].append(block.names[item])
         if len(blocks) > 1:
             held.__dict__.pop("_value", None)  # one block in memory at a time
-    return w, hit, items
+    return first, hit, items
+
+
+def _shard_size(shard_bytes: int, blocks: list) -> int:
+    """With many blocks, shards are larger, so that each block is read less often."""
+    return shard_bytes * min(4, len(blocks))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, shard_bytes: int = 4 << 20, block_bytes: int = 8 << 20) -> DataFrame:
@@ -171,18 +187,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, shard_
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for parts, texts in _shards(batches, shard_bytes):
-            w, hit, items = _marked(texts, blocks)
+        for parts, texts in _shards(batches, _shard_size(shard_bytes, blocks)):
+            first, hit, items = _marked(texts, blocks)
             hits = np.append(0, np.cumsum(hit))
-            n_hit = hits[w.first[1:]] - hits[w.first[:-1]]
+            n_hit = hits[first[1:]] - hits[first[:-1]]
             spans: list[list[dict]] = [[] for _ in texts]
             for k in np.flatnonzero(n_hit).tolist():
-                a, b = runs(hit[w.first[k] : w.first[k + 1]])
+                a, b = runs(hit[first[k] : first[k + 1]])
                 spans[k] = [{"first": x, "last": y - 1} for x, y in zip(a.tolist(), b.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.chunked_array([p.column("doc_id") for p in parts]).combine_chunks(),
-                    pa.array(np.diff(w.first), pa.int64()),
+                    pa.array(np.diff(first), pa.int64()),
                     pa.array(n_hit, pa.int64()),
                     pa.array([len(x) for x in items], pa.int64()),
                     pa.array([sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]),
@@ -201,18 +217,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, shard_
     blocks = benchmark_blocks(benchmark, width, block_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for parts, texts in _shards(batches, shard_bytes):
-            w, hit, _ = _marked(texts, blocks)
+        for parts, texts in _shards(batches, _shard_size(shard_bytes, blocks)):
+            word, hit, _ = _marked(texts, blocks)
             hits = np.append(0, np.cumsum(hit))
-            n_hit, n = hits[w.first[1:]] - hits[w.first[:-1]], np.diff(w.first)
+            n_hit, n = hits[word[1:]] - hits[word[:-1]], np.diff(word)
             gone = (n_hit > 0) & (n_hit == n)
             cut: dict[int, str] = {}
             for k in np.flatnonzero((n_hit > 0) & ~gone).tolist():
-                kept, at, base = [], 0, int(w.at[k])
-                first, last = runs(hit[w.first[k] : w.first[k + 1]])
-                for x, y in zip((first + w.first[k]).tolist(), (last + w.first[k] - 1).tolist(), strict=True):
-                    kept.append(texts[k][at : int(w.starts[x]) - base])
-                    at = int(w.ends[y]) - base
+                kept, at = [], 0
+                starts, ends = places(texts[k])
+                first, last = runs(hit[word[k] : word[k + 1]])
+                for x, y in zip(first.tolist(), (last - 1).tolist(), strict=True):
+                    kept.append(texts[k][at : int(starts[x])])
+                    at = int(ends[y])
                 cut[k] = b"".join([*kept, texts[k][at:]]).decode("utf-8", "replace")
             done = 0
             for part in parts:

@@ -33,7 +33,7 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)
 CHAT = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
-e AS (SELECT *, replace(replace(text, '\', '\\'), '<|', '<\|') AS shown, replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\' || chr(10)) AS label FROM c)
+e AS (SELECT *, replace(replace(text, '\', '\\'), '<|', '<\|') AS shown, replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '<\n|') AS label FROM c)
 SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,

@@ -7,17 +7,23 @@ its distinct windows have in the shard's count-min sketch, as sorted and packed
 lists; a shard adds the chunks' sketches up and answers with a bit for each
 cell sent: whether its count is two or more. A window is estimated repeated if
 all its cells are, which no window of two chunks can fail. Second pass: chunks
-send those windows alone, by 96 bits of hash and with the smallest document
-they have them in; the shard groups them exactly and answers which of them a
-smaller document elsewhere has. Windows within a chunk are compared there.
+send those windows alone, by 128 bits of hash over their words' bytes and with
+the smallest document they have them in; the shard groups them by all these bits
+and answers which of them a smaller document elsewhere has. Windows within a
+chunk are compared there, by the same bits.
 
 However often a window comes, a chunk sends it once, so no key is hot; the
-sketch is spread over shards of equal size instead of being broadcast.
+sketch is spread over shards of equal size instead of being broadcast. A chunk
+sends a message to each shard that it has windows of: chunks times shards of
+them, though never more than there are windows; at 100 TB both sizes have to be
+raised.
 
 Defined results: null and empty texts have no words; texts of fewer than
-`width` words lose none; repeated rows with one id do not remove each other's
-words, as neither has a smaller id; a null id counts as the largest; an empty
-table gives an empty result. Ids are integers.
+`width` words lose none; a text of any length is a chunk of its own at most;
+repeated rows with one id do not remove each other's words, as neither has a
+smaller id; a null id counts as the largest; an empty table gives an empty
+result. Ids are integers. Only doc_id and text are read, so extra columns of
+any name do not matter.
 """
 
 from __future__ import annotations
@@ -30,13 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.batches import byte_class, joined, pieces, runs, span_hashes, window_hashes
+from tidegraph.llm.batches import joined, pieces, runs
 from tidegraph.llm.common import checkpointed, parallel
 
-_WORD = byte_class(lambda b: b != 32 and not 9 <= b <= 13)
 #: Bits of a cell in each of the sketch's two rows, and of a hash's part that names the shard.
 CELL, SHARD = 22, 20
 _NONE = np.iinfo(np.int64).max
+#: Of the windows' hash.
+SEED = 0x7469646567726170
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -64,39 +71,51 @@ def _risen(raw: bytes, kind: type) -> np.ndarray:
 
 
 class Chunk:
-    """The windows of a chunk's documents."""
+    """The windows of a chunk's documents, told apart by 128 bits of hash over the bytes of their words."""
 
     def __init__(self, blob: bytes, width: int):
+        from xxhash import xxh3_128_digest
+
         self.width = width
         batch = pa.ipc.open_stream(blob).read_all().combine_chunks().to_batches()
         self.part = batch[0]
-        self.texts = self.part.column("text").to_pylist()
+        self.texts = [b" ".join(t.split()) for t in self.part.column("text").to_pylist()]
         data, at = joined(self.texts)
-        self.starts, self.ends = runs(_WORD[data])
-        self.first = np.searchsorted(self.starts, at)
-        self.raw, self.words = data, span_hashes(data, self.starts, self.ends)
+        starts, ends = runs((data != 32) & (data != 10))
+        self.n_words = len(starts)
+        self.first = np.searchsorted(starts, at)
         n = np.diff(self.first)
         ids = self.part.column("doc_id").cast(pa.int64()).fill_null(_NONE).to_numpy(zero_copy_only=False)
-        self.at = np.flatnonzero(np.arange(len(self.words)) + width <= np.repeat(self.first[1:], n))  # windows inside a document
-        hashes = window_hashes(self.words, width)[self.at] if len(self.at) else np.zeros(0, np.uint64)
-        self.distinct, self.example, self.back = np.unique(hashes, return_index=True, return_inverse=True)
+        self.at = np.flatnonzero(np.arange(self.n_words) + width <= np.repeat(self.first[1:], n))  # windows inside a document
+        raw = data.tobytes()
+        digests = b"".join([xxh3_128_digest(raw[a:b], SEED) for a, b in zip(starts[self.at].tolist(), ends[self.at + width - 1].tolist(), strict=True)])
+        high, low = np.frombuffer(digests, np.uint64).reshape(-1, 2).T
+        order = np.lexsort((low, high))
+        new = np.ones(len(order), bool)
+        new[1:] = (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])
+        #: Both halves of the distinct windows' hashes, in order.
+        self.high, self.low = high[order][new], low[order][new]
+        self.back = np.empty(len(order), np.int64)
+        self.back[order] = np.cumsum(new) - 1
         self.of = np.repeat(ids, n)[self.at]
-        self.least = np.full(len(self.distinct), _NONE)
+        self.least = np.full(len(self.high), _NONE)
         np.minimum.at(self.least, self.back, self.of)
 
-    def second(self, which: np.ndarray) -> np.ndarray:
-        """A further 32 bits of hash of distinct windows, by number."""
-        other = window_hashes(self.words, self.width, 1)
-        return (other[self.at[self.example[which]]] >> np.uint64(32)).astype(np.uint32)
-
     def shards(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """The shards that the distinct windows fall into, and where each begins (and the end)."""
-        shard = ((self.distinct >> np.uint64(64 - SHARD)) * np.uint64(n)) >> np.uint64(SHARD)
+        shard = ((self.high >> np.uint64(64 - SHARD)) * np.uint64(n)) >> np.uint64(SHARD)
         found, begin = np.unique(shard, return_index=True)
         return found.astype(np.int64), np.append(begin, len(shard))
 
     def cells(self, row: int) -> np.ndarray:
-        return ((self.distinct >> np.uint64(CELL * row)) & np.uint64((1 << CELL) - 1)).astype(np.uint32)
+        return ((self.high >> np.uint64(CELL * row)) & np.uint64((1 << CELL) - 1)).astype(np.uint32)
+
+    def find(self, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """The numbers of distinct windows, given by hash."""
+        at = np.searchsorted(self.high, high)
+        while (wrong := self.low[at] != low).any():  # windows that share the first half follow each other
+            at[wrong] += 1
+        return at
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -124,7 +143,8 @@ def _chunks(docs: DataFrame, width: int, chunk_bytes: int) -> DataFrame:
 
 def _answered(chunks: DataFrame, answers: DataFrame) -> DataFrame:
     """chunk, blob and all answers to that chunk."""
-    return chunks.select("chunk", "blob").join(answers.groupBy("chunk").agg(F.collect_list(F.struct("shard", "answer")).alias("answers")), "chunk", "left")
+    told = [c for c in answers.columns if c != "chunk"]
+    return chunks.select("chunk", "blob").join(answers.groupBy("chunk").agg(F.collect_list(F.struct(*told)).alias("answers")), "chunk", "left")
 
 
 def _estimated(chunks: DataFrame, width: int, n: int) -> DataFrame:
@@ -157,7 +177,7 @@ def _estimated(chunks: DataFrame, width: int, n: int) -> DataFrame:
 def _matched(asked: DataFrame, width: int, n: int) -> DataFrame:
     """chunk, shard, answer: the windows of a chunk, by hash, that a smaller document of another chunk has."""
     sent = pa.schema([("shard", pa.int64()), ("chunk", pa.int64()), ("first", pa.binary()), ("second", pa.binary()), ("least", pa.binary())])
-    told = pa.schema([("chunk", pa.int64()), ("shard", pa.int64()), ("answer", pa.binary())])
+    told = pa.schema([("chunk", pa.int64()), ("shard", pa.int64()), ("answer", pa.binary()), ("rest", pa.binary())])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,7 +185,7 @@ def _matched(asked: DataFrame, width: int, n: int) -> DataFrame:
                 chunk = Chunk(blob, width)
                 shards, begin = chunk.shards(n)
                 said = {x["shard"]: x["answer"] for x in answers or ()}
-                repeated = np.ones(len(chunk.distinct), bool)
+                repeated = np.ones(len(chunk.high), bool)
                 for row in range(2):
                     cells = chunk.cells(row)
                     for s, shard in enumerate(shards.tolist()):
@@ -175,19 +195,18 @@ def _matched(asked: DataFrame, width: int, n: int) -> DataFrame:
                             bits = np.unpackbits(np.frombuffer(said[shard], np.uint8)[half * row : half * (row + 1)], count=b - a).astype(bool)
                             repeated[a:b][np.argsort(cells[a:b], kind="stable")[~bits]] = False
                 which = np.flatnonzero(repeated)
-                second = chunk.second(which)
                 cut = np.searchsorted(which, begin)
                 rows = []
                 for s, shard in enumerate(shards.tolist()):
                     mine = slice(cut[s], cut[s + 1])
                     if cut[s] < cut[s + 1]:
-                        rows.append((shard, name, _rising(chunk.distinct[which[mine]]), _pack(second[mine]), _pack(chunk.least[which[mine]])))
+                        rows.append((shard, name, _rising(chunk.high[which[mine]]), _pack(chunk.low[which[mine]]), _pack(chunk.least[which[mine]])))
                 for lo in range(0, len(rows), 512):
                     yield _batch(rows[lo : lo + 512], sent)
 
     def group(table: pa.Table) -> pa.Table:
         first = [_risen(x, np.uint64) for x in table.column("first").to_pylist()]
-        second = np.concatenate([_unpack(x, np.uint32) for x in table.column("second").to_pylist()])
+        second = np.concatenate([_unpack(x, np.uint64) for x in table.column("second").to_pylist()])
         least = np.concatenate([_unpack(x, np.int64) for x in table.column("least").to_pylist()])
         sizes, whole = [len(x) for x in first], np.concatenate(first)
         order = np.lexsort((second, whole))
@@ -196,13 +215,13 @@ def _matched(asked: DataFrame, width: int, n: int) -> DataFrame:
         smallest[order] = np.minimum.reduceat(least[order], np.flatnonzero(new))[np.cumsum(new) - 1]
         elsewhere, at, rows = smallest < least, 0, []
         for name, shard, size, hashes in zip(table.column("chunk").to_pylist(), table.column("shard").to_pylist(), sizes, first, strict=True):
-            flagged = hashes[elsewhere[at : at + size]]
+            flagged = elsewhere[at : at + size]
+            if flagged.any():
+                rows.append((name, shard, _rising(hashes[flagged]), _pack(second[at : at + size][flagged])))
             at += size
-            if len(flagged):
-                rows.append((name, shard, _rising(flagged)))
         return pa.Table.from_batches([_batch(rows, told)])
 
-    return asked.mapInArrow(send, "shard long, chunk long, first binary, second binary, least binary").groupBy("shard").applyInArrow(group, "chunk long, shard long, answer binary")
+    return asked.mapInArrow(send, "shard long, chunk long, first binary, second binary, least binary").groupBy("shard").applyInArrow(group, "chunk long, shard long, answer binary, rest binary")
 
 
 def without_repeats(docs: DataFrame, width: int = 13, chunk_bytes: int = 4 << 20, shard_windows: int = 1 << 20) -> DataFrame:
@@ -217,11 +236,11 @@ def without_repeats(docs: DataFrame, width: int = 13, chunk_bytes: int = 4 << 20
         for batch in batches:
             for blob, answers in zip(batch.column("blob").to_pylist(), batch.column("answers").to_pylist(), strict=True):
                 chunk = Chunk(blob, width)
-                elsewhere = np.zeros(len(chunk.distinct), bool)
+                elsewhere = np.zeros(len(chunk.high), bool)
                 for x in answers or ():
-                    elsewhere[np.searchsorted(chunk.distinct, _risen(x["answer"], np.uint64))] = True
+                    elsewhere[chunk.find(_risen(x["answer"], np.uint64), _unpack(x["rest"], np.uint64))] = True
                 gone = elsewhere[chunk.back] | (chunk.least[chunk.back] < chunk.of)
-                cover = np.zeros(len(chunk.words) + 1, np.int64)
+                cover = np.zeros(chunk.n_words + 1, np.int64)
                 np.add.at(cover, chunk.at[gone], 1)
                 np.add.at(cover, chunk.at[gone] + width, -1)
                 removed = np.cumsum(cover[:-1]) > 0
