@@ -468,7 +468,7 @@ def test_transducer_equals_the_library(library):
     texts += [word, word.translate({97: 98, 98: 97}), f"{word} {word.translate({97: 98, 98: 97})}", "<s></s><unk><0x0A>", " ", "  ", "\n"]
     want = [len(library.encode(t)) for t in texts]
     for most in (200_000, 50):  # also with a table of states that is emptied again and again
-        machine = token_counts.Transducer(public_tokenizers.path("piece_bpe_32k.model"), most)
+        machine = token_counts.Transducer(public_tokenizers.path("piece_bpe_32k.model"), most, most // 2)
         some = slice(None) if most > 50 else slice(0, 300)
         assert [machine.count(t) for t in texts[some]] == want[some]
         assert most > 50 or len(machine.states) <= most

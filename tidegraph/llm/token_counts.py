@@ -12,7 +12,8 @@ piece may have begun the last piece there and the tokens since the first such
 place. A transition reads a character and carries the tokens that are settled
 by it; a state's final weight are those not settled yet. Pieces are short, so
 states are finitely many. States are made when first met, in a table of bounded
-size that is emptied when full. Two characters that are nowhere side by side in
+size that is emptied when full, and so are the paths of words from a state, so
+that a word met before is one step. Two characters that are nowhere side by side in
 a piece separate what is before from what is after.
 
 A text of over `long_bytes` is cut into chunks that are dealt over tasks. A
@@ -43,14 +44,31 @@ from tidegraph.llm.common import checkpointed, parallel
 
 #: The model's mark for a space.
 MARK = "▁"
+#: Characters of a word whose path is kept.
+WORD = 64
 #: Characters before a chunk that its entry state is taken from.
 BEFORE = 256
 
 
+class Paths(dict):
+    """Paths of whole words from a state: the state they lead to and the tokens settled."""
+
+    __slots__ = ("state",)
+
+    def __missing__(self, word: str) -> tuple[State, int]:
+        state, tokens = self.state, 0
+        for char in word:
+            state, settled = state[char]
+            tokens += settled
+        if len(word) <= WORD:
+            self.state.machine.keep(self)[word] = state, tokens
+        return state, tokens
+
+
 class State(dict):
     """Transitions by character: the next state and the tokens settled."""
 
-    __slots__ = ("machine", "suffix", "live", "final")
+    __slots__ = ("machine", "suffix", "live", "final", "paths")
 
     def __missing__(self, char: str) -> tuple[State, int]:
         made = self[char] = self.machine.transition(self, char)
@@ -60,7 +78,7 @@ class State(dict):
 class Transducer:
     """The pieces of a model, and the states made so far."""
 
-    def __init__(self, path: str, most_states: int = 200_000):
+    def __init__(self, path: str, most_states: int = 200_000, most_paths: int = 500_000):
         from sentencepiece import sentencepiece_model_pb2
 
         model = sentencepiece_model_pb2.ModelProto()
@@ -74,7 +92,7 @@ class Transducer:
         self.scores = {p.piece: p.score for p in model.pieces if p.type == kinds.NORMAL}
         self.prefixes = {p[:i] for p in self.scores for i in range(1, len(p))}
         self.beside = {p[i : i + 2] for p in self.scores for i in range(len(p) - 1)}
-        self.most_states = most_states
+        self.most_states, self.most_paths, self.kept = most_states, most_paths, 0
         self.agreed: dict[tuple[str | None, str], bool] = {}
         self.states: dict[tuple, State] = {}
         self.start = self.state("", ((0, None, 0),))
@@ -86,13 +104,25 @@ class Transducer:
             if len(self.states) >= self.most_states:
                 for old in self.states.values():
                     old.clear()
+                    old.paths.clear()
                 self.states.clear()
+                self.kept = 0
                 self.agreed.clear()
             made = State()
-            made.machine, made.suffix, made.live, made.final = self, suffix, live, live[-1][2]
+            made.machine, made.suffix, made.live, made.final, made.paths = self, suffix, live, live[-1][2], Paths()
+            made.paths.state = made
             self.states[suffix, live] = made
         return made
 
+    def keep(self, paths: Paths) -> Paths:
+        """paths, with room for one more; all are emptied when there are too many."""
+        if self.kept >= self.most_paths:
+            self.kept = 0
+            for state in self.states.values():
+                state.paths.clear()
+        self.kept += 1
+        return paths
+
     def merged(self, text: str) -> list[str]:
         """A short text's pieces: of neighbours that make a piece, the best goes first, the leftmost of equals."""
         parts = list(text)
@@ -128,11 +158,13 @@ class Transducer:
 
     @staticmethod
     def run(state: State, text: str) -> tuple[State, int]:
-        """The state that a text leads to, and the tokens settled on the way."""
-        tokens = 0
-        for char in text:
-            state, settled = state[char]
-            tokens += settled
+        """The state that a text leads to, and the tokens settled on the way: marks by transitions, words by paths."""
+        head, *words = text.split(MARK)
+        state, tokens = state.paths[head]
+        for word in words:
+            state, settled = state[MARK]
+            state, more = state.paths[word]
+            tokens += settled + more
         return state, tokens
 
     def count(self, text: str) -> int:
