@@ -64,16 +64,61 @@ def test_html_main_text():
     assert html_extraction.main_text("a < b <div", "h", {}) == "a < b"
 
 
+def test_names_and_tags_where_a_host_says_nothing():
+    text = lambda html: html_extraction.main_text(html, "h", {})
+    assert text("<p>a <span class='ad'>buy <span>now</span> cheap</span> b</p>") == "a b"
+    assert text("<main><header>Site x</header><p>y</p></main>") == "y"
+    assert text("<header>Site</header><article><header><h1>T</h1></header><p>y</p></article>") == "T y"
+    inside = "<article><h2 id=search>How to search</h2><section id=form-validation><p>v</p></section><div class='post-form'><p>f</p></div><div id='notice-period'>n</div><div class='related-work'>w</div><div class='share-buttons'>s</div><div class='comment-list'>c</div></article>"
+    assert text(inside) == "How to search v f n w"
+    assert text("<div id=content><p>The long text of the page itself, with much more to say.</p></div><article class=teaser>Card</article>") == "The long text of the page itself, with much more to say. Card"
+    assert text("<div class=intro>Hello</div><article><p>The long text of the page itself.</p></article>") == "The long text of the page itself."
+
+
+def test_parsing_is_linear():
+    import time
+
+    for html in ("<div>" * 20_000 + "</p></x></li></span>" * 20_000 + "deep", "<ul><li><x>" * 7_000 + "</li></b></td>" * 7_000 + "deep", "<p><i>" * 20_000 + "deep"):
+        began = time.perf_counter()
+        assert html_extraction.main_text(html, "h", {}) == "deep"
+        assert time.perf_counter() - began < 2
+    whole = " ".join(f"w{i}" for i in range(300_000))
+    assert html_extraction.main_text(f"<p>{whole}</p>", "h", {}) == whole
+
+
 def test_style_tree_removes_what_all_pages_share(spark):
     rows = [(i, f"http://one.example/{i}", f"<body><div class='z1'>Same words everywhere</div><div class='z2'><p>Story {i} of {i * 7}.</p></div></body>") for i in range(12)]
     rows += [(100, None, None), (101, "http://two.example/", "<body><div class='z1'>Same words everywhere</div></body>"), (101, "http://two.example/", "<body><div class='z1'>Same words everywhere</div></body>")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    rows += [(200 + i, f"http://three.example/{i}", "<body><div class='z1'>Same words everywhere</div></body>") for i in range(5)]  # nothing but the template
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("z") for c in ("pid", "packed", "values", "text", "element")})
     got = {(r.page_id, r.text, r.n_chars) for r in html_extraction.extract(pages).collect()}
-    assert got == {(i, f"Story {i} of {i * 7}.", len(f"Story {i} of {i * 7}.")) for i in range(12)} | {(100, "", 0), (101, "Same words everywhere", 21)}
-    assert html_extraction.extract(pages).count() == 15
+    assert got == {(i, f"Story {i} of {i * 7}.", len(f"Story {i} of {i * 7}.")) for i in range(12)} | {(100, "", 0), (101, "Same words everywhere", 21)} | {(200 + i, "", 0) for i in range(5)}
+    assert html_extraction.extract(pages).count() == 20
     assert html_extraction.extract(pages.where("page_id < 0")).count() == 0
 
 
+def test_the_tree_decides_on_names_that_content_can_have(spark):
+    """A form of which each page has its own is content; one that all pages share is not, and where nothing is known the name says so."""
+    page = lambda i, host: (i, f"http://{host}.example/{i}", f"<body><div class='contact-form'>Write to us</div><div class='order-form'>Form {i} asks for {i * i} items</div><p>Text {i}</p></body>")
+    rows = [page(i, "many") for i in range(10)] + [page(100, "few")]
+    got = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Form {i} asks for {i * i} items Text {i}" for i in range(10)} | {100: "Text 100"}
+
+
+def test_what_a_host_repeats_goes_from_real_pages(spark):
+    """Blocks without a telling name or tag, put into all pages of the tables: the tree alone can know them."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    host = F.regexp_extract("url", "://([^/:?#]*)", 1)
+    block = F.concat(F.lit("<body><div class='q1'><p>All of "), host, F.lit("</p><ul><li>one</li><li>two</li></ul></div>"))
+    put = pages.withColumn("html", F.replace("html", F.lit("<body>"), block))
+    without = {r.page_id: r.text for r in html_extraction.extract(pages).collect()}
+    n = {r["h"]: r["count"] for r in pages.groupBy(F.lower(host).alias("h")).count().collect()}
+    for r in put.select("page_id", "url").join(html_extraction.extract(put).select("page_id", "text"), "page_id").collect():
+        h = html_extraction.host_of(r.url)
+        kept = html_extraction.main_text(f"<p>All of {h}</p>", h, {})
+        assert r.text == without[r.page_id] or n[h] < 4 and kept in r.text, (r.url, n[h], r.text[:200])
+
+
 def test_copies_of_an_article_stay(spark):
     rows = [(i, f"http://one.example/{i}", "<body><article><h1>T</h1><p>The same story.</p></article></body>") for i in range(12)]
     got = html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).select("text").distinct().collect()

@@ -7,18 +7,27 @@ varies and how its content does. Their entropies give the element's importance:
 what looks and reads alike on every page of a host (menus, notices, adverts) is
 near zero. On a page, a branch's importance joins its own with that of its
 children (weighted by how many presentations it has), and branches in which all
-is below the threshold are removed. A host with few pages says little, so
-elements on fewer than `least_pages` pages count as important; what HTML itself
-or a plain name marks as not content goes without statistics, and paragraphs of
-an article are never removed for being copies of one another.
+is below the threshold are removed.
+
+What the tree cannot know is taken from the page: tags that HTML keeps for other
+things than content, and names (class, id, role) of adverts, menus and readers'
+comments, whose words differ from page to page. Names that also content can have
+(a notice, a form, a search) count only where the host has fewer than
+`least_pages` pages with that element; elsewhere the tree decides. In an article
+a name counts only if no other word goes with it, and headings and sections are
+never known by their ids. Text of an article is not removed for being the same
+on other pages; all else is, even if nothing is left.
 
 The tree is never in one place: its counts are grouped by element, the hot ones
 summed before they are shuffled, and each page meets its own elements' values
-by joins. Pages travel compressed.
+by joins. A page is parsed once for the tree and once for its text, by loops
+that are linear in its length; pages travel compressed.
 
 Defined results: null html gives an empty text, null url is a host of its own;
-broken and cut-off markup is read as far as it goes; repeated rows and ids are
-extracted each; an empty table gives an empty result.
+broken and cut-off markup is read as far as it goes, to any depth; repeated rows
+and ids are extracted each; pages of any length are read whole; an empty table
+gives an empty result. Only page_id, url and html are read, so extra columns of
+any name do not matter.
 """
 
 from __future__ import annotations
@@ -32,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import parallel
+from tidegraph.llm.common import checkpointed, parallel
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*\Z", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -44,64 +53,110 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 NOISE = frozenset("script style textarea title xmp iframe noembed noframes head nav footer aside form button select option menu dialog noscript template svg canvas object map audio video".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("html body table ul ol dl div article main section td th".split())
-#: Names in class, id or role that mark what is not content.
-MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense adbox sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs "
-    "topbar toolbar pagination pager footer masthead sidebar aside rail widget widgets notice notices cookie cookies consent gdpr alert popup modal overlay "
-    "copyright form search login signup subscribe newsletter comment comments replies reply disqus discussion respond share sharing social related recommended "
-    "trending contentinfo complementary skip".split()
+#: Names in class, id or role of what is no content whatever it says: the site's parts, what readers add, and adverts.
+STRONG = frozenset(
+    "ad ads advert adverts advertisement advertising adsense adbox sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs "
+    "topbar toolbar pagination footer masthead sidebar aside rail widget widgets cookie cookies consent gdpr popup modal copyright "
+    "signup newsletter share sharing contentinfo complementary comment comments replies reply disqus respond".split()
 )
 #: Of these, marks of what readers or the site add; an article in there is no main text.
-ADDED = frozenset("comment comments replies reply disqus discussion respond related recommended trending".split())
+ADDED = frozenset("comment comments replies reply disqus respond".split())
+#: Names of what often is no content; the tree decides where it can.
+WEAK = frozenset("banner notice notices alert overlay form search login subscribe pager discussion social related recommended trending skip".split())
+#: Words that say nothing by themselves beside one of the names above.
+NEUTRAL = frozenset("area bar block body box button buttons col container content cta group holder icon icons inner item items left link links list main module outer panel primary right row secondary section site slot text top bottom unit wrap wrapper".split())
 PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol blockquote pre td th tr table tbody thead figcaption figure dl dt dd".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN = frozenset(("article", "main"))
 GAMMA = 0.9
+#: From this importance on, an element with a weak name is content.
+IMPORTANT = 0.6
 
 
 class Page(NamedTuple):
-    """Elements in page order (0 is the root) and blocks of text."""
+    """Elements in page order (0 is the root) and blocks of text.
+
+    noise: what an element's names say (0 nothing, 1 weak, 2 strong, 3 an addition), in general and inside an article.
+    """
 
     tag: list[str]
     parent: list[int]
     label: list[str]
-    noise: list[int]
+    noise: list[tuple[int, int]]
     blocks: list[tuple[int, str]]
     links: list[int]
 
 
-def _marked(attributes: str) -> tuple[str, int]:
-    """Class and id as part of a label, and whether a name in them marks no content (1) or an addition (2)."""
-    label, noise = "", 0
+def _said(value: str) -> tuple[int, int]:
+    """What names say, and what those say that no other word goes with."""
+    most = alone = 0
+    for token in value.split():
+        words = {x.lower() for x in _NAME.findall(token)}
+        level = 3 if words & ADDED else 2 if words & STRONG else 1 if words & WEAK else 0
+        most = max(most, level)
+        if level and all(w in STRONG or w in WEAK or w in NEUTRAL or len(w) == 1 for w in words):
+            alone = max(alone, level)
+    return most, alone
+
+
+def _marked(tag: str, attributes: str) -> tuple[str, tuple[int, int]]:
+    """Class and id as part of a label, and what names in them say."""
+    label, noise = "", (0, 0)
     for kind, a, b, c in _ATTRIBUTE.findall(attributes):
-        value = a or b or c
-        names = {x.lower() for x in _NAME.findall(value)}
-        noise = max(noise, 2 if names & ADDED else 1 if names & MARKS else 0)
-        if kind.lower() != "role":
+        value, kind = a or b or c, kind.lower()
+        most, alone = _said(value)
+        if kind == "id" and tag in HEADINGS:
+            most = 0
+        if kind == "id" and (tag in HEADINGS or tag == "section"):
+            alone = 0
+        noise = max(noise[0], most), max(noise[1], alone)
+        if kind != "role":
             label += f".{' '.join(sorted(re.sub('[0-9]+', '0', value).split()))}"
     return label, noise
 
 
+class _Stack:
+    """Open elements, with the places of each tag, so that none has to be looked for."""
+
+    def __init__(self) -> None:
+        self.numbers, self.tags, self.at = [0], [""], {}
+
+    def push(self, number: int, tag: str) -> None:
+        self.at.setdefault(tag, []).append(len(self.numbers))
+        self.numbers.append(number)
+        self.tags.append(tag)
+
+    def last(self, tags: frozenset | set | tuple) -> int:
+        """The place of the innermost open element of these tags; 0 is none."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def cut(self, to: int) -> None:
+        for tag in self.tags[to:]:
+            self.at[tag].pop()
+        del self.numbers[to:], self.tags[to:]
+
+
 def parse(html: str) -> Page:
-    page = Page([""], [-1], [""], [0], [], [0])
-    stack, buffer = [0], []
-    linked = 0
+    page = Page([""], [-1], [""], [(0, 0)], [], [0])
+    stack, buffer = _Stack(), []
+    linked, nested = 0, 0
 
     def flush() -> None:
         if buffer:
             text = " ".join("".join(buffer).split())
             if text:
-                page.blocks.append((stack[-1], text))
+                page.blocks.append((stack.numbers[-1], text))
             buffer.clear()
 
     def close(to: int) -> None:
         flush()
-        del stack[to:]
+        stack.cut(to)
 
     def said(text: str) -> None:
         if text:
             buffer.append(unescape(text) if "&" in text else text)
             if linked:
-                page.links[stack[-1]] += len(text)
+                page.links[stack.numbers[-1]] += len(text)
 
     at, n = 0, len(html)
     while at < n:
@@ -117,16 +172,17 @@ def parse(html: str) -> Page:
         if tag == "a":
             linked = 0 if m[1] else 1
         if m[1]:
-            if tag in INLINE:
-                if page.noise[stack[-1]] and page.tag[stack[-1]] == tag:
-                    close(len(stack) - 1)
+            if tag in INLINE:  # only marked ones are open elements; plain ones inside them are counted
+                if stack.tags[-1] == tag:
+                    if nested:
+                        nested -= 1
+                    else:
+                        close(len(stack.tags) - 1)
                 continue
-            for i in range(len(stack) - 1, 0, -1):
-                if page.tag[stack[i]] == tag:
-                    close(i)
-                    break
-                if tag in ("p", "li") and page.tag[stack[i]] in SCOPE:
-                    break
+            i = stack.last((tag,))
+            if i and (tag not in ("p", "li") or i >= stack.last(SCOPE - {tag})):
+                close(i)
+                nested = 0
             continue
         if tag == "br":
             buffer.append(" ")
@@ -135,29 +191,28 @@ def parse(html: str) -> Page:
             if tag == "hr":
                 flush()
             continue
-        label, noise = _marked(m[3]) if m[3] and not m[3].isspace() else ("", 0)
-        if tag in INLINE and not noise:
+        label, noise = _marked(tag, m[3]) if m[3] and not m[3].isspace() else ("", (0, 0))
+        if tag in INLINE and not noise[0]:
+            nested += stack.tags[-1] == tag
             continue
         flush()
         if tag not in INLINE:
-            shut = CLOSES.get(tag, ())
-            for i in range(len(stack) - 1, 0, -1):
-                own = page.tag[stack[i]]
-                if own == "p" or own in shut:
-                    close(i)
-                elif own in SCOPE:
-                    break
+            shut = {"p", *CLOSES.get(tag, ())}
+            scope = SCOPE - shut
+            while (i := stack.last(shut)) and i > stack.last(scope):
+                close(i)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
             at = end.end() if end else n
             continue
         page.tag.append(tag)
-        page.parent.append(stack[-1])
+        page.parent.append(stack.numbers[-1])
         page.label.append(tag + label)
         page.noise.append(noise)
         page.links.append(0)
         if not m[3].endswith("/") or tag not in ("svg", "path"):
-            stack.append(len(page.tag) - 1)
+            stack.push(len(page.tag) - 1, tag)
+            nested = 0
     flush()
     return page
 
@@ -199,64 +254,86 @@ def tree_features(html: str, host: str) -> set[tuple[int, int, int]]:
     return out | {(_signed(keys[i]), 1, _signed(xxh64_intdigest(text))) for i, text in page.blocks}
 
 
+def importances(page: Page, values: list[tuple[float, float, int] | None], own: list[list[str]]) -> list[float | None]:
+    """Each element's importance, of its own presentation and the mean of its content and children; None where the tree has none."""
+    n = len(values)
+    total, count, known = [0.0] * n, [0] * n, [None] * n
+    for i in range(n - 1, -1, -1):
+        shape, content, styles = values[i] or (1.0, 1.0, 1)
+        parts, number = total[i] + (content if own[i] else 0.0), count[i] + bool(own[i])
+        weight = GAMMA**styles
+        importance = (1 - weight) * shape + weight * parts / number if number else shape
+        known[i] = importance if values[i] else None
+        if i:
+            total[page.parent[i]] += importance
+            count[page.parent[i]] += 1
+    return known
+
+
 def main_text(html: str, host: str, values: dict[int, tuple[float, float, int]], threshold: float = 0.25) -> str:
-    """The page's text without noise; values: presentation and content importance and number of presentations of elements."""
+    """The page's text without noise; values: presentation and content importance and number of presentations of elements that the tree knows."""
     page = parse(html)
-    keys = keys_of(page, host)
-    n = len(keys)
-    holds, inside, gone = [False] * n, [False] * n, [False] * n
-    for i in range(n - 1, 0, -1):
-        if page.tag[i] in MAIN or holds[i]:
-            holds[page.parent[i]] = True
-    own = [[] for _ in keys]
+    known = [values.get(_signed(k)) for k in keys_of(page, host)]
+    n = len(known)
+    own: list[list[str]] = [[] for _ in known]
     for i, text in page.blocks:
         own[i].append(text)
-    for i in range(1, n):
-        up = page.parent[i]
-        inside[i] = inside[up] or page.tag[i] in MAIN
-        by_name = page.noise[i] > 0 and not (page.tag[i] in ("html", "body", "main") or holds[i] and page.noise[i] == 1)
-        gone[i] = gone[up] or page.tag[i] in NOISE or by_name or page.tag[i] == "header" and not inside[up] and not holds[i]
-    # importance from below: own, and the mean of the children's
-    total, count, alive = [0.0] * n, [0] * n, [False] * n
-    low = [True] * n
+    importance = importances(page, known, own)
+    low = [known[i] is not None and importance[i] < threshold and (not own[i] or known[i][1] < threshold) for i in range(n)]
+    holds = [False] * n
     for i in range(n - 1, 0, -1):
-        shape, content, styles = values.get(_signed(keys[i]), (1.0, 1.0, 1))
-        parts, number = total[i] + (content if own[i] else 0.0), count[i] + bool(own[i])
-        weight = GAMMA**styles
-        importance = ((1 - weight) * shape + weight * parts / number) if number else shape if not own[i] else content
-        low[i] = low[i] and importance < threshold and (content < threshold or not own[i])
-        up = page.parent[i]
-        total[up] += importance
-        count[up] += 1
-        low[up] = low[up] and low[i]
-    articles = any(page.tag[i] in MAIN and not gone[i] for i in range(n))
-    pruned = gone[:]
+        if page.tag[i] in MAIN or holds[i]:
+            holds[page.parent[i]] = True
+        if not low[i]:
+            low[page.parent[i]] = False
+    inside, article, gone = [False] * n, [False] * n, [False] * n
     for i in range(1, n):
-        kept = holds[i] or page.tag[i] in MAIN or page.tag[i] in PLAIN and "." not in page.label[i] and (inside[i] or not articles)
-        links = page.links[i] > 0.8 * max(1, sum(map(len, own[i]))) and not inside[i] and bool(own[i])
-        pruned[i] = pruned[page.parent[i]] or pruned[i] or low[i] and not kept or links and page.tag[i] in ("ul", "ol", "li", "div", "td")
-    for dead in (pruned, gone):
-        text = " ".join(t for i, t in page.blocks if not dead[i] and (inside[i] or not articles))
-        if text:
-            return text
-    return ""
-
-
-def style_tree(pages: DataFrame, least_pages: int = 8) -> DataFrame:
-    """element, shape, content, styles of the merged trees of pages (url, html); elements of full importance are left out."""
+        up, tag = page.parent[i], page.tag[i]
+        inside[i] = inside[up] or tag in MAIN
+        article[i] = tag == "article" or article[up] and tag != "main"
+        level = page.noise[i][inside[up]]
+        if level == 1 and importance[i] is not None and importance[i] >= IMPORTANT:
+            level = 0
+        by_name = level > 0 and tag not in ("html", "body", "main") and (level == 3 or not holds[i])
+        by_tag = tag in NOISE or tag == "header" and not article[up] and not holds[i]
+        copied = low[i] and not holds[i] and not (inside[i] and (tag in MAIN or tag in PLAIN and "." not in page.label[i]))
+        links = not inside[i] and bool(own[i]) and page.links[i] > 0.8 * sum(map(len, own[i])) and tag in ("ul", "ol", "li")
+        gone[i] = gone[up] or by_tag or by_name or copied or links
+    left = [(i, text) for i, text in page.blocks if not gone[i]]
+    # <main> says where the content is; articles do if most of what is left is in them
+    size = lambda of: sum(len(t) for i, t in left if of(i))
+    if any(page.tag[i] == "main" and not gone[i] for i in range(n)) or 2 * size(lambda i: inside[i]) >= size(lambda i: True) > 0:
+        left = [(i, t) for i, t in left if inside[i]] or left
+    return " ".join(t for _, t in left)
+
+
+def _features(pages: DataFrame) -> DataFrame:
+    """pid, elements, kinds, hashes: a row a page, with arrays of its features."""
+    names = ["pid", "elements", "kinds", "hashes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held: list[tuple[int, int, int]] = []
+            rows = []
             for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                held += tree_features(html or "", host_of(url))
-                if len(held) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*held, strict=True)], ["element", "kind", "feature"])
-                    held = []
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*held, strict=True)], ["element", "kind", "feature"])
-
-    counts = parallel(pages.select("url", "html")).mapInArrow(run, "element long, kind long, feature long").groupBy("element", "kind", "feature").agg(F.count(F.lit(1)).alias("n"))
+                rows.append((_pid(url, html), *map(list, zip(*sorted(tree_features(html or "", host_of(url))), strict=True))))
+            if rows:
+                longs = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), longs, pa.list_(pa.int8()), longs], strict=True)], names)
+
+    # written once, so that a page is parsed once for the tree and its own elements
+    return checkpointed(parallel(pages.select("url", "html")).mapInArrow(run, "pid long, elements array<long>, kinds array<tinyint>, hashes array<long>"))
+
+
+def _pid(url: str | None, html: str | None) -> int:
+    from xxhash import xxh64_intdigest
+
+    return _signed(xxh64_intdigest((html or "").encode("utf-8", "replace"), xxh64_intdigest((url or "").encode())))
+
+
+def style_tree(features: DataFrame, least_pages: int) -> DataFrame:
+    """element, shape, content, styles of the merged trees, for elements of least_pages pages."""
+    rows = features.select(F.inline(F.arrays_zip("elements", "kinds", "hashes"))).toDF("element", "kind", "feature")
+    counts = rows.groupBy("element", "kind", "feature").agg(F.count(F.lit(1)).alias("n"))
     shape, content = F.col("kind") == 0, F.col("kind") == 1
     tree = counts.groupBy("element").agg(
         F.sum(F.when(shape, F.col("n"))).alias("m"),
@@ -265,35 +342,25 @@ def style_tree(pages: DataFrame, least_pages: int = 8) -> DataFrame:
         F.avg(F.when(content, F.log("n"))).alias("c"),
     )
     m = F.log(F.col("m"))
-    return tree.where(F.col("m") >= least_pages).select("element", ((m - F.col("s") / F.col("m")) / m).alias("shape"), F.coalesce(1 - F.col("c") / m, F.lit(1.0)).alias("content"), F.col("styles").cast("int").alias("styles")).where("shape < 0.95 or content < 0.95")
+    return tree.where(F.col("m") >= least_pages).select("element", ((m - F.col("s") / F.col("m")) / m).alias("shape"), F.coalesce(1 - F.col("c") / m, F.lit(1.0)).alias("content"), F.col("styles").cast("int").alias("styles"))
 
 
-def extract(pages: DataFrame, least_pages: int = 8, threshold: float = 0.25) -> DataFrame:
+def extract(pages: DataFrame, least_pages: int = 4, threshold: float = 0.25) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages (page_id, url, html)."""
+    if least_pages < 2:
+        raise ValueError("one page has no statistics")
     pages = pages.select("page_id", "url", "html")
     id_kind, url_kind = (pages.schema[c].dataType.simpleString() for c in ("page_id", "url"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
-        from xxhash import xxh64_intdigest
 
         squeeze = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             urls, htmls = (batch.column(c).to_pylist() for c in ("url", "html"))
-            raw = [(h or "").encode("utf-8", "replace") for h in htmls]
-            ids = [_signed(xxh64_intdigest(h, xxh64_intdigest((u or "").encode()))) for u, h in zip(urls, raw, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column("page_id"), batch.column("url"), pa.array([squeeze.compress(h) for h in raw], pa.binary())], ["pid", "page_id", "url", "packed"])
-
-    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
-
-        for batch in batches:
-            held: list[tuple[int, int]] = []
-            for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                pid = _signed(xxh64_intdigest((html or "").encode("utf-8", "replace"), xxh64_intdigest((url or "").encode())))
-                held += [(pid, k) for k in {_signed(k) for k in keys_of(parse(html or ""), host_of(url))}]
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*held, strict=True)], ["pid", "element"])
+            ids = [_pid(u, h) for u, h in zip(urls, htmls, strict=True)]
+            packed = [squeeze.compress((h or "").encode("utf-8", "replace")) for h in htmls]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column("page_id"), batch.column("url"), pa.array(packed, pa.binary())], ["pid", "page_id", "url", "packed"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -306,8 +373,8 @@ def extract(pages: DataFrame, least_pages: int = 8, threshold: float = 0.25) ->
                 texts.append(main_text(loose.decompress(packed).decode("utf-8", "replace"), host_of(url), known, threshold))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    source = parallel(pages)
-    met = source.mapInArrow(elements, "pid long, element long").join(style_tree(pages, least_pages), "element")
+    features = _features(pages)
+    met = features.select("pid", F.explode(F.array_distinct("elements")).alias("element")).join(style_tree(features, least_pages), "element")
     values = met.groupBy("pid").agg(F.collect_set(F.struct("element", "shape", "content", "styles")).alias("values"))
-    packed = source.mapInArrow(pack, f"pid long, page_id {id_kind}, url {url_kind}, packed binary")
+    packed = parallel(pages).mapInArrow(pack, f"pid long, page_id {id_kind}, url {url_kind}, packed binary")
     return packed.join(values, "pid", "left").select("page_id", "url", "packed", "values").mapInArrow(read, f"page_id {id_kind}, url {url_kind}, text string, n_chars long")
