@@ -19,6 +19,7 @@ def spark():
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "4g")
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp())
+        .config("spark.checkpoint.dir", tempfile.mkdtemp())
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
