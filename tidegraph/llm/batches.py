@@ -63,6 +63,16 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: n
     return mixed((sums[ends] - sums[starts]) * _power(_INVERSE, n)[starts] + (ends - starts).astype(np.uint64))
 
 
+def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """64-bit hashes of every width consecutive numbers, which have to be random themselves; none if there are fewer."""
+    n = len(words)
+    if n < width:
+        return np.zeros(0, np.uint64)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(words * _power(_ODD, n)[:n], out=sums[1:])
+    return mixed((sums[width:] - sums[:-width]) * _power(_INVERSE, n)[: n - width + 1])
+
+
 def byte_class(members: Callable[[int], bool]) -> np.ndarray:
     return np.array([members(b) for b in range(256)])
 

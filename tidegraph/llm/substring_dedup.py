@@ -7,9 +7,9 @@ its distinct windows have in the shard's count-min sketch, as sorted and packed
 lists; a shard adds the chunks' sketches up and answers with a bit for each
 cell sent: whether its count is two or more. A window is estimated repeated if
 all its cells are, which no window of two chunks can fail. Second pass: chunks
-send those windows alone, by 128 bits of hash over their words' bytes and with
-the smallest document they have them in; the shard groups them by all these bits
-and answers which of them a smaller document elsewhere has. Windows within a
+send those windows alone, by 128 bits of hash and with the smallest document
+they have them in; the shard groups them by all these bits and answers, a bit
+each, which of them a smaller document elsewhere has. Windows within a
 chunk are compared there, by the same bits.
 
 However often a window comes, a chunk sends it once, so no key is hot; the
@@ -30,19 +30,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.batches import joined, pieces, runs
+from tidegraph.llm.batches import pieces, window_hashes
 from tidegraph.llm.common import checkpointed, parallel
 
 #: Bits of a cell in each of the sketch's two rows, and of a hash's part that names the shard.
 CELL, SHARD = 22, 20
 _NONE = np.iinfo(np.int64).max
-#: Of the windows' hash.
+#: Of the words' hash.
 SEED = 0x7469646567726170
 
 
@@ -71,7 +72,11 @@ def _risen(raw: bytes, kind: type) -> np.ndarray:
 
 
 class Chunk:
-    """The windows of a chunk's documents, told apart by 128 bits of hash over the bytes of their words."""
+    """The windows of a chunk's documents, told apart by 128 bits of hash.
+
+    Each word has 128 bits of a hash of its bytes, and a window's halves are
+    made of its words' first and second halves.
+    """
 
     def __init__(self, blob: bytes, width: int):
         from xxhash import xxh3_128_digest
@@ -79,17 +84,16 @@ class Chunk:
         self.width = width
         batch = pa.ipc.open_stream(blob).read_all().combine_chunks().to_batches()
         self.part = batch[0]
-        self.texts = [b" ".join(t.split()) for t in self.part.column("text").to_pylist()]
-        data, at = joined(self.texts)
-        starts, ends = runs((data != 32) & (data != 10))
-        self.n_words = len(starts)
-        self.first = np.searchsorted(starts, at)
-        n = np.diff(self.first)
+        self.words = [t.split() for t in self.part.column("text").to_pylist()]
+        n = np.array([len(w) for w in self.words], np.int64)
+        self.first = np.append(0, np.cumsum(n))
+        self.n_words = int(self.first[-1])
+        number = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(self.words)))}
+        halves = np.frombuffer(b"".join([xxh3_128_digest(w, SEED) for w in number]), np.uint64).reshape(-1, 2)
+        of = np.fromiter(map(number.__getitem__, chain.from_iterable(self.words)), np.int64, self.n_words)
         ids = self.part.column("doc_id").cast(pa.int64()).fill_null(_NONE).to_numpy(zero_copy_only=False)
         self.at = np.flatnonzero(np.arange(self.n_words) + width <= np.repeat(self.first[1:], n))  # windows inside a document
-        raw = data.tobytes()
-        digests = b"".join([xxh3_128_digest(raw[a:b], SEED) for a, b in zip(starts[self.at].tolist(), ends[self.at + width - 1].tolist(), strict=True)])
-        high, low = np.frombuffer(digests, np.uint64).reshape(-1, 2).T
+        high, low = (window_hashes(halves[of, k], width)[self.at] if len(self.at) else np.zeros(0, np.uint64) for k in range(2))
         order = np.lexsort((low, high))
         new = np.ones(len(order), bool)
         new[1:] = (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])
@@ -110,12 +114,21 @@ class Chunk:
     def cells(self, row: int) -> np.ndarray:
         return ((self.high >> np.uint64(CELL * row)) & np.uint64((1 << CELL) - 1)).astype(np.uint32)
 
-    def find(self, high: np.ndarray, low: np.ndarray) -> np.ndarray:
-        """The numbers of distinct windows, given by hash."""
-        at = np.searchsorted(self.high, high)
-        while (wrong := self.low[at] != low).any():  # windows that share the first half follow each other
-            at[wrong] += 1
-        return at
+    def asked(self, n: int, answers: list[dict] | None) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+        """The distinct windows estimated repeated, by number, and the part of them that each shard is asked about."""
+        shards, begin = self.shards(n)
+        said = {x["shard"]: x["answer"] for x in answers or ()}
+        repeated = np.ones(len(self.high), bool)
+        for row in range(2):
+            cells = self.cells(row)
+            for s, shard in enumerate(shards.tolist()):
+                a, b = begin[s], begin[s + 1]
+                half = len(said[shard]) // 2
+                bits = np.unpackbits(np.frombuffer(said[shard], np.uint8)[half * row : half * (row + 1)], count=b - a).astype(bool)
+                repeated[a:b][np.argsort(cells[a:b], kind="stable")[~bits]] = False
+        which = np.flatnonzero(repeated)
+        cut = np.searchsorted(which, begin)
+        return which, [(shard, slice(cut[s], cut[s + 1])) for s, shard in enumerate(shards.tolist()) if cut[s] < cut[s + 1]]
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -141,10 +154,9 @@ def _chunks(docs: DataFrame, width: int, chunk_bytes: int) -> DataFrame:
     return made
 
 
-def _answered(chunks: DataFrame, answers: DataFrame) -> DataFrame:
-    """chunk, blob and all answers to that chunk."""
-    told = [c for c in answers.columns if c != "chunk"]
-    return chunks.select("chunk", "blob").join(answers.groupBy("chunk").agg(F.collect_list(F.struct(*told)).alias("answers")), "chunk", "left")
+def _answered(chunks: DataFrame, answers: DataFrame, name: str) -> DataFrame:
+    """chunks with all answers to each, as an array of that name."""
+    return chunks.join(answers.groupBy("chunk").agg(F.collect_list(F.struct("shard", "answer")).alias(name)), "chunk", "left")
 
 
 def _estimated(chunks: DataFrame, width: int, n: int) -> DataFrame:
@@ -175,34 +187,18 @@ def _estimated(chunks: DataFrame, width: int, n: int) -> DataFrame:
 
 
 def _matched(asked: DataFrame, width: int, n: int) -> DataFrame:
-    """chunk, shard, answer: the windows of a chunk, by hash, that a smaller document of another chunk has."""
+    """chunk, shard, answer: a bit for each window asked about, whether a smaller document has it."""
     sent = pa.schema([("shard", pa.int64()), ("chunk", pa.int64()), ("first", pa.binary()), ("second", pa.binary()), ("least", pa.binary())])
-    told = pa.schema([("chunk", pa.int64()), ("shard", pa.int64()), ("answer", pa.binary()), ("rest", pa.binary())])
+    told = pa.schema([("chunk", pa.int64()), ("shard", pa.int64()), ("answer", pa.binary())])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, blob, answers in zip(*(batch.column(c).to_pylist() for c in ("chunk", "blob", "answers")), strict=True):
+            for name, blob, answers in zip(*(batch.column(c).to_pylist() for c in ("chunk", "blob", "estimates")), strict=True):
                 chunk = Chunk(blob, width)
-                shards, begin = chunk.shards(n)
-                said = {x["shard"]: x["answer"] for x in answers or ()}
-                repeated = np.ones(len(chunk.high), bool)
-                for row in range(2):
-                    cells = chunk.cells(row)
-                    for s, shard in enumerate(shards.tolist()):
-                        a, b = begin[s], begin[s + 1]
-                        if shard in said:  # without an answer every window goes on
-                            half = len(said[shard]) // 2
-                            bits = np.unpackbits(np.frombuffer(said[shard], np.uint8)[half * row : half * (row + 1)], count=b - a).astype(bool)
-                            repeated[a:b][np.argsort(cells[a:b], kind="stable")[~bits]] = False
-                which = np.flatnonzero(repeated)
-                cut = np.searchsorted(which, begin)
-                rows = []
-                for s, shard in enumerate(shards.tolist()):
-                    mine = slice(cut[s], cut[s + 1])
-                    if cut[s] < cut[s + 1]:
-                        rows.append((shard, name, _rising(chunk.high[which[mine]]), _pack(chunk.low[which[mine]]), _pack(chunk.least[which[mine]])))
-                for lo in range(0, len(rows), 512):
-                    yield _batch(rows[lo : lo + 512], sent)
+                which, parts = chunk.asked(n, answers)
+                for lo in range(0, len(parts), 512):
+                    rows = [(shard, name, _rising(chunk.high[own]), _pack(chunk.low[own]), _pack(chunk.least[own])) for shard, own in ((shard, which[part]) for shard, part in parts[lo : lo + 512])]
+                    yield _batch(rows, sent)
 
     def group(table: pa.Table) -> pa.Table:
         first = [_risen(x, np.uint64) for x in table.column("first").to_pylist()]
@@ -214,14 +210,14 @@ def _matched(asked: DataFrame, width: int, n: int) -> DataFrame:
         smallest = np.empty(len(whole), np.int64)
         smallest[order] = np.minimum.reduceat(least[order], np.flatnonzero(new))[np.cumsum(new) - 1]
         elsewhere, at, rows = smallest < least, 0, []
-        for name, shard, size, hashes in zip(table.column("chunk").to_pylist(), table.column("shard").to_pylist(), sizes, first, strict=True):
+        for name, shard, size in zip(table.column("chunk").to_pylist(), table.column("shard").to_pylist(), sizes, strict=True):
             flagged = elsewhere[at : at + size]
-            if flagged.any():
-                rows.append((name, shard, _rising(hashes[flagged]), _pack(second[at : at + size][flagged])))
             at += size
+            if flagged.any():
+                rows.append((name, shard, np.packbits(flagged).tobytes()))
         return pa.Table.from_batches([_batch(rows, told)])
 
-    return asked.mapInArrow(send, "shard long, chunk long, first binary, second binary, least binary").groupBy("shard").applyInArrow(group, "chunk long, shard long, answer binary, rest binary")
+    return asked.mapInArrow(send, "shard long, chunk long, first binary, second binary, least binary").groupBy("shard").applyInArrow(group, "chunk long, shard long, answer binary")
 
 
 def without_repeats(docs: DataFrame, width: int = 13, chunk_bytes: int = 4 << 20, shard_windows: int = 1 << 20) -> DataFrame:
@@ -229,16 +225,20 @@ def without_repeats(docs: DataFrame, width: int = 13, chunk_bytes: int = 4 << 20
     chunks = _chunks(docs, width, chunk_bytes)
     total = chunks.agg(F.sum("n")).first()[0] or 0
     n = min(int(total // shard_windows) + 1, 1 << SHARD)
-    found = _matched(_answered(chunks, _estimated(chunks, width, n)), width, n)
+    asked = _answered(chunks.select("chunk", "blob"), _estimated(chunks, width, n), "estimates")
+    found = _answered(asked, _matched(asked, width, n), "answers")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for blob, answers in zip(batch.column("blob").to_pylist(), batch.column("answers").to_pylist(), strict=True):
+            for blob, estimates, answers in zip(*(batch.column(c).to_pylist() for c in ("blob", "estimates", "answers")), strict=True):
                 chunk = Chunk(blob, width)
                 elsewhere = np.zeros(len(chunk.high), bool)
-                for x in answers or ():
-                    elsewhere[chunk.find(_risen(x["answer"], np.uint64), _unpack(x["rest"], np.uint64))] = True
+                which, parts = chunk.asked(n, estimates)
+                said = {x["shard"]: x["answer"] for x in answers or ()}
+                for shard, part in parts:
+                    if shard in said:
+                        elsewhere[which[part]] = np.unpackbits(np.frombuffer(said[shard], np.uint8), count=part.stop - part.start)
                 gone = elsewhere[chunk.back] | (chunk.least[chunk.back] < chunk.of)
                 cover = np.zeros(chunk.n_words + 1, np.int64)
                 np.add.at(cover, chunk.at[gone], 1)
@@ -246,13 +246,12 @@ def without_repeats(docs: DataFrame, width: int = 13, chunk_bytes: int = 4 << 20
                 removed = np.cumsum(cover[:-1]) > 0
                 sums = np.append(0, np.cumsum(removed))
                 kept = []
-                for k, text in enumerate(chunk.texts):
+                for k, words in enumerate(chunk.words):
                     mine = slice(chunk.first[k], chunk.first[k + 1])
-                    words = text.split()
                     kept.append(b" ".join(words if not removed[mine].any() else [w for w, r in zip(words, removed[mine].tolist(), strict=True) if not r]))
                 yield pa.RecordBatch.from_arrays(
                     [chunk.part.column("doc_id"), pa.array(np.diff(chunk.first), pa.int64()), pa.array(np.diff(sums[chunk.first]), pa.int64()), pa.array([sha256(x).hexdigest() for x in kept]), pa.array([x.decode("utf-8", "replace") for x in kept])],
                     ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"],
                 )
 
-    return _answered(chunks, found).mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept string")
+    return found.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept string")
