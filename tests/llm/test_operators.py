@@ -377,11 +377,29 @@ def test_targets_fill_up_to_their_limits(spark):
 
 
 def test_mix_takes_near_targets(spark, docs, none):
-    rows = spark.createDataFrame([(i, "w " * (1 + i % 50), f"s{i % 4}", 1) for i in range(4000)], "doc_id long, text string, source string, _extra long")
-    for r in mixing.mix(rows).groupBy("source").agg(F.sum(F.col("_size") * F.col("_copies")).alias("t"), F.first("_target").alias("g"), F.max("_copies").alias("c")).collect():
+    rows = spark.createDataFrame([(i, "w " * (1 + i % 50), f"s{i % 4}") for i in range(4000)], "doc_id long, text string, source string")
+    rows = rows.withColumns({c: F.lit("z") for c in ("size", "copies", "copy", "row", "target", "rate", "of", "drawn", "_size", "_source", "a.b", "Place")})
+    for r in mixing.mix(rows).join(rows.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("t"), F.first("target").alias("g"), F.max("copies").alias("c")).collect():
         assert abs(r.t - r.g) < 0.1 * r.g and r.c <= 3
-    assert mixing.emit(rows).columns == rows.columns and sorted(mixing.emit(rows).collect()) == sorted(mixing.emit(rows).collect())
-    assert mixing.mix(docs).count() == docs.count() and mixing.mix(none).count() == 0
+    mixed = sorted(mixing.emit(rows).collect())
+    assert mixing.emit(rows).columns == rows.columns and mixed == sorted(mixing.emit(rows).collect())
+    assert len(mixed) == mixing.mix(rows).agg(F.sum("copies")).first()[0] and all(x.size == "z" and x["a.b"] == "z" for x in mixed)
+    assert mixing.mix(docs).count() == docs.count() and mixing.mix(none).count() == 0 and mixing.emit(none).count() == 0
+
+
+def test_rows_without_an_id_draw_each(spark):
+    rows = spark.createDataFrame([(None, "a b c", f"s{i % 3}") for i in range(3000)], "doc_id long, text string, source string").repartition(4)
+    for r in mixing.mix(rows.withColumn("doc_id", F.lit(None).cast("long"))).groupBy("source_size", "target").agg(F.sum(F.col("size") * F.col("copies")).alias("t")).collect():
+        assert abs(r.t - r.target) < 0.15 * r.target
+
+
+def test_running_sums_by_ranges(spark):
+    from tidegraph.llm.common import running
+
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"), (F.col("id") % 13).alias("v"))
+    got = {r.k: r.before for r in running(rows.repartition(7), [F.col("k")], {"before": F.col("v")}).collect()}
+    value = {r.k: r.v for r in rows.collect()}
+    assert got == {k: sum(value[j] for j in range(k)) for k in range(1000)}
 
 
 # op7
