@@ -2,30 +2,37 @@
 
 A pattern finds candidates (known key formats, values given to a name like
 password, long mixed tokens). A random forest, trained on labelled findings,
-votes on each by its length, transitions between kinds of characters and
-between letters, coverage by common words, the path around it and the words
-beside it. The trained trees become one column expression, so candidates are
-found, judged and cut out where their document is read: nothing is shuffled.
+judges each by its length, transitions between kinds of characters, how likely
+its pairs of letters are in words, coverage by a dictionary, the path around it
+and the words beside it. The trained trees become one column expression, so
+candidates are found, judged and cut out where their document is read: nothing
+is shuffled, but where a table has fewer partitions than there are cores.
 
 `labelled_findings` makes findings with known labels by rule (key formats,
 tokens beside their names; against them digests, identifiers, numbers, paths,
 placeholders beside theirs); a table of reviewed findings of the same columns
 can be given instead.
 
-Defined results: null and empty texts have no findings; null sources are no
-path; repeated rows are scanned each; an empty table gives an empty result;
-extra columns pass through `redact` unchanged.
+Defined results: null and empty texts have no findings; texts and candidates of
+any length are taken whole, but a private key's body by 16 kB; null sources are
+no path; a score is the mean of the trees' shares of secrets, and one of exactly
+`least` (a tie) is no secret; repeated rows are scanned each; an empty table
+gives an empty result; extra columns of any name pass through `redact`
+unchanged, and `findings` doesn't read them.
 """
 
 from __future__ import annotations
 
-import re
+import math
+from collections import Counter
+from itertools import pairwise
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegraph.llm.common import as_row, from_row, spread
 
 #: Formats that say what they are, by kind.
 FORMATS = {
@@ -34,8 +41,8 @@ FORMATS = {
     "slack_token": r"\bxox[abprs]-[A-Za-z0-9-]{10,}",
     "json_web_token": r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
     "google_api_key": r"\bAIza[A-Za-z0-9_-]{35}",
-    # up to its END mark, header lines and all; without one, headers and what follows up to a dash
-    "private_key": r"-----BEGIN [A-Z0-9 ]{0,20}PRIVATE KEY(?: BLOCK)?-----(?:[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+-----END [A-Z0-9 ]{0,20}PRIVATE KEY(?: BLOCK)?-----|(?:\s{0,4}[A-Za-z][A-Za-z-]{0,30}: [^\r\n]*){0,8}[^-]*)",
+    # up to its END mark, header lines and all; without one, headers and the lines of its body
+    "private_key": r"-----BEGIN [A-Z0-9 ]{0,20}PRIVATE KEY(?: BLOCK)?-----(?:[A-Za-z0-9+/=\s:,.()\\_-]{0,16384}?-----END [A-Z0-9 ]{0,20}PRIVATE KEY(?: BLOCK)?-----|(?:\s{0,4}[A-Za-z][A-Za-z-]{0,30}: [^\r\n]{0,200}){0,8}(?:(?:\s|\\[nr]){1,4}[A-Za-z0-9+/]{24,128}={0,2}){1,400})",
 }
 #: Names whose values are secrets, with anything before and after them, and words that go with what only looks like one.
 NAMES = r"(?:pass(?:word|wd|phrase|code)|(?<![a-z])pass(?![a-z])|pwd|secret|token|(?:api|access|private|signing|encryption|account)[_.-]?key|auth|bearer|credential)"
@@ -47,40 +54,60 @@ _USER = r"://[^\s/:@\"'?#<>]{0,128}:"
 PREFIX = "(?:" + "|".join([_NAMED, _BEARER, _USER]) + ")"
 ASSIGNED = "|".join([_NAMED + r"(?!-----BEGIN )[^\s\"']{3,}[^\s\"'\\]", _BEARER + r"[A-Za-z0-9+/_.~-]{16,}={0,2}", _USER + r"[^\s/\"'<>]{1,256}(?=@)"])
 #: A long token with a digit that is not itself the name of an assignment.
-MIXED = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,64}[0-9])(?=[A-Za-z0-9+/_-]{16})(?![\w.-]*" + _NAMED + r"[^\s\"'])[A-Za-z0-9+/_-]{16,}={0,2}"
+MIXED = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{16})(?=[A-Za-z+/_-]*+[0-9])(?![\w.-]*" + _NAMED + r"[^\s\"'])[A-Za-z0-9+/_-]{16,}={0,2}"
 CANDIDATE = "|".join([*FORMATS.values(), ASSIGNED, MIXED])
-#: Common words by which placeholders, identifiers and paths are told from random strings.
-COMMON = "example|sample|placeholder|changeme|dummy|test|user|name|path|file|config|value|data|index|image|static|assets|http|www|com|org|net|section|chapter|page|report|version|build|release|default|module|class|function|server|client|local|host|node|time|date|your|this|that|with|from|here|none|null|true|false"
+#: Words by which placeholders, identifiers and paths are told from random strings, and whose pairs of letters are those of words.
+DICTIONARY = (
+    "example sample placeholder changeme dummy test user name path file config value data index image static assets http section chapter page report version "
+    "build release default module class function server client local host node time date your this that with from here none null true false "
+    "about after again between before could every first great house large learn letter little might never number other people place point right should small "
+    "sound still their there these thing think three through under water where which while world would write order number string object method return public "
+    "private service request response account message content article product customer company market system program network "
+    "para como pero todo esta este entre sobre desde hasta donde cuando porque tiempo mundo casa hombre mujer ciudad pueblo agua "
+    "dans pour avec sont tout plus comme mais nous vous leur cette entre aussi temps monde maison homme femme ville "
+    "und der die das nicht eine einer auch wird werden haben sich durch gegen unter zwischen zeit welt haus mann frau stadt wasser"
+).split()
+COMMON = "|".join(sorted({w for w in DICTIONARY if len(w) > 3}, key=lambda w: (-len(w), w)))
 #: Characters of context kept on either side.
 BEFORE, AFTER = 48, 24
 #: Candidates whose places are added up together.
 _BLOCK = 512
 
 
+def transitions() -> list[float]:
+    """log2 of how likely a letter follows another in the dictionary's words, by 26 times the first letter plus the second."""
+    pairs = Counter(p for w in DICTIONARY for p in pairwise(w))
+    after = Counter()
+    for (x, _), n in pairs.items():
+        after[x] += n
+    letters = [chr(97 + i) for i in range(26)]
+    return [math.log2((pairs[x, y] + 0.25) / (after[x] + 26 * 0.25)) for x in letters for y in letters]
+
+
 def with_candidates(docs: DataFrame) -> DataFrame:
-    """docs with _found, an array of value, start, before and after of each candidate of text."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.withColumn("_matches", F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
-    some = F.size("_matches") > 0
-    out = out.withColumn("_pieces", F.when(some, F.split(text, CANDIDATE, -1)))
-    lengths = F.transform("_matches", lambda v, i: (F.length(F.get("_pieces", i)) + F.length(v)).cast("long"))
-    out = out.withColumn("_lengths", F.when(some, lengths))
+    """row (docs' columns), path, pieces (the text between candidates) and found: value, name, start, before and after of each candidate of text."""
+    out = as_row(docs, F.col("source").cast("string").alias("path"), F.coalesce(F.col("text"), F.lit("")).alias("whole"))
+    out = out.withColumn("matches", F.regexp_extract_all("whole", F.lit(CANDIDATE), F.lit(0)))
+    some = F.size("matches") > 0
+    out = out.withColumn("pieces", F.when(some, F.split("whole", CANDIDATE, -1))).drop("whole")
+    lengths = F.transform("matches", lambda v, i: (F.length(F.get("pieces", i)) + F.length(v)).cast("long"))
+    out = out.withColumn("lengths", F.when(some, lengths))
     add = lambda a, b: a + b
     zero = F.lit(0).cast("long")
     # sums of whole blocks, then of the blocks before each: no candidate adds up more than a block
-    sums = F.transform(F.sequence(F.lit(0), F.floor((F.size("_lengths") - 1) / _BLOCK).cast("int")), lambda b: F.aggregate(F.slice("_lengths", b * _BLOCK + 1, _BLOCK), zero, add))
-    out = out.withColumn("_sums", F.when(some, sums))
-    blocks = F.transform("_sums", lambda _, b: F.aggregate(F.slice("_sums", F.lit(1), b), zero, add))
-    out = out.withColumn("_blocks", F.when(some, blocks))
+    sums = F.transform(F.sequence(F.lit(0), F.floor((F.size("lengths") - 1) / _BLOCK).cast("int")), lambda b: F.aggregate(F.slice("lengths", b * _BLOCK + 1, _BLOCK), zero, add))
+    out = out.withColumn("sums", F.when(some, sums))
+    blocks = F.transform("sums", lambda _, b: F.aggregate(F.slice("sums", F.lit(1), b), zero, add))
+    out = out.withColumn("blocks", F.when(some, blocks))
 
     def found(match: Column, i: Column) -> Column:
         block = F.floor(i / _BLOCK).cast("int")
-        start = F.get("_blocks", block) + F.aggregate(F.slice("_lengths", block * _BLOCK + 1, i - block * _BLOCK), zero, add) + F.length(F.get("_pieces", i))
+        start = F.get("blocks", block) + F.aggregate(F.slice("lengths", block * _BLOCK + 1, i - block * _BLOCK), zero, add) + F.length(F.get("pieces", i))
         name = F.regexp_extract(match, "^" + PREFIX, 0)  # of an assignment, the value is the candidate
-        before = F.right(F.concat(F.get("_pieces", i), name), F.lit(BEFORE))
-        return F.struct(F.substring(match, F.length(name) + 1, F.length(match)).alias("value"), name.alias("name"), (start + F.length(name)).alias("start"), before.alias("before"), F.left(F.get("_pieces", i + 1), F.lit(AFTER)).alias("after"))
+        before = F.right(F.concat(F.get("pieces", i), name), F.lit(BEFORE))
+        return F.struct(F.substring(match, F.length(name) + 1, F.length(match)).alias("value"), name.alias("name"), (start + F.length(name)).alias("start"), before.alias("before"), F.left(F.get("pieces", i + 1), F.lit(AFTER)).alias("after"))
 
-    return out.withColumn("_found", F.when(some, F.transform("_matches", found))).drop("_matches", "_lengths", "_sums", "_blocks")
+    return out.withColumn("found", F.when(some, F.transform("matches", found))).drop("matches", "lengths", "sums", "blocks")
 
 
 def kind(value: Column) -> Column:
@@ -104,9 +131,17 @@ def features(value: Column, before: Column, after: Column, path: Column) -> dict
     named = beside.rlike(NAMES + r"(?:s|[_.-]?key|[_.-]?value|orization|[_.-][a-z0-9_.-]*)?\W{0,6}(?:(?:bearer|basic|token)\W{1,3})?$")
     assigned = before.rlike(r"=\s?[\"']?$|[\"']\s{0,3}:\s{0,3}[\"']$|(?i:bearer|basic)\s+$")
     user = before.rlike(r"://[^\s/:@]*:$") & after.startswith("@")
+    # pairs of letters that follow each other, by the codes of both; arrays are made once, not once a pair
+    letters = F.split(lower, "")
+    inside = lambda x: (x >= 97) & (x < 123)
+    table = F.array(*(F.lit(x) for x in transitions()))
+    pairs = F.zip_with(letters, F.slice(letters, 2, F.size(letters)), lambda x, y: F.when(inside(F.ascii(x)) & inside(F.ascii(y)), (F.ascii(x) - 97) * 26 + F.ascii(y) - 97))
+    known = F.transform(F.array_compact(pairs), lambda i: F.get(table, i))
+    likely = F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, b: a + b) / F.size(known)).otherwise(-5.0)
     return {
         "length": n,
         "kinds": (F.regexp_count(value, F.lit("[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+")) - 1) / n,
+        "likely": likely,
         "letters": F.regexp_count(lower, F.lit("(?=[aeiou][b-df-hj-np-tv-z]|[b-df-hj-np-tv-z][aeiou])")) / n,
         "digits": part("[0-9]"),
         "capitals": part("[A-Z]"),
@@ -195,30 +230,27 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
 class Forest:
     """Trained trees as a column expression over named features."""
 
-    def __init__(self, names: list[str], trees: list[list]):
+    def __init__(self, names: list[str], trees: list[tuple]):
         self.names, self.trees = names, trees
 
     def score(self, of: dict[str, Column]) -> Column:
-        """The share of trees that vote for a secret."""
-        votes = [self._vote(t, of) for t in self.trees]
-        return sum(votes[1:], votes[0]) / F.lit(float(len(votes)))
+        """The mean of the trees' shares of secrets."""
+        shares = [self._share(t, of) for t in self.trees]
+        return sum(shares[1:], shares[0]) / F.lit(float(len(shares)))
 
-    def _vote(self, node: list, of: dict[str, Column]) -> Column:
+    def _share(self, node: tuple, of: dict[str, Column]) -> Column:
         if len(node) == 1:
             return F.lit(node[0])
         feature, most, low, high = node
-        return F.when(of[self.names[feature]] <= F.lit(most), self._vote(low, of)).otherwise(self._vote(high, of))
+        return F.when(of[self.names[feature]] <= F.lit(most), self._share(low, of)).otherwise(self._share(high, of))
 
 
-def _tree(lines: list[str]) -> list:
-    """A node of a tree's printed form, read from the front of lines."""
-    line = lines.pop(0)
-    if m := re.match(r"Predict: ([\d.]+)", line):
-        return [float(m[1])]
-    feature, most = re.match(r"If \(feature (\d+) <= (\S+)\)", line).groups()
-    low = _tree(lines)
-    lines.pop(0)  # Else
-    return [int(feature), float(most), low, _tree(lines)]
+def _tree(node) -> tuple:
+    """A trained node: (share of secrets) of a leaf, or (feature, most, lower, higher)."""
+    if "LeafNode" in node.getClass().getName():
+        clean, secret = node.impurityStats().stats()
+        return (secret / (clean + secret),)
+    return node.split().featureIndex(), node.split().threshold(), _tree(node.leftChild()), _tree(node.rightChild())
 
 
 def train(findings: DataFrame, trees: int = 24, depth: int = 6, seed: int = 11) -> Forest:
@@ -226,33 +258,30 @@ def train(findings: DataFrame, trees: int = 24, depth: int = 6, seed: int = 11)
     of = features(F.col("value"), F.col("before"), F.col("after"), F.col("path"))
     rows = findings.select("label", *(c.alias(n) for n, c in of.items()))
     assembled = VectorAssembler(inputCols=list(of), outputCol="features").transform(rows)
-    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(assembled)
-    printed = [[x.strip() for x in t.toDebugString.split("\n")[1:] if x.strip()] for t in model.trees]
-    return Forest(list(of), [_tree(x) for x in printed])
-
+    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt", minInstancesPerNode=4).fit(assembled)
+    return Forest(list(of), [_tree(t._java_obj.rootNode()) for t in model.trees])
 
-def scanned(docs: DataFrame, forest: Forest, least: float = 0.5) -> DataFrame:
-    """docs with _pieces and _judged: value, start, kind, score and secret of each candidate; null where there is none."""
-    held = with_candidates(docs)
-    path = F.col("source").cast("string")
-    measured = F.transform("_found", lambda x: F.struct(*(x[n].alias(n) for n in ("value", "name", "start")), *(c.alias(n) for n, c in features(x["value"], x["before"], x["after"], path).items())))
-    held = held.withColumn("_measured", F.when(F.col("_found").isNotNull(), measured))
 
-    scored = F.transform("_measured", lambda x: F.struct(*(x[n].alias(n) for n in ("value", "name", "start")), kind(x["value"]).alias("kind"), forest.score({n: x[n] for n in forest.names}).alias("score")))
-    held = held.withColumn("_scored", F.when(F.col("_measured").isNotNull(), scored))
-    judged = F.transform("_scored", lambda x: x.withField("secret", x["score"] > least))
-    return held.withColumn("_judged", F.when(F.col("_scored").isNotNull(), judged)).drop("_found", "_measured", "_scored")
+def scanned(docs: DataFrame, forest: Forest, least: float = 0.4) -> DataFrame:
+    """row (docs' columns), pieces and judged: value, name, start, kind, score and secret of each candidate; null where there is none."""
+    held = with_candidates(spread(docs))
+    measured = F.transform("found", lambda x: F.struct(*(x[n].alias(n) for n in ("value", "name", "start")), *(c.alias(n) for n, c in features(x["value"], x["before"], x["after"], F.col("path")).items())))
+    held = held.withColumn("measured", F.when(F.col("found").isNotNull(), measured))
+    scored = F.transform("measured", lambda x: F.struct(*(x[n].alias(n) for n in ("value", "name", "start")), kind(x["value"]).alias("kind"), forest.score({n: x[n] for n in forest.names}).alias("score")))
+    held = held.withColumn("scored", F.when(F.col("measured").isNotNull(), scored))
+    judged = F.transform("scored", lambda x: x.withField("secret", x["score"] > least))
+    return held.select("row", "pieces", F.when(F.col("scored").isNotNull(), judged).alias("judged"))
 
 
-def findings(docs: DataFrame, forest: Forest, least: float = 0.5) -> DataFrame:
+def findings(docs: DataFrame, forest: Forest, least: float = 0.4) -> DataFrame:
     """A row per candidate of docs (doc_id, text, source): doc_id, kind, start, n_chars, value_sha256, score, secret."""
-    rows = scanned(docs.select("doc_id", "text", "source"), forest, least).select("doc_id", F.explode_outer("_judged").alias("x")).where("x is not null")
+    rows = scanned(docs.select("doc_id", "text", "source"), forest, least).select("row.doc_id", F.explode_outer("judged").alias("x")).where("x is not null")
     return rows.select("doc_id", "x.kind", "x.start", F.length("x.value").alias("n_chars"), F.sha2("x.value", 256).alias("value_sha256"), "x.score", "x.secret")
 
 
-def redact(docs: DataFrame, forest: Forest, least: float = 0.5) -> DataFrame:
+def redact(docs: DataFrame, forest: Forest, least: float = 0.4) -> DataFrame:
     """docs with each secret of text replaced by its kind in brackets."""
     held = scanned(docs, forest, least)
-    parts = F.transform("_judged", lambda x, i: F.concat(F.get("_pieces", i), x["name"], F.when(x["secret"], F.concat(F.lit("["), x["kind"], F.lit("]"))).otherwise(x["value"])))
-    text = F.concat(F.array_join(parts, ""), F.element_at("_pieces", -1))
-    return held.withColumn("text", F.when(F.col("_judged").isNotNull(), text).otherwise(F.col("text"))).select(*docs.columns)
+    parts = F.transform("judged", lambda x, i: F.concat(F.get("pieces", i), x["name"], F.when(x["secret"], F.concat(F.lit("["), x["kind"], F.lit("]"))).otherwise(x["value"])))
+    text = F.concat(F.array_join(parts, ""), F.element_at("pieces", -1))
+    return from_row(held, docs.columns, text=F.when(F.col("judged").isNotNull(), text).otherwise(F.col("row.text")))

@@ -71,6 +71,13 @@ def _risen(raw: bytes, kind: type) -> np.ndarray:
     return np.cumsum(_unpack(raw, kind), dtype=kind)
 
 
+def _order(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """An order by both halves; by the first alone unless it has ties that the second tells apart."""
+    order = np.argsort(high)
+    a, b = high[order], low[order]
+    return np.lexsort((low, high)) if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any() else order
+
+
 class Chunk:
     """The windows of a chunk's documents, told apart by 128 bits of hash.
 
@@ -94,7 +101,7 @@ class Chunk:
         ids = self.part.column("doc_id").cast(pa.int64()).fill_null(_NONE).to_numpy(zero_copy_only=False)
         self.at = np.flatnonzero(np.arange(self.n_words) + width <= np.repeat(self.first[1:], n))  # windows inside a document
         high, low = (window_hashes(halves[of, k], width)[self.at] if len(self.at) else np.zeros(0, np.uint64) for k in range(2))
-        order = np.lexsort((low, high))
+        order = _order(high, low)
         new = np.ones(len(order), bool)
         new[1:] = (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])
         #: Both halves of the distinct windows' hashes, in order.
@@ -205,7 +212,7 @@ def _matched(asked: DataFrame, width: int, n: int) -> DataFrame:
         second = np.concatenate([_unpack(x, np.uint64) for x in table.column("second").to_pylist()])
         least = np.concatenate([_unpack(x, np.int64) for x in table.column("least").to_pylist()])
         sizes, whole = [len(x) for x in first], np.concatenate(first)
-        order = np.lexsort((second, whole))
+        order = _order(whole, second)
         new = np.append(True, (whole[order][1:] != whole[order][:-1]) | (second[order][1:] != second[order][:-1]))
         smallest = np.empty(len(whole), np.int64)
         smallest[order] = np.minimum.reduceat(least[order], np.flatnonzero(new))[np.cumsum(new) - 1]
