@@ -351,7 +351,7 @@ def test_forest_on_findings_of_other_making(spark, forest):
 
 def test_base_statistics(spark, docs):
     for r in quality_rules.statistics(docs).collect():
-        t = r.text or ""
+        t = r.row.text or ""
         w = WORD.findall(t)
         windows = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
         times, covered = Counter(windows), set()
@@ -387,6 +387,44 @@ def test_every_row_is_judged_by_its_own_verdict(spark):
     assert Counter((r.doc_id, r.text) for r in quality_rules.kept(docs).collect()) == want
 
 
+def test_estimates_equal_plain_concentration_steps(spark):
+    """Correlated vectors with a far cluster: the estimate is that of numpy's steps with exactly h vectors, and finds joint outliers."""
+    rng = np.random.default_rng(5)
+    mix = rng.normal(size=(5, 5)) * 0.4
+    clean = rng.normal(size=(600, 5)) @ mix
+    far = rng.normal(size=(80, 5)) * 0.3 + np.linalg.svd(mix)[2][-1] * 3  # in the direction that varies least
+    x = np.concatenate([clean, far])
+    h, floor = int(np.ceil(0.6 * len(x))), np.diag(np.square(quality_rules.FLOORS))
+    larger = 0.6 / quality_rules.chi_square(quality_rules.chi_quantile(0.6, 5), 7)
+    best = None
+    for start in range(40):  # many random starts
+        some = x[rng.choice(len(x), 12, replace=False)]
+        for _ in range(40):
+            centre, scatter = some.mean(0), np.cov(some.T, bias=True) * larger + floor
+            d = np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(scatter), x - centre)
+            some = x[np.argsort(d)[:h]]
+        centre, scatter = some.mean(0), np.cov(some.T, bias=True) * larger + floor
+        if best is None or np.linalg.det(scatter) < best[0]:
+            best = np.linalg.det(scatter), centre, scatter
+    rows = spark.createDataFrame([("g", *map(float, v)) for v in x], "_group string, _x0 double, _x1 double, _x2 double, _x3 double, _x4 double")
+    got = quality_rules.robust(rows).first()
+    centre = np.array([got[f"_m{i}"] for i in range(5)])
+    factor = np.array([[got[f"_l{i}{k}"] if k <= i else 0.0 for k in range(5)] for i in range(5)])
+    want = np.einsum("ij,jk,ik->i", x - best[1], np.linalg.inv(best[2]), x - best[1])
+    have = np.square((x - centre) @ factor.T).sum(1)
+    assert np.corrcoef(np.log(want), np.log(have))[0, 1] > 0.999 and abs(np.median(have / want) - 1) < 0.05
+    assert -2 * np.log(np.diag(factor)).sum() < np.log(best[0]) + 0.05  # as small a determinant
+
+
+def test_ties_and_clashing_columns(spark):
+    rows = [(i, SAID, "en", "a") for i in range(300)] + [(300, "word*** " * 40, "en", "a"), (301, "too short", None, None)]
+    docs = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    clash = docs.withColumns({c: F.lit("z") for c in ("row", "_words", "_x0", "_group", "_kept", "_text", "_uses", "n", "a.b")})
+    kept = quality_rules.kept(clash)
+    assert kept.columns == clash.columns and {r.doc_id for r in kept.collect()} == set(range(300))
+    assert all(r.row == r["a.b"] == r._kept == "z" for r in kept.collect())
+
+
 def test_chi_square_quantiles():
     assert abs(quality_rules.chi_quantile(0.95, 5) - 11.0705) < 1e-3 and abs(quality_rules.chi_square(4.3515, 5) - 0.5) < 1e-4
 
@@ -513,12 +551,30 @@ def test_near_duplicates(spark, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
-def test_every_close_pair_meets_under_a_key():
+@pytest.mark.parametrize("distance", [3, 4, 5, 6])
+def test_every_close_pair_meets_under_a_key(distance):
     rng = np.random.default_rng(1)
-    masks = simhash.key_masks(4)
-    for _ in range(4000):
-        x = np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, rng.integers(1, 5), replace=False).astype(np.uint64))
-        assert any(int(x) & m == 0 and simhash.chain_holds(np.array([x]), s, 4)[0] for s, m in masks)
+    masks = simhash.key_masks(distance)
+    for _ in range(2000):
+        x = np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, rng.integers(1, distance + 1), replace=False).astype(np.uint64))
+        assert any(int(x) & m == 0 and simhash.chain_holds(np.array([x]), s, distance)[0] for s, m in masks)
+
+
+def test_deduplicate_at_the_pipelines_distance(spark):
+    """Against all pairs, with five words and six bits; clashing columns pass."""
+    rng = random.Random(18)
+    base = [" ".join(f"v{rng.randint(0, 5000)}" for _ in range(300)) for _ in range(20)]
+    rows = [(i, " ".join(x if rng.random() > 0.004 * (i % 4) else "zz" for x in base[i % 20].split())) for i in range(200)]
+    prints = simhash.fingerprints_of([r[1].encode() for r in rows], 5).tolist()
+    root = list(range(200))
+    for i in range(200):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 6:
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("z") for c in ("row", "fp", "component_id", "a.b")})
+    kept = simhash.deduplicate(docs, 6, 5)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
 
 
 # op9
@@ -601,14 +657,67 @@ def test_a_long_text_without_a_space(spark, library):
 
 
 def test_pipeline_stages(spark):
+    """Each stage's rows, from what the stage before it kept, by plain code."""
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    out = corpus_pipeline.run(spark, DATA)
-    assert out.columns == docs.columns
-    rows = out.collect()
-    bad = {r.doc_id for r in spark.read.parquet(f"{DATA}/labels.parquet").where("quality = 0").collect()}
-    assert rows and not bad & {r.doc_id for r in rows if r.n_chars > 400}
-    assert not any(re.search(r"AKIA[0-9A-Z]{16}|password=[0-9a-f]{18}", r.text) for r in rows)
-    found = decontamination.contamination(out, spark.read.parquet(f"{DATA}/benchmark.parquet"))
-    assert found.where("contaminated").count() <= 2
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["quality_rules", "near_dedup", "decontamination", "secrets", "mixing"]
+
+    # quality rules: the rows whose verdict, held against numpy elsewhere, keeps them
+    kept = stages["quality_rules"](spark, docs, DATA)
+    rows = sorted(kept.collect())
+    verdict = {r.doc_id for r in quality_rules.judged(docs).where("_kept").collect()}
+    assert kept.columns == docs.columns and {r.doc_id for r in rows} == verdict
+    assert rows == sorted(r for r in docs.collect() if r.doc_id in verdict)
+
+    # near duplicates: one of each component over all pairs
+    held = spark.createDataFrame(rows, docs.schema)
+    prints = simhash.fingerprints_of([(r.text or "").encode() for r in rows], corpus_pipeline.WIDTH).tolist()
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= corpus_pipeline.DISTANCE:
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    single = sorted(stages["near_dedup"](spark, held, DATA).collect())
+    assert single == [rows[i] for i in sorted(set(root))]
+
+    # decontamination: no window is left, texts without one are as they were
+    held = spark.createDataFrame(single, docs.schema)
+    clean = sorted(stages["decontamination"](spark, held, DATA).collect())
+    hits = {x[0]: x[2] for x in brute_contamination([(r.doc_id, r.text) for r in single], bench)}
+    assert {r.doc_id for r in single} - {r.doc_id for r in clean} <= {i for i, n in hits.items() if n}
+    assert all(r in single for r in clean if not hits[r.doc_id])
+    assert all(r.n_chars == len(r.text) for r in clean if hits[r.doc_id])
+
+    # secrets: each value judged one is replaced by its kind
+    held = spark.createDataFrame(clean, docs.schema)
+    red = sorted(stages["secrets"](spark, held, DATA).collect())
+    found = defaultdict(list)
+    for r in secrets.findings(held, secrets.train(secrets.labelled_findings(spark))).where("secret").collect():
+        found[r.doc_id].append((r.start, r.n_chars, r.kind))
+    for before, after in zip(clean, red, strict=True):
+        text = before.text
+        for start, n, kind in sorted(found[before.doc_id], reverse=True):
+            text = f"{text[:start]}[{kind}]{text[start + n :]}"
+        assert after.text == text and after.n_chars == len(text)
+
+    # the mix: as often as the digest of each id says
+    held = spark.createDataFrame(red, docs.schema)
+    copies = {r.doc_id: r.copies for r in mixing.mix(held).collect()}
+    assert Counter(stages["mixing"](spark, held, DATA).collect()) == Counter({r: copies[r.doc_id] for r in red if copies[r.doc_id]})
+
+
+def test_pipeline_on_edge_rows(spark, docs, none, tmp_path):
+    """Nulls, empty and long texts, ties, an empty table, and columns with the operators' working names."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, SAID)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for table in (docs.withColumns({c: F.lit("z") for c in ("row", "judged", "copies", "_kept", "component_id", "source_size")}), none):
+        held = table
+        for _, stage in corpus_pipeline.STAGES:
+            held = spark.createDataFrame(stage(spark, held, str(tmp_path)).collect(), table.schema)
+            assert held.columns == table.columns
+        assert table is not none or held.count() == 0

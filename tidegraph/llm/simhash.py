@@ -6,8 +6,9 @@ consecutive segments whose running differences stay within floor(l * t / (t+1))
 for every length l: the first agrees, the second differs in one bit at most,
 the second and third in two at most. With the second and third halved, the
 first and two of the four halves therefore agree wholly, and they are not both
-halves of the third. Each of these five choices from each of the t + 1 starts
-is a key; fingerprints meet by key, the chain from that start prunes pairs,
+halves of the third (from t = 5 on, a fourth segment adds two halves, of which
+one more agrees). Each of these five (fourteen) choices from each of the t + 1
+starts is a key; fingerprints meet by key, the chain from that start prunes pairs,
 and what is left is checked in full. Nothing is missed: a pair within t has
 such a start, and meets under one of that start's keys.
 
@@ -20,12 +21,15 @@ bits left free, not by the number of copies.
 Defined results: null and wordless texts have fingerprint zero and link like
 any other; a text of fewer than `width` words is one shingle; repeated rows
 and ties are in one component; a null id is never a component's id (null, if
-it is the only id); an empty table gives an empty result.
+it is the only id); a text of any length counts whole, with all its shingles; an
+empty table gives an empty result. `near_duplicates` reads doc_id and text only,
+and extra columns of any name pass through `deduplicate`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.llm.batches import pieces
-from tidegraph.llm.common import checkpointed, parallel
+from tidegraph.llm.common import as_row, checkpointed, from_row, parallel
 from tidegraph.llm.components import components
 
 #: For each byte, the bits of its two halves as counters of 16 bits.
@@ -100,13 +104,21 @@ def _bits(shift: int, width: int) -> int:
 
 
 def key_masks(distance: int) -> list[tuple[int, int]]:
-    """Start of the chain and the bits that agree, for each key."""
+    """Start of the chain and the bits that agree, for each key.
+
+    Of the segments after the first (two, or three for distances above 4, where
+    segments are short) the first j together have at most j halves that differ.
+    """
     ring = segments(distance)
+    after = 2 if distance <= 4 else 3
+    if distance < after:
+        raise ValueError(f"the distance has to be {after} at least")
+    differing = [x for x in combinations(range(2 * after), after) if all(sum(h < 2 * j for h in x) <= j for j in range(1, after))]
     out = []
     for i in range(len(ring)):
-        own, second, third = (ring[(i + j) % len(ring)] for j in range(3))
-        a, b, c, d = ((s + (w // 2) * h, w // 2 if not h else w - w // 2) for s, w in (second, third) for h in (0, 1))
-        out += [(i, _bits(*own) | _bits(*x) | _bits(*y)) for x, y in ((a, b), (a, c), (a, d), (b, c), (b, d))]
+        own, *rest = (ring[(i + j) % len(ring)] for j in range(after + 1))
+        halves = [(s + (w // 2) * h, w // 2 if not h else w - w // 2) for s, w in rest for h in (0, 1)]
+        out += [(i, sum((_bits(*x) for h, x in enumerate(halves) if h not in gone), _bits(*own))) for gone in differing]
     return out
 
 
@@ -214,4 +226,4 @@ def deduplicate(docs: DataFrame, distance: int = 4, width: int = 4, seed: int =
     """
     found = near_duplicates(docs, distance, width, seed)
     gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return from_row(as_row(docs, F.col("doc_id")).join(gone, "doc_id", "left_anti"), docs.columns)
