@@ -1,6 +1,12 @@
 """The corpus pipeline: documents through five stages, each written as Parquet and read again.
 
 Part of the training-data subpackage (tidegraph.llm).
+
+Defined results, as in each operator: null and empty texts have no words and fail
+the quality rules; texts of any length are taken whole; ties and repeated rows are
+judged each, and rows that repeat an id stay or go together as near duplicates;
+null ids are never anyone's duplicate's id; an empty table gives an empty result;
+extra columns of any name pass through every stage.
 """
 
 from __future__ import annotations
@@ -12,14 +18,18 @@ from tidegraph.llm import decontamination, mixing, quality_rules, secrets, simha
 from tidegraph.llm.common import table
 
 
+#: Words of a shingle and bits of a fingerprint in the near-duplicate stage.
+WIDTH, DISTANCE = 5, 6
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     return quality_rules.kept(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the smallest id stays."""
-    return simhash.deduplicate(docs)
+    """Of each group of near duplicates (five-word shingles), the document with the smallest id stays."""
+    return simhash.deduplicate(docs, DISTANCE, WIDTH)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +60,7 @@ STAGES = [
     ("mixing", mixing_stage),
 ]
 
-#: SQL can express neither the fingerprints nor the estimates; tests hold each stage against its operator's brute force.
+#: SQL can express neither the fingerprints nor the estimates; tests hold each stage's rows against plain code.
 ORACLE_SQL = None
 
 
