@@ -88,6 +88,36 @@ def test_both_ways_agree_on_stacks_and_reach(spark):
         assert sorted(analysis(b).collect()) == sorted(analysis(b, 0).collect())
 
 
+def _stack(block, f):
+    """Calls push their place unless it is in the stack, returns pop."""
+    if block[3] == "error" and block[4] % 4 == 0 and block[4] % 10:
+        return [] if block[1] in f else [(*f, block[1])]
+    if block[3] == "view" and block[4] % 2 == 0:
+        return [f[:-1]]
+    return [f]
+
+
+def test_stacks_have_no_depth_limit_and_recursion_is_a_repeated_place(spark):
+    for seed in (5, 21, 22):
+        rows, b = program(spark, seed, units=12, most=40)
+        want = naive(rows, [()], _stack)
+        written = lambda f: "".join(f"/{x}" for x in f)
+        assert {tuple(r) for r in contexts.stacks(b).collect()} == {(u, p, written(f)) for u, p, f in want}
+        block = {(r[0], r[1]): r for r in rows}
+        recursive = {(u, p, written(f)) for u, p, f in want if not _stack(block[u, p], f)}
+        assert {tuple(r) for r in contexts.recursive(b).collect()} == recursive
+    # a straight unit of five nested calls
+    straight = [(1, p, p, kind, k, 0, 0, 0, kind) for p, (kind, k) in enumerate([("error", 4)] * 5 + [("purchase", 1)])]
+    b = spark.createDataFrame(straight, b.schema)
+    assert (1, 5, "/0/1/2/3/4") in {tuple(r) for r in contexts.stacks(b).collect()}
+
+
+def test_overlaps_of_writes_that_are_no_neighbours(spark):
+    rows = [(1, 0, p, s, e) for p, (s, e) in enumerate([(0, 8), (20, 22), (4, 6), (0, 8), (6, 9)])]
+    got = {tuple(r) for r in storage.overlaps(spark.createDataFrame(rows, "unit long, base long, pos long, start long, end long")).collect()}
+    assert got == {(1, 0, 0, 8, 2, 0, 8, 2), (1, 0, 0, 8, 2, 4, 6, 1), (1, 0, 0, 8, 2, 6, 9, 1)}
+
+
 def test_order_of_rows_does_not_matter(spark):
     rows, b = program(spark, 8)
     random.Random(1).shuffle(rows)

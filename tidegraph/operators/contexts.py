@@ -40,16 +40,16 @@ def _stacked(block: dict, held: tuple) -> list:
 
 
 def _with_events(blocks: DataFrame) -> DataFrame:
-    """Blocks whose literal also tells calls (C) and returns (R); depth is bounded by a recursion check."""
+    """Blocks whose literal also tells calls (C) and returns (R)."""
     call = (F.col("event_type") == "error") & (F.col("k") % 4 == 0) & (F.col("k") % 10 != 0)
     back = (F.col("event_type") == "view") & (F.col("k") % 2 == 0)
     return blocks.withColumn("literal", F.when(call, "C").when(back, "R").otherwise("-"))
 
 
 STACKS = Transfer(
-    lambda block, held: _stacked(block | {"event_call": block["literal"] == "C", "event_return": block["literal"] == "R"}, held) if not _deep(block, held) else [],
+    lambda block, held: _stacked(block | {"event_call": block["literal"] == "C", "event_return": block["literal"] == "R"}, held) if not _active(block, held) else [],
     lambda: F.when(
-        (F.col("literal") == "C") & F.col("f_val").rlike(r"/\d+/\d+/\d+$"), F.array().cast("array<struct<cell:bigint,val:string,prod:bigint>>")
+        (F.col("literal") == "C") & F.array_contains(F.split("f_val", "/"), F.col("pos").cast("string")), F.array().cast("array<struct<cell:bigint,val:string,prod:bigint>>")
     ).otherwise(
         F.array(
             fact(
@@ -64,9 +64,9 @@ STACKS = Transfer(
 )
 
 
-def _deep(block: dict, held: tuple) -> bool:
-    """A call at the depth of three is recursion here: it stops, and `recursive` reports it."""
-    return block["literal"] == "C" and held[1].count("/") >= 3
+def _active(block: dict, held: tuple) -> bool:
+    """A call whose place is in the stack already is recursion: it stops, and `recursive` reports it. Depth has no limit."""
+    return block["literal"] == "C" and str(block["pos"]) in held[1].split("/")
 
 
 def stacks(blocks: DataFrame, group: int = GROUP) -> DataFrame:
@@ -77,9 +77,9 @@ def stacks(blocks: DataFrame, group: int = GROUP) -> DataFrame:
 
 
 def recursive(blocks: DataFrame, group: int = GROUP) -> DataFrame:
-    """unit, pos, stack of calls that would go deeper than allowed: an error, not an approximation."""
+    """unit, pos, stack of calls that are active already where they are met: an error, not an approximation."""
     calls = _with_events(blocks).where("literal = 'C'").select("unit", "pos")
-    return stacks(blocks, group).join(calls, ["unit", "pos"], "left_semi").where(F.col("stack").rlike(r"/\d+/\d+/\d+$"))
+    return stacks(blocks, group).join(calls, ["unit", "pos"], "left_semi").where(F.array_contains(F.split("stack", "/"), F.col("pos").cast("string")))
 
 
 def pruned_values(blocks: DataFrame) -> DataFrame:

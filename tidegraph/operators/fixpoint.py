@@ -137,6 +137,7 @@ def solve(blocks: DataFrame, edges: DataFrame, seeds: DataFrame, transfer: Trans
 
 def closure(edges: DataFrame, seeds: DataFrame, most_rounds: int = 10_000) -> DataFrame:
     """node: everything that seeds (node) reach over edges (src, dst), across all units, a frontier at a time."""
+    edges = checkpointed(edges.select("src", "dst").distinct())  # read in every round
     known = new = checkpointed(seeds.select("node").distinct())
     for _ in range(most_rounds):
         made = edges.join(new, edges["src"] == new["node"]).select(F.col("dst").alias("node")).distinct()
@@ -149,11 +150,14 @@ def closure(edges: DataFrame, seeds: DataFrame, most_rounds: int = 10_000) -> Da
 
 def and_closure(rules: DataFrame, seeds: DataFrame, most_rounds: int = 10_000) -> DataFrame:
     """node: what follows from seeds by rules (rule, premise, head), a rule and head firing when all their premises hold."""
-    arity = rules.groupBy("rule", "head").agg(F.count_distinct("premise").alias("arity"))
-    known = checkpointed(seeds.select("node").distinct())
-    for _ in range(most_rounds):
-        holding = rules.join(known, rules["premise"] == known["node"]).groupBy("rule", "head").agg(F.count_distinct("premise").alias("held"))
-        fired = arity.join(holding, ["rule", "head"]).where("held = arity").select(F.col("head").alias("node")).distinct()
+    rules = checkpointed(rules.select("rule", "premise", "head").distinct())  # read in every round
+    arity = checkpointed(rules.groupBy("rule", "head").agg(F.count(F.lit(1)).alias("arity")))
+    known = new = checkpointed(seeds.select("node").distinct())
+    held = arity.select("rule", "head", F.lit(0).cast("long").alias("held")).where("false")
+    for _ in range(most_rounds):  # only what is new is counted
+        met = rules.join(new, rules["premise"] == new["node"]).groupBy("rule", "head").agg(F.count(F.lit(1)).alias("held"))
+        held = checkpointed(held.unionByName(met).groupBy("rule", "head").agg(F.sum("held").alias("held")))
+        fired = held.join(arity, ["rule", "head"]).where("held = arity").select(F.col("head").alias("node")).distinct()
         new = checkpointed(fired.join(known, "node", "left_anti"))
         if new.isEmpty():
             return known

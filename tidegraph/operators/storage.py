@@ -28,10 +28,18 @@ def covered_segments(ranges: DataFrame) -> DataFrame:
 
 
 def overlaps(ranges: DataFrame) -> DataFrame:
-    """unit, base, a, b: neighbouring writes of a base, in order of place, that overlap."""
-    w = Window.partitionBy("unit", "base").orderBy("pos")
-    near = ranges.select("unit", "base", F.lag("pos").over(w).alias("a"), F.col("pos").alias("b"), "start", "end", F.lag("start").over(w).alias("s0"), F.lag("end").over(w).alias("e0"))
-    return near.where("a is not null and start < e0 and s0 < end").select("unit", "base", "a", "b")
+    """unit, base, start, end, n, other_start, other_end, other_n: ranges of a base that overlap, with their numbers of writes.
+
+    Distinct ranges meet, not writes, so a base written often costs no pairs of writes; a range that two writes share overlaps itself.
+    """
+    keys = ["unit", "base", "start", "end"]
+    a = ranges.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).alias("a")
+    b = ranges.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).alias("b")
+    same = (F.col("a.start") == F.col("b.start")) & (F.col("a.end") == F.col("b.end"))
+    ordered = F.struct("a.start", "a.end") < F.struct("b.start", "b.end")
+    met = (F.col("a.unit") == F.col("b.unit")) & (F.col("a.base") == F.col("b.base")) & (F.col("a.start") < F.col("b.end")) & (F.col("b.start") < F.col("a.end"))
+    other = [F.col(f"b.{c}").alias(f"other_{c}") for c in ("start", "end", "n")]
+    return a.join(b, met & (ordered | same & (F.col("a.n") > 1))).select(*(f"a.{c}" for c in (*keys, "n")), *other)
 
 
 def coalesced(ranges: DataFrame) -> DataFrame:

@@ -297,21 +297,21 @@ def _graph(spark: SparkSession, d: str) -> DataFrame:
 
 @named
 def proof_closure(spark: SparkSession, d: str) -> DataFrame:
-    seeds = table(spark, d, "orders").where("o_orderkey % 500 = 1").select(F.concat(F.lit("o"), "o_orderkey").alias("node"))
+    seeds = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.concat(F.lit("o"), "o_orderkey").alias("node"))
     return fixpoint.closure(_graph(spark, d), seeds)
 
 
 def _rules(spark: SparkSession, d: str) -> DataFrame:
-    """rule, premise, head: an order holds when its parts of two lines or fewer do, a part when its supplier does."""
+    """rule, premise, head: an order holds when all its parts do, a part when a supplier of it does."""
     items = table(spark, d, "lineitem")
-    order = items.where("l_linenumber <= 2").select(F.concat(F.lit("o"), "l_orderkey").alias("rule"), F.concat(F.lit("p"), "l_partkey").alias("premise"), F.concat(F.lit("o"), "l_orderkey").alias("head"))
-    part = items.where("l_linenumber = 1").select(F.concat(F.lit("r"), "l_orderkey").alias("rule"), F.concat(F.lit("s"), "l_suppkey").alias("premise"), F.concat(F.lit("p"), "l_partkey").alias("head"))
+    order = items.select(F.concat(F.lit("o"), "l_orderkey").alias("rule"), F.concat(F.lit("p"), "l_partkey").alias("premise"), F.concat(F.lit("o"), "l_orderkey").alias("head"))
+    part = items.select(F.concat(F.lit("r"), "l_partkey", F.lit("."), "l_suppkey").alias("rule"), F.concat(F.lit("s"), "l_suppkey").alias("premise"), F.concat(F.lit("p"), "l_partkey").alias("head"))
     return order.union(part).distinct()
 
 
 @named
 def and_closure(spark: SparkSession, d: str) -> DataFrame:
-    seeds = table(spark, d, "supplier").where("s_suppkey % 3 <> 0").select(F.concat(F.lit("s"), "s_suppkey").alias("node"))
+    seeds = table(spark, d, "supplier").where("s_acctbal > 9500").select(F.concat(F.lit("s"), "s_suppkey").alias("node"))
     return fixpoint.and_closure(_rules(spark, d), seeds)
 
 
@@ -378,12 +378,12 @@ def _words(spark: SparkSession, d: str) -> DataFrame:
 for _name, _column in {
     "text_fit": lambda t: tx.fit(t, 40, "*"),
     "text_slice": lambda t: tx.piece(t, F.lit(5), F.lit(25)),
-    "text_fill_concat": lambda t: F.concat(tx.fill("-", F.length(t) % 7), F.substring(t, 1, 3)),
-    "text_trim": lambda t: F.concat(F.lit("["), tx.trimmed(F.substring(t, 1, 12)), F.lit("]")),
+    "text_fill_concat": lambda t: F.concat(tx.fill("-", F.length(t) % 7), t),
+    "text_trim": lambda t: F.concat(F.lit("["), tx.trimmed(t), F.lit("]")),
     "text_upper_ascii": tx.upper_ascii,
     "text_sha256": lambda t: F.sha2(t, 256),
-    "text_key": lambda t: tx.key_of(F.substring(t, 1, 6), F.substring(t, 3, 9)),
-    "text_ascii": lambda t: F.hex(tx.to_ascii(F.substring(t, 1, 24))),
+    "text_key": lambda t: tx.key_of(t, F.col("source")),
+    "text_ascii": lambda t: F.hex(tx.to_ascii(t)),
 }.items():
     _QUERIES[_name] = lambda spark, d, c=_column: _texts(spark, d, c)
 
@@ -396,10 +396,11 @@ def is_digits(spark: SparkSession, d: str) -> DataFrame:
 @named
 def name_rules(spark: SparkSession, d: str) -> DataFrame:
     """name, calls, transactions, files: capitalised words by the three rules for names."""
-    w = F.rpad(tx.upper_ascii(F.col("word")), 8, " ")
-    rows = _words(spark, d).select(tx.call_name(w).alias("call"), tx.fixed_name(w, 8).alias("transaction"), tx.fixed_name(tx.upper_ascii(F.col("word")), 8, computed=False).alias("file"))
-    each = rows.select(F.explode(F.array(*(F.struct(F.lit(k).alias("rule"), F.col(k).alias("name")) for k in ("call", "transaction", "file")))).alias("x"))
-    return each.select("x.rule", "x.name").where("name is not null").groupBy("rule", "name").agg(F.count(F.lit(1)).alias("n"))
+    words = _words(spark, d).groupBy(tx.upper_ascii(F.col("word")).alias("word")).agg(F.count(F.lit(1)).alias("n"))
+    w = F.when(F.length("word") <= 8, F.rpad("word", 8, " ")).otherwise(F.col("word"))  # a longer one does not fit its field
+    rows = words.select("n", tx.call_name(w).alias("call"), tx.fixed_name(w, 8).alias("transaction"), tx.fixed_name(F.col("word"), 8, computed=False).alias("file"))
+    each = rows.select("n", F.explode(F.array(*(F.struct(F.lit(k).alias("rule"), F.col(k).alias("name")) for k in ("call", "transaction", "file")))).alias("x"))
+    return each.select("x.rule", "x.name", "n").where("name is not null").groupBy("rule", "name").agg(F.sum("n").alias("n"))
 
 
 @named

@@ -65,7 +65,7 @@ st(unit, pos, stack) AS (
   UNION
   SELECT i.unit, i.dst, CASE WHEN m.mark = 'C' THEN st.stack || '/' || m.pos WHEN m.mark = 'R' AND st.stack <> '' THEN regexp_replace(st.stack, '/[0-9]+$', '') ELSE st.stack END
   FROM st JOIN m ON m.unit = st.unit AND m.pos = st.pos JOIN i ON i.unit = st.unit AND i.src = st.pos
-  WHERE NOT (m.mark = 'C' AND regexp_matches(st.stack, '/[0-9]+/[0-9]+/[0-9]+$')))
+  WHERE NOT (m.mark = 'C' AND contains(st.stack || '/', '/' || m.pos || '/')))
 """
 GRAPH = """
 WITH RECURSIVE g AS (
@@ -75,9 +75,9 @@ WITH RECURSIVE g AS (
 """
 RULES = """
 WITH RECURSIVE u AS (
-  SELECT DISTINCT 'o' || l_orderkey AS rule, 'p' || l_partkey AS premise, 'o' || l_orderkey AS head FROM lineitem WHERE l_linenumber <= 2
-  UNION SELECT 'r' || l_orderkey, 's' || l_suppkey, 'p' || l_partkey FROM lineitem WHERE l_linenumber = 1),
-seeds AS (SELECT 's' || s_suppkey AS node FROM supplier WHERE s_suppkey % 3 <> 0),
+  SELECT DISTINCT 'o' || l_orderkey AS rule, 'p' || l_partkey AS premise, 'o' || l_orderkey AS head FROM lineitem
+  UNION SELECT 'r' || l_partkey || '.' || l_suppkey, 's' || l_suppkey, 'p' || l_partkey FROM lineitem),
+seeds AS (SELECT 's' || s_suppkey AS node FROM supplier WHERE s_acctbal > 9500),
 parts AS (SELECT node FROM seeds UNION SELECT head FROM u JOIN seeds ON premise = node WHERE rule LIKE 'r%'),
 orders_ AS (SELECT head AS node FROM u LEFT JOIN parts ON premise = node WHERE rule LIKE 'o%' GROUP BY head HAVING count(*) = count(parts.node)),
 held AS (SELECT node FROM parts UNION SELECT node FROM orders_)
@@ -124,11 +124,12 @@ SQL = {
     "last_writes": BASE + """SELECT unit, run, cell, pos, CASE action WHEN 0 THEN literal WHEN 1 THEN 'copy of ' || source ELSE '?' END AS val
         FROM (SELECT *, pos // 8 AS run, row_number() OVER (PARTITION BY unit, pos // 8, cell ORDER BY pos DESC) AS n FROM x) WHERE n = 1""",
     "stack_contexts": BASE + STACKS + "SELECT unit, pos, stack FROM st",
-    "recursive_activations": BASE + STACKS + "SELECT st.unit, st.pos, stack FROM st JOIN m ON m.unit = st.unit AND m.pos = st.pos WHERE mark = 'C' AND regexp_matches(stack, '/[0-9]+/[0-9]+/[0-9]+$')",
+    "recursive_activations": BASE + STACKS + "SELECT st.unit, st.pos, stack FROM st JOIN m ON m.unit = st.unit AND m.pos = st.pos WHERE mark = 'C' AND contains(stack || '/', '/' || st.pos || '/')",
     "segments": BASE + SEGMENTS + 'SELECT unit, base, "start", "end" FROM g WHERE "end" IS NOT NULL',
     "covered_segments": BASE + SEGMENTS + 'SELECT g.unit, g.base, "start", "end", count(*) AS n FROM g JOIN w ON g.unit = w.unit AND g.base = w.base AND "start" < f AND s < "end" GROUP BY ALL',
-    "overlapping_writes": BASE + RANGES + """SELECT unit, base, a, b FROM (SELECT unit, base, lag(pos) OVER o AS a, pos AS b, s, f, lag(s) OVER o AS s0, lag(f) OVER o AS f0 FROM w
-        WINDOW o AS (PARTITION BY unit, base ORDER BY pos)) WHERE a IS NOT NULL AND s < f0 AND s0 < f""",
+    "overlapping_writes": BASE + RANGES + """, spans AS (SELECT unit, base, s, f, count(*) AS n FROM w GROUP BY ALL)
+        SELECT a.unit, a.base, a.s AS "start", a.f AS "end", a.n AS n, b.s AS other_start, b.f AS other_end, b.n AS other_n FROM spans a JOIN spans b
+        ON a.unit = b.unit AND a.base = b.base AND a.s < b.f AND b.s < a.f AND (a.s < b.s OR a.s = b.s AND (a.f < b.f OR a.f = b.f AND a.n > 1))""",
     "coalesced_ranges": BASE + RANGES + """SELECT unit, base, min(s) AS "start", max(f) AS "end" FROM (
         SELECT *, sum(new) OVER (PARTITION BY unit, base ORDER BY s, f ROWS UNBOUNDED PRECEDING) AS island FROM (
         SELECT *, CASE WHEN s <= max(f) OVER (PARTITION BY unit, base ORDER BY s, f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM (SELECT DISTINCT unit, base, s, f FROM w))) GROUP BY unit, base, island""",
@@ -150,19 +151,19 @@ SQL = {
         FROM x JOIN (SELECT unit, pos, CASE WHEN val <> '?' AND regexp_matches(val, '^[A-Z0-9$@#]{1,8}$') THEN val END AS name FROM v WHERE cell = 2) q ON q.unit = x.unit AND q.pos = x.pos WHERE event_type = 'view' AND k < 30""",
     "source_dependencies": """SELECT CASE WHEN name LIKE 'www.%' THEN 'COPYBOOK' WHEN name LIKE 'm.%' THEN 'DECLARATION' WHEN name LIKE 'blog.%' THEN 'SQL_INCLUDE' ELSE 'TABLE' END AS kind, name, count(*) AS n, bool_or(partial) AS remainder
         FROM (SELECT regexp_extract(url, '//([^/:]+)', 1) AS name, contains(url, '?') AS partial FROM pages) GROUP BY name""",
-    "proof_closure": GRAPH + ", z AS (SELECT 'o' || o_orderkey AS node FROM orders WHERE o_orderkey % 500 = 1 UNION SELECT dst FROM z JOIN g ON src = node) SELECT node FROM z",
+    "proof_closure": GRAPH + ", z AS (SELECT 'o' || o_orderkey AS node FROM orders WHERE o_orderstatus = 'P' UNION SELECT dst FROM z JOIN g ON src = node) SELECT node FROM z",
     "and_closure": RULES + "SELECT node FROM held",
     "assumed_only": RULES + "SELECT DISTINCT head AS node FROM u EXCEPT SELECT node FROM held",
     "text_fit": "SELECT doc_id, rpad(text, 40, '*') AS value FROM documents",
     "text_slice": "SELECT doc_id, CASE WHEN length(text) >= 30 THEN substring(text, 6, 25) END AS value FROM documents",
-    "text_fill_concat": "SELECT doc_id, repeat('-', (length(text) % 7)::INT) || substring(text, 1, 3) AS value FROM documents",
-    "text_trim": "SELECT doc_id, '[' || trim(substring(text, 1, 12), ' ') || ']' AS value FROM documents",
+    "text_fill_concat": "SELECT doc_id, repeat('-', (length(text) % 7)::INT) || text AS value FROM documents",
+    "text_trim": "SELECT doc_id, '[' || trim(text, ' ') || ']' AS value FROM documents",
     "text_upper_ascii": f"SELECT doc_id, {UPPER} AS value FROM documents",
     "text_sha256": "SELECT doc_id, sha256(text) AS value FROM documents",
-    "text_key": "SELECT doc_id, length(substring(text, 1, 6)) || ':' || substring(text, 1, 6) || length(substring(text, 3, 9)) || ':' || substring(text, 3, 9) AS value FROM documents",
-    "text_ascii": r"SELECT doc_id, CASE WHEN regexp_full_match(substring(text, 1, 24), '[\x00-\x7F]*', 's') THEN hex(substring(text, 1, 24)) END AS value FROM documents",
+    "text_key": "SELECT doc_id, length(text) || ':' || text || length(source) || ':' || source AS value FROM documents",
+    "text_ascii": r"SELECT doc_id, CASE WHEN regexp_full_match(text, '[\x00-\x7F]*', 's') THEN hex(text) END AS value FROM documents",
     "is_digits": WORDS + " SELECT doc_id, count(*) FILTER (regexp_full_match(word, '[0-9]+')) AS n_digits, count(*) AS n FROM w GROUP BY doc_id",
-    "name_rules": WORDS + f""", p AS (SELECT {UPPER.replace('text', 'word')} AS raw FROM w), q AS (SELECT raw, rtrim(rpad(raw, 8, ' '), ' ') AS name FROM p)
+    "name_rules": WORDS + f""", p AS (SELECT {UPPER.replace('text', 'word')} AS raw FROM w), q AS (SELECT raw, CASE WHEN length(raw) <= 8 THEN rtrim(raw, ' ') END AS name FROM p)
         SELECT rule, name, count(*) AS n FROM (
           SELECT 'call' AS rule, name FROM q WHERE regexp_matches(name, '^[A-Z_$][A-Z0-9_@#$]{{0,7}}$')
           UNION ALL SELECT 'transaction', name FROM q WHERE regexp_matches(name, '^[A-Z0-9$@#]{{1,8}}$')
