@@ -13,8 +13,10 @@ by a hash of their ids, so that their ids may be broadcast.
 
 Defined results: null and empty texts are scored by bias and size alone;
 labels without a document or without a value are left out; a document labelled
-twice counts twice; without any labels every score is 0.5; repeated rows are
-scored each; an empty table gives an empty result.
+twice counts twice; without any labels every score is 0.5; a score of exactly
+`least` (a tie) is predicted 1; texts of any length count whole; repeated rows
+are scored each; an empty table gives an empty result. Only doc_id and text are
+read, so extra columns of any name do not matter.
 """
 
 from __future__ import annotations
