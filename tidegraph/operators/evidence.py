@@ -89,3 +89,37 @@ def system_context(blocks: DataFrame, values: DataFrame) -> DataFrame:
     views = blocks.where("event_type = 'view'").join(held, ["unit", "pos"], "left")
     explicit = F.col("k") >= 50
     return views.select("unit", "pos", F.when(explicit, "EXPLICIT").otherwise("DEFAULT").alias("mode"), F.when(explicit, F.coalesce("names", F.lit(""))).alias("candidates"))
+
+
+def conflicts(occurrences: DataFrame, operations: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n_occurrences, n_operations: correlations by keys that are not one to one, which a consumer must refuse."""
+    left = occurrences.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_occurrences"))
+    right = operations.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_operations"))
+    return left.join(right, keys).where("n_occurrences > 1 or n_operations > 1")
+
+
+def contradictory(blocks: DataFrame) -> DataFrame:
+    """unit, cell, n: cells for which the first literals of a unit's kinds of writers contradict each other, and how many there are."""
+    first = blocks.where("action = 0").groupBy("unit", "cell", "event_type").agg(F.min_by("literal", "pos").alias("literal"))
+    return first.groupBy("unit", "cell").agg(F.count_distinct("literal").alias("n")).where("n > 1")
+
+
+def literal_runs(blocks: DataFrame) -> DataFrame:
+    """unit, start, n, literal: runs of blocks with one literal, as islands of places less their rank among that literal's."""
+    rank = F.row_number().over(Window.partitionBy("unit", "literal").orderBy("pos"))
+    return blocks.withColumn("island", F.col("pos") - rank).groupBy("unit", "literal", "island").agg(F.min("pos").alias("start"), F.count(F.lit(1)).alias("n")).drop("island")
+
+
+def differences(received: DataFrame, expected: DataFrame) -> DataFrame:
+    """side and the rows that one of both frames has more often than the other; empty if both are equal as bags."""
+    sides = [a.exceptAll(b).withColumn("side", F.lit(side)) for side, a, b in (("received", received, expected), ("expected", expected, received))]
+    return sides[0].unionByName(sides[1])
+
+
+def assumptions(blocks: DataFrame) -> DataFrame:
+    """unit, pos, labels: what has to be assumed for a block's candidates, comma-joined; blocks that need nothing are left out."""
+    copied = F.when(F.col("action") == 1, F.lit("SOURCE_CELL_IS_CLOSED"))
+    unknown = F.when(F.col("action") == 2, F.lit("EFFECT_IS_BOUNDED"))
+    open_way = F.when((F.col("event_type") == "purchase") & (F.col("k") % 25 == 0), F.lit("CONTROL_IS_CLOSED"))
+    labels = F.array_compact(F.array(copied, unknown, open_way))
+    return blocks.select("unit", "pos", F.array_join(labels, ",").alias("labels")).where("labels <> ''")

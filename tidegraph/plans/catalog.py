@@ -188,6 +188,36 @@ def branch_pruned_values(spark: SparkSession, d: str) -> DataFrame:
 # storage
 
 
+@named
+def literal_runs(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.literal_runs(blocks(spark, d))
+
+
+@named
+def contradictory_literals(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.contradictory(blocks(spark, d))
+
+
+@named
+def occurrence_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    """Kinds and numbers of a unit that several blocks share cannot tell its occurrences apart."""
+    b = blocks(spark, d).select("unit", "event_type", "k")
+    return evidence.conflicts(b, b.distinct(), ["unit", "event_type", "k"])
+
+
+@named
+def coverage_differences(spark: SparkSession, d: str) -> DataFrame:
+    """Segments that are covered against all segments, both ways: gaps between writes are expected and not received."""
+    writes = storage.writes(blocks(spark, d))
+    keys = ["unit", "base", "start", "end"]
+    return evidence.differences(storage.covered_segments(writes).select(*keys), storage.segments(writes).select(*keys))
+
+
+@named
+def assumption_labels(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.assumptions(blocks(spark, d))
+
+
 @named
 def segments(spark: SparkSession, d: str) -> DataFrame:
     return storage.segments(storage.writes(blocks(spark, d)))

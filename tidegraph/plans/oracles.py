@@ -130,6 +130,16 @@ SQL = {
     "overlapping_writes": BASE + RANGES + """, spans AS (SELECT unit, base, s, f, count(*) AS n FROM w GROUP BY ALL)
         SELECT a.unit, a.base, a.s AS "start", a.f AS "end", a.n AS n, b.s AS other_start, b.f AS other_end, b.n AS other_n FROM spans a JOIN spans b
         ON a.unit = b.unit AND a.base = b.base AND a.s < b.f AND b.s < a.f AND (a.s < b.s OR a.s = b.s AND (a.f < b.f OR a.f = b.f AND a.n > 1))""",
+    "literal_runs": BASE + """SELECT unit, literal, min(pos) AS "start", count(*) AS n FROM (
+        SELECT unit, literal, pos, pos - row_number() OVER (PARTITION BY unit, literal ORDER BY pos) AS island FROM x) GROUP BY unit, literal, island""",
+    "contradictory_literals": BASE + """SELECT unit, cell, count(DISTINCT literal) AS n FROM (
+        SELECT unit, cell, event_type, arg_min(literal, pos) AS literal FROM x WHERE action = 0 GROUP BY ALL) GROUP BY unit, cell HAVING count(DISTINCT literal) > 1""",
+    "occurrence_conflicts": BASE + "SELECT unit, event_type, k, count(*) AS n_occurrences, 1 AS n_operations FROM x GROUP BY unit, event_type, k HAVING count(*) > 1",
+    "coverage_differences": BASE + SEGMENTS + """, cov AS (SELECT DISTINCT g.unit, g.base, "start", "end" FROM g JOIN w ON g.unit = w.unit AND g.base = w.base AND "start" < f AND s < "end"),
+        seg AS (SELECT unit, base, "start", "end" FROM g WHERE "end" IS NOT NULL)
+        SELECT *, 'received' AS side FROM (SELECT * FROM cov EXCEPT ALL SELECT * FROM seg) UNION ALL SELECT *, 'expected' FROM (SELECT * FROM seg EXCEPT ALL SELECT * FROM cov)""",
+    "assumption_labels": BASE + """SELECT unit, pos, labels FROM (SELECT unit, pos, concat_ws(',', CASE WHEN action = 1 THEN 'SOURCE_CELL_IS_CLOSED' END, CASE WHEN action = 2 THEN 'EFFECT_IS_BOUNDED' END,
+        CASE WHEN event_type = 'purchase' AND k % 25 = 0 THEN 'CONTROL_IS_CLOSED' END) AS labels FROM x) WHERE labels <> ''""",
     "coalesced_ranges": BASE + RANGES + """SELECT unit, base, min(s) AS "start", max(f) AS "end" FROM (
         SELECT *, sum(new) OVER (PARTITION BY unit, base ORDER BY s, f ROWS UNBOUNDED PRECEDING) AS island FROM (
         SELECT *, CASE WHEN s <= max(f) OVER (PARTITION BY unit, base ORDER BY s, f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM (SELECT DISTINCT unit, base, s, f FROM w))) GROUP BY unit, base, island""",
