@@ -1,9 +1,9 @@
-"""Single-byte codecs of program texts, as vectorised functions over whole columns."""
+"""Single-byte codecs of program texts, as column expressions."""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 #: Where code page 1047 differs from 037, as (byte in 1047, byte in 037 of the same character).
 DIFFERENCES = [(0x15, 0x25), (0x25, 0x15), (0x5F, 0xB0), (0xB0, 0x5F), (0xAD, 0xBA), (0xBA, 0xAD), (0xBD, 0xBB), (0xBB, 0xBD)]
@@ -16,17 +16,15 @@ def decoding_1047() -> str:
     return "".join(base[moved.get(i, i)] for i in range(256))
 
 
-_TABLE = decoding_1047()
-_BYTE_OF = {c: i for i, c in enumerate(_TABLE)}
+#: Characters of bytes that Latin-1 reads otherwise, and what Latin-1 reads; the page's characters are those of Latin-1.
+MOVED_1047, MOVED_LATIN = ("".join(x) for x in zip(*((c, chr(i)) for i, c in enumerate(decoding_1047()) if c != chr(i)), strict=True))
 
 
-@pandas_udf("string")
-def from_1047(raw: pd.Series) -> pd.Series:
+def from_1047(raw: Column) -> Column:
     """Text of bytes in code page 1047."""
-    return raw.map(lambda b: None if b is None else "".join(_TABLE[x] for x in b))
+    return F.translate(F.decode(raw, "ISO-8859-1"), MOVED_LATIN, MOVED_1047)
 
 
-@pandas_udf("binary")
-def to_1047(text: pd.Series) -> pd.Series:
+def to_1047(text: Column) -> Column:
     """Bytes in code page 1047, null where a character has none."""
-    return text.map(lambda t: None if t is None or any(c not in _BYTE_OF for c in t) else bytes(_BYTE_OF[c] for c in t))
+    return F.when(F.rlike(text, F.lit(r"^[\x00-\xFF]*$")), F.encode(F.translate(text, MOVED_1047, MOVED_LATIN), "ISO-8859-1"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegraph.functions import codecs
 from tidegraph.functions import text as tx
 from tidegraph.functions import truth as tr
 from tidegraph.operators import cfg, contexts, dataflow, dependencies, evidence, fixpoint, reports, storage
@@ -414,6 +415,7 @@ for _name, _column in {
     "text_sha256": lambda t: F.sha2(t, 256),
     "text_key": lambda t: tx.key_of(t, F.col("source")),
     "text_ascii": lambda t: F.hex(tx.to_ascii(t)),
+    "text_1047": lambda t: F.hex(codecs.to_1047(t)),
 }.items():
     _QUERIES[_name] = lambda spark, d, c=_column: _texts(spark, d, c)
 

@@ -1,5 +1,7 @@
 """DuckDB SQL for the graph engine's queries, over the same tables."""
 
+from tidegraph.functions.codecs import MOVED_1047, MOVED_LATIN
+
 #: Blocks, units, terminators and edges of the program encoding.
 BASE = """
 WITH RECURSIVE b AS (
@@ -172,6 +174,8 @@ SQL = {
     "text_sha256": "SELECT doc_id, sha256(text) AS value FROM documents",
     "text_key": "SELECT doc_id, length(text) || ':' || text || length(source) || ':' || source AS value FROM documents",
     "text_ascii": r"SELECT doc_id, CASE WHEN regexp_full_match(text, '[\x00-\x7F]*', 's') THEN hex(text) END AS value FROM documents",
+    "text_1047": f"""SELECT doc_id, CASE WHEN regexp_full_match(text, '[\\x{{0}}-\\x{{FF}}]*', 's') THEN
+        array_to_string(list_transform(string_split(translate(text, '{MOVED_1047.replace("'", "''")}', '{MOVED_LATIN.replace("'", "''")}'), ''), lambda c: format('{{:02X}}', unicode(c))), '') END AS value FROM documents""",
     "is_digits": WORDS + " SELECT doc_id, count(*) FILTER (regexp_full_match(word, '[0-9]+')) AS n_digits, count(*) AS n FROM w GROUP BY doc_id",
     "name_rules": WORDS + f""", p AS (SELECT {UPPER.replace('text', 'word')} AS raw FROM w), q AS (SELECT raw, CASE WHEN length(raw) <= 8 THEN rtrim(raw, ' ') END AS name FROM p)
         SELECT rule, name, count(*) AS n FROM (
