@@ -145,8 +145,8 @@ def _moments(weight: Column, x: list[Column]) -> list[Column]:
     return [F.sum(weight).alias("n"), *(F.sum(weight * x[i]).alias(f"s{i}") for i in range(D)), *(F.sum(weight * x[i] * x[k]).alias(f"p{i}{k}") for i in range(D) for k in range(i, D))]
 
 
-def _joined(rows: DataFrame, estimates: DataFrame, few: bool) -> DataFrame:
-    return rows.join(F.broadcast(estimates) if few else estimates, "_group", "left")
+def _joined(rows: DataFrame, estimates: DataFrame, few: bool, how: str) -> DataFrame:
+    return rows.join(F.broadcast(estimates) if few else estimates, "_group", how)
 
 
 def _started(rows: DataFrame) -> DataFrame:
@@ -182,7 +182,7 @@ def _estimated(sums: DataFrame, share: float) -> DataFrame:
 
 def _concentrated(rows: DataFrame, estimates: DataFrame, share: float, few: bool) -> DataFrame:
     """The next estimates: of the h nearest vectors of each group, the bin at the border by its part of the weight."""
-    binned = _joined(rows, estimates, few).withColumn("_bin", F.floor(F.log2(_distance() + 1e-6) * _FINE))
+    binned = _joined(rows, estimates, few, "inner").withColumn("_bin", F.floor(F.log2(_distance() + 1e-6) * _FINE))
     bins = binned.groupBy(*_KEYS, "_bin").agg(*_moments(F.lit(1.0), [F.col(f"_x{i}") for i in range(D)]))
     below = Window.partitionBy(*_KEYS).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     h = F.ceil(F.sum("n").over(Window.partitionBy(*_KEYS)) * F.lit(share))
@@ -215,7 +215,7 @@ def _verdicts(measured: DataFrame, share: float = 0.6, steps: int = 6, cut: floa
     """
     rows, few = _grouped(checkpointed(measured.withColumn("_failed", base_failed()).withColumns(vector())), least)
     sound = checkpointed(rows.where(~F.col("_failed")).select(F.explode("_uses").alias("_group"), *(f"_x{i}" for i in range(D))))
-    out = _joined(rows.drop("_uses"), checkpointed(robust(sound, share, steps, few)), few).withColumn("_distance", _distance())
+    out = _joined(rows.drop("_uses"), checkpointed(robust(sound, share, steps, few)), few, "left").withColumn("_distance", _distance())
     kept = ~F.col("_failed") & F.coalesce(F.col("_distance") <= F.lit(chi_quantile(1 - cut, D)), F.lit(True))
     return out.withColumn("_kept", kept)
 
