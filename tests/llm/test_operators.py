@@ -42,7 +42,7 @@ def none(spark):
 @pytest.mark.parametrize("name", sorted(oracles.SQL))
 def test_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in "documents benchmark labels pages conversations".split():
+    for t in "documents benchmark labels pages conversations embeddings".split():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     got = queries.queries()[name](spark, DATA)
     want = con.execute(oracles.SQL[name])

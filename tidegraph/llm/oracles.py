@@ -55,9 +55,68 @@ SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT A
 FROM d LEFT JOIN g USING (doc_id) LEFT JOIN q USING (doc_id)
 """
 
+WARC = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS payload_bytes FROM pages),
+m AS (SELECT html, max(page_id) AS last FROM p WHERE payload_bytes >= 1000 GROUP BY html)
+SELECT page_id, payload_bytes, sha1(html) AS payload_digest, CASE WHEN last <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN last <> page_id THEN last END AS refers_to
+FROM p LEFT JOIN m USING (html)
+"""
+
+DIVERGENCE = r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, unnest(list_distinct(terms)) AS term FROM d), k AS MATERIALIZED (SELECT lang, term FROM v GROUP BY ALL HAVING count(*) >= 30),
+o AS (SELECT lang, source, unnest(terms) AS term FROM d),
+c AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM o JOIN k USING (lang, term) GROUP BY ALL),
+s AS (SELECT lang, count(*) AS kept FROM k GROUP BY lang),
+gn AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+ln AS (SELECT lang, sum(n) AS total FROM c GROUP BY lang),
+lc AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL),
+p AS MATERIALIZED (SELECT lang, source, term, coalesce(c.n, 0) AS n, (1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 5) // (gn.total + 5 * kept))::BIGINT AS p
+      FROM gn JOIN k USING (lang) JOIN s USING (lang) LEFT JOIN c USING (lang, source, term)),
+q AS (SELECT lang, term, (1 + 1000000000::HUGEINT * (n + 5) // (total + 5 * kept))::BIGINT AS q FROM lc JOIN ln USING (lang) JOIN s USING (lang)),
+a AS (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p))::BIGINT AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+r AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0)::BIGINT AS value
+      FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN a ON a.lang = x.lang AND a.source = x.source AND a.item = y.source
+      UNION ALL SELECT lang, source, 'term', term, p - q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INT AS rank FROM r)
+WHERE part = 'pair' OR rank <= 50
+"""
+
+
+def _clusters(rounds: int = 5) -> str:
+    """Every vector against every centroid in each round; integers are exact in doubles at these sizes."""
+    near = "(SELECT vec_id, n, v, arg_min(c, (list_inner_product(w, w) - 2 * list_inner_product(v, w) , c)) AS c FROM x, {of} GROUP BY vec_id, n, v)"
+    out = """WITH e AS (SELECT vec_id, row_number() OVER () AS n, [floor(256 * y::DOUBLE) FOR y IN embedding] AS v FROM embeddings
+      WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda y: y IS NOT NULL AND isfinite(y))) = 64),
+x AS MATERIALIZED (SELECT * FROM e WHERE list_max(v) < 134217728 AND list_min(v) > -134217728),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v AS w FROM (SELECT sha256('2:' || coalesce(vec_id::VARCHAR, '')) AS h, v FROM x ORDER BY h, v LIMIT 40)),
+"""
+    for i in range(rounds):
+        out += f"""a{i} AS MATERIALIZED {near.format(of=f"c{i}")},
+s{i} AS (SELECT c, d, sum(v[d]) AS s, count(*) AS m FROM a{i}, range(1, 65) AS u(d) GROUP BY c, d),
+m{i} AS (SELECT c, list(floor(s / m) ORDER BY d) AS w FROM s{i} GROUP BY c),
+c{i + 1} AS MATERIALIZED (SELECT c, coalesce(m{i}.w, c{i}.w) AS w FROM c{i} LEFT JOIN m{i} USING (c)),
+"""
+    last = f"c{rounds}"
+    return out + f"""a AS MATERIALIZED {near.format(of=last)},
+f AS (SELECT vec_id, c, (list_inner_product(v, v) - 2 * list_inner_product(v, w) + list_inner_product(w, w))::BIGINT AS distance, w FROM a JOIN {last} USING (c))
+SELECT vec_id, c::INT AS cluster, distance, sum(distance) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia,
+       sha256(array_to_string([y::BIGINT FOR y IN w], ',')) AS centroid_sha256
+FROM f
+"""
+
+
+CLUSTERS = _clusters()
+
 SQL = {
     "op2_benchmark_decontamination": DECONTAMINATION,
     "op3_chat_format": CHAT,
     "op6_source_mixing": MIXING,
     "op7_substring_dedup": SUBSTRINGS,
+    "op11_ball_tree_clusters": CLUSTERS,
+    "op12_warc_transactions": WARC,
+    "op13_source_divergence": DIVERGENCE,
 }

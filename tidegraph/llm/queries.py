@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm import chat_format, decontamination, html_extraction, mixing, oracles, quality_classifier, quality_rules, secrets, simhash, substring_dedup, token_counts
+from tidegraph.llm import ball_tree, chat_format, decontamination, divergence, html_extraction, mixing, oracles, quality_classifier, quality_rules, secrets, simhash, substring_dedup, token_counts, warc
 from tidegraph.llm.common import table
 
 
@@ -58,8 +58,22 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op11_ball_tree_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.rewritten(table(spark, sf_dir, "pages"))
+    page = lambda c: warc.field(F.col(c), "page-id").cast("long")
+    return found.select(page("metadata").alias("page_id"), "response.payload_bytes", "response.payload_digest", F.col("response.type").alias("record_type"), page("refers_to.metadata").alias("refers_to"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_benchmark_decontamination, op3_chat_format, op4_secret_scan, op5_quality_rules, op6_source_mixing, op7_substring_dedup, op8_simhash_near_dedup, op9_quality_classifier, op10_token_counts)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_benchmark_decontamination, op3_chat_format, op4_secret_scan, op5_quality_rules, op6_source_mixing, op7_substring_dedup, op8_simhash_near_dedup, op9_quality_classifier, op10_token_counts, op11_ball_tree_clusters, op12_warc_transactions, op13_source_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
