@@ -9,14 +9,22 @@ near zero. On a page, a branch's importance joins its own with that of its
 children (weighted by how many presentations it has), and branches in which all
 is below the threshold are removed.
 
+Mirrored pages (those of a host that have the same elements and texts) count
+once, so that an article under many addresses is no template: what has fewer
+than `least_pages` different pages is unknown to the tree.
+
 What the tree cannot know is taken from the page: tags that HTML keeps for other
 things than content, and names (class, id, role) of adverts, menus and readers'
 comments, whose words differ from page to page. Names that also content can have
 (a notice, a form, a search) count only where the host has fewer than
 `least_pages` pages with that element; elsewhere the tree decides. In an article
-a name counts only if no other word goes with it, and headings and sections are
-never known by their ids. Text of an article is not removed for being the same
-on other pages; all else is, even if nothing is left.
+a name counts only if no other word goes with it. Elsewhere that holds for names
+that words of content often go with (menu-theory, related-work): in a compound
+they count where most of the branch is links, or where the tree finds the branch
+unimportant. Headings and sections are
+never known by their ids, nor are paragraphs without links by names that text
+can have. Text of an article is not removed for being the same on other pages;
+all else is, even if nothing is left.
 
 The tree is never in one place: its counts are grouped by element, the hot ones
 summed before they are shuffled, and each page meets its own elements' values
@@ -57,59 +65,75 @@ SCOPE = frozenset("html body table ul ol dl div article main section td th".spli
 STRONG = frozenset(
     "ad ads advert adverts advertisement advertising adsense adbox sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs "
     "topbar toolbar pagination footer masthead sidebar aside rail widget widgets cookie cookies consent gdpr popup modal copyright "
-    "signup newsletter share sharing contentinfo complementary comment comments replies reply disqus respond".split()
+    "signup newsletter share sharing contentinfo complementary comment comments replies reply disqus".split()
 )
 #: Of these, marks of what readers or the site add; an article in there is no main text.
-ADDED = frozenset("comment comments replies reply disqus respond".split())
+ADDED = frozenset("comment comments replies reply disqus".split())
 #: Names of what often is no content; the tree decides where it can.
-WEAK = frozenset("banner notice notices alert overlay form search login subscribe pager discussion social related recommended trending skip".split())
+WEAK = frozenset("banner notice notices alert overlay form search login subscribe pager discussion social related recommended trending skip respond".split())
+#: Of all these, names that a paragraph of text can have; there they count only beside links.
+OF_TEXT = frozenset("share sharing rail widget widgets menu toolbar navigation modal promo promotion signup reply form search alert discussion social related trending skip".split())
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+#: Names that in compounds are content's as often.
+AMBIGUOUS = frozenset("menu share sharing related recommended trending discussion social search promo promotion rail reply replies respond alert skip modal navigation widget widgets".split())
 #: Words that say nothing by themselves beside one of the names above.
-NEUTRAL = frozenset("area bar block body box button buttons col container content cta group holder icon icons inner item items left link links list main module outer panel primary right row secondary section site slot text top bottom unit wrap wrapper".split())
+NEUTRAL = frozenset("area bar block body box button buttons col container content cta group holder icon icons inner item items left link links list main module outer panel primary right row secondary section site slot text top bottom unit wrap wrapper respond header head section".split())
 PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol blockquote pre td th tr table tbody thead figcaption figure dl dt dd".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN = frozenset(("article", "main"))
 GAMMA = 0.9
 #: From this importance on, an element with a weak name is content.
 IMPORTANT = 0.6
+#: Names say nothing, something that content can be called too, what is no content, what readers add.
+WEAK_LEVEL, STRONG_LEVEL, ADDED_LEVEL = 1, 2, 3
+NOTHING = (0, 0, 0, True)
+#: Copied pages up to which their first ones are broadcast.
+BROADCAST_COPIES = 20_000
 
 
 class Page(NamedTuple):
     """Elements in page order (0 is the root) and blocks of text.
 
-    noise: what an element's names say (0 nothing, 1 weak, 2 strong, 3 an addition), in general and inside an article.
+    noise: what an element's names say (a level, 0 is nothing): all of them, those that are not ambiguous, those by themselves; and whether text can have them all.
     """
 
     tag: list[str]
     parent: list[int]
     label: list[str]
-    noise: list[tuple[int, int]]
+    noise: list[tuple[int, int, int, bool]]
     blocks: list[tuple[int, str]]
     links: list[int]
 
 
-def _said(value: str) -> tuple[int, int]:
-    """What names say, and what those say that no other word goes with."""
-    most = alone = 0
+def _level(words: set[str]) -> int:
+    return ADDED_LEVEL if words & ADDED else STRONG_LEVEL if words & STRONG else WEAK_LEVEL if words & WEAK else 0
+
+
+def _said(value: str) -> tuple[int, int, int, bool]:
+    """What names say, what those say that aren't ambiguous, what those that no other word goes with, and whether text can have all that say something."""
+    most = firm = alone = 0
+    textual = True
     for token in value.split():
         words = {x.lower() for x in _NAME.findall(token)}
-        level = 3 if words & ADDED else 2 if words & STRONG else 1 if words & WEAK else 0
-        most = max(most, level)
+        level = _level(words)
+        most, firm = max(most, level), max(firm, _level(words - AMBIGUOUS))
         if level and all(w in STRONG or w in WEAK or w in NEUTRAL or len(w) == 1 for w in words):
             alone = max(alone, level)
-    return most, alone
+        textual = textual and words & (STRONG | WEAK) <= OF_TEXT
+    return most, firm, alone, textual
 
 
-def _marked(tag: str, attributes: str) -> tuple[str, tuple[int, int]]:
+def _marked(tag: str, attributes: str) -> tuple[str, tuple[int, int, int, bool]]:
     """Class and id as part of a label, and what names in them say."""
-    label, noise = "", (0, 0)
+    label, noise = "", NOTHING
     for kind, a, b, c in _ATTRIBUTE.findall(attributes):
         value, kind = a or b or c, kind.lower()
-        most, alone = _said(value)
+        most, firm, alone, textual = _said(value)
         if kind == "id" and tag in HEADINGS:
-            most = 0
+            most = firm = 0
         if kind == "id" and (tag in HEADINGS or tag == "section"):
             alone = 0
-        noise = max(noise[0], most), max(noise[1], alone)
+        noise = max(noise[0], most), max(noise[1], firm), max(noise[2], alone), noise[3] and textual
         if kind != "role":
             label += f".{' '.join(sorted(re.sub('[0-9]+', '0', value).split()))}"
     return label, noise
@@ -137,7 +161,7 @@ class _Stack:
 
 
 def parse(html: str) -> Page:
-    page = Page([""], [-1], [""], [(0, 0)], [], [0])
+    page = Page([""], [-1], [""], [NOTHING], [], [0])
     stack, buffer = _Stack(), []
     linked, nested = 0, 0
 
@@ -191,7 +215,7 @@ def parse(html: str) -> Page:
             if tag == "hr":
                 flush()
             continue
-        label, noise = _marked(tag, m[3]) if m[3] and not m[3].isspace() else ("", (0, 0))
+        label, noise = _marked(tag, m[3]) if m[3] and not m[3].isspace() else ("", NOTHING)
         if tag in INLINE and not noise[0]:
             nested += stack.tags[-1] == tag
             continue
@@ -281,7 +305,10 @@ def main_text(html: str, host: str, values: dict[int, tuple[float, float, int]],
     importance = importances(page, known, own)
     low = [known[i] is not None and importance[i] < threshold and (not own[i] or known[i][1] < threshold) for i in range(n)]
     holds = [False] * n
+    length, linked = [sum(map(len, x)) for x in own], list(page.links)  # of branches
     for i in range(n - 1, 0, -1):
+        length[page.parent[i]] += length[i]
+        linked[page.parent[i]] += linked[i]
         if page.tag[i] in MAIN or holds[i]:
             holds[page.parent[i]] = True
         if not low[i]:
@@ -291,13 +318,18 @@ def main_text(html: str, host: str, values: dict[int, tuple[float, float, int]],
         up, tag = page.parent[i], page.tag[i]
         inside[i] = inside[up] or tag in MAIN
         article[i] = tag == "article" or article[up] and tag != "main"
-        level = page.noise[i][inside[up]]
-        if level == 1 and importance[i] is not None and importance[i] >= IMPORTANT:
+        compound, firm, level, textual = page.noise[i]
+        if not inside[up]:
+            level = max(level, firm)
+        if compound > level and not inside[up] and (2 * linked[i] > length[i] or importance[i] is not None and importance[i] < IMPORTANT):
+            level = compound
+        if level == WEAK_LEVEL and importance[i] is not None and importance[i] >= IMPORTANT or tag in TEXT and textual and not linked[i]:
             level = 0
-        by_name = level > 0 and tag not in ("html", "body", "main") and (level == 3 or not holds[i])
+        by_name = level > 0 and tag not in ("html", "body", "main") and (level == ADDED_LEVEL or not holds[i])
         by_tag = tag in NOISE or tag == "header" and not article[up] and not holds[i]
         copied = low[i] and not holds[i] and not (inside[i] and (tag in MAIN or tag in PLAIN and "." not in page.label[i]))
-        links = not inside[i] and bool(own[i]) and page.links[i] > 0.8 * sum(map(len, own[i])) and tag in ("ul", "ol", "li")
+        branch = up if tag == "li" else i  # a list is judged as a whole
+        links = not inside[i] and linked[branch] > 0.8 * length[branch] > 0 and tag in ("ul", "ol", "li")
         gone[i] = gone[up] or by_tag or by_name or copied or links
     left = [(i, text) for i, text in page.blocks if not gone[i]]
     # <main> says where the content is; articles do if most of what is left is in them
@@ -308,20 +340,37 @@ def main_text(html: str, host: str, values: dict[int, tuple[float, float, int]],
 
 
 def _features(pages: DataFrame) -> DataFrame:
-    """pid, elements, kinds, hashes: a row a page, with arrays of its features."""
-    names = ["pid", "elements", "kinds", "hashes"]
+    """pid, page (the same for pages of equal features), elements, kinds, hashes: a row a page, with arrays of its features."""
+    from struct import pack
+
+    names = ["pid", "page", "elements", "kinds", "hashes"]
+
+    def seen(url: str | None, html: str | None) -> tuple:
+        from xxhash import xxh64_intdigest
+
+        found = sorted(tree_features(html or "", host_of(url)))
+        return _pid(url, html), _signed(xxh64_intdigest(b"".join(pack("<qqq", *x) for x in found))), *map(list, zip(*found, strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                rows.append((_pid(url, html), *map(list, zip(*sorted(tree_features(html or "", host_of(url))), strict=True))))
+                rows.append(seen(url, html))
             if rows:
                 longs = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), longs, pa.list_(pa.int8()), longs], strict=True)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), longs, pa.list_(pa.int8()), longs], strict=True)], names)
 
     # written once, so that a page is parsed once for the tree and its own elements
-    return checkpointed(parallel(pages.select("url", "html")).mapInArrow(run, "pid long, elements array<long>, kinds array<tinyint>, hashes array<long>"))
+    made = parallel(pages.select("url", "html")).mapInArrow(run, "pid long, page long, elements array<long>, kinds array<tinyint>, hashes array<long>")
+    return checkpointed(made.withColumn("row", F.monotonically_increasing_id()))
+
+
+def different(features: DataFrame) -> DataFrame:
+    """One row of features for each page that is not the same as another."""
+    copies = checkpointed(features.groupBy("page").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    if copies.count() <= BROADCAST_COPIES:
+        copies = F.broadcast(copies)
+    return features.join(copies, "page", "left").where("first IS NULL OR first = row")
 
 
 def _pid(url: str | None, html: str | None) -> int:
@@ -331,8 +380,8 @@ def _pid(url: str | None, html: str | None) -> int:
 
 
 def style_tree(features: DataFrame, least_pages: int) -> DataFrame:
-    """element, shape, content, styles of the merged trees, for elements of least_pages pages."""
-    rows = features.select(F.inline(F.arrays_zip("elements", "kinds", "hashes"))).toDF("element", "kind", "feature")
+    """element, shape, content, styles of the merged trees, for elements of least_pages different pages."""
+    rows = different(features).select(F.inline(F.arrays_zip("elements", "kinds", "hashes"))).toDF("element", "kind", "feature")
     counts = rows.groupBy("element", "kind", "feature").agg(F.count(F.lit(1)).alias("n"))
     shape, content = F.col("kind") == 0, F.col("kind") == 1
     tree = counts.groupBy("element").agg(
