@@ -14,7 +14,8 @@ placeholders beside theirs); a table of reviewed findings of the same columns
 can be given instead.
 
 Defined results: null and empty texts have no findings; texts and candidates of
-any length are taken whole, but a private key's body by 16 kB; null sources are
+any length are taken whole, in time linear in them (all looks ahead and behind
+are bounded, but a private key's body ends at its 200th single dash); null sources are
 no path; a score is the mean of the trees' shares of secrets, and one of exactly
 `least` (a tie) is no secret; repeated rows are scanned each; an empty table
 gives an empty result; extra columns of any name pass through `redact`
@@ -41,20 +42,25 @@ FORMATS = {
     "slack_token": r"\bxox[abprs]-[A-Za-z0-9-]{10,}",
     "json_web_token": r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
     "google_api_key": r"\bAIza[A-Za-z0-9_-]{35}",
+    "service_token": r"\b(?:SG\.[A-Za-z0-9_-]{16,64}\.[A-Za-z0-9_-]{16,64}|sk-[A-Za-z0-9_-]{20,200}|hf_[A-Za-z0-9]{30,64}|glpat-[A-Za-z0-9_-]{20,64}|npm_[A-Za-z0-9]{36}|[rs]k_(?:live|test)_[A-Za-z0-9]{16,120}|pypi-[A-Za-z0-9_-]{32,240}|xapp-[A-Za-z0-9-]{20,120})",
     # up to its END mark, header lines and all; without one, headers and the lines of its body
-    "private_key": r"-----BEGIN [A-Z0-9 ]{0,20}PRIVATE KEY(?: BLOCK)?-----(?:[A-Za-z0-9+/=\s:,.()\\_-]{0,16384}?-----END [A-Z0-9 ]{0,20}PRIVATE KEY(?: BLOCK)?-----|(?:\s{0,4}[A-Za-z][A-Za-z-]{0,30}: [^\r\n]{0,200}){0,8}(?:(?:\s|\\[nr]){1,4}[A-Za-z0-9+/]{24,128}={0,2}){1,400})",
+    "private_key": r"-----BEGIN [A-Z0-9 ]{0,20}PRIVATE KEY(?: BLOCK)?-----(?:[A-Za-z0-9+/=\s:,.()\\_]*+(?:-(?!----)[A-Za-z0-9+/=\s:,.()\\_]*+){0,200}-----END [A-Z0-9 ]{0,20}PRIVATE KEY(?: BLOCK)?-----|(?:\s{0,4}[A-Za-z][A-Za-z-]{0,30}: [^\r\n]{0,200}){0,8}(?:(?:\s|\\[nr]){1,4}[A-Za-z0-9+/]{24,128}={0,2}){1,400})",
 }
 #: Names whose values are secrets, with anything before and after them, and words that go with what only looks like one.
 NAMES = r"(?:pass(?:word|wd|phrase|code)|(?<![a-z])pass(?![a-z])|pwd|secret|token|(?:api|access|private|signing|encryption|account)[_.-]?key|auth|bearer|credential)"
-HARMLESS = r"(?:sha\d*|commit|checksum|md5|uuid|guid|digest|hash|revision|build|version|isbn|order|tracking|serial|example|sample|etag|id)"
+HARMLESS = r"(?:sha\d*|commit|checksum|md5|uuid|guid|digest|hash|revision|build|version|isbn|order|tracking|serial|example|sample|etag|integrity|base64|product|part|model|id)"
 #: The name of an assignment (also a quoted one, or with a scheme after it), a bearer's token, a user in an address.
 _NAMED = r"(?i:" + NAMES.replace("a-z", "A-Za-z") + r")[\w.-]{0,64}(?:\\?[\"'])?[ \t]{0,3}[=:]{1,2}>?[ \t]{0,3}(?:\\?[\"'])?(?:(?i:bearer|basic|token)[ \t]{1,3})?"
+#: What is said to be a password; it has to have a digit.
+_SPOKEN = r"\b(?i:password|passphrase|passcode)[ \t]{1,3}(?i:is|was)[ \t]?:?[ \t]{1,3}[\"']?"
 _BEARER = r"\b(?i:bearer)[ \t]{1,3}"
 _USER = r"://[^\s/:@\"'?#<>]{0,128}:"
-PREFIX = "(?:" + "|".join([_NAMED, _BEARER, _USER]) + ")"
-ASSIGNED = "|".join([_NAMED + r"(?!-----BEGIN )[^\s\"']{3,}[^\s\"'\\]", _BEARER + r"[A-Za-z0-9+/_.~-]{16,}={0,2}", _USER + r"[^\s/\"'<>]{1,256}(?=@)"])
+PREFIX = "(?:" + "|".join([_NAMED, _SPOKEN, _BEARER, _USER]) + ")"
+ASSIGNED = "|".join([_NAMED + r"(?!-----BEGIN )[^\s\"']{3,}[^\s\"'\\]", _SPOKEN + r"(?=[^\s\"'0-9]{0,64}[0-9])[^\s\"']{3,}[^\s\"'\\.,;]", _BEARER + r"[A-Za-z0-9+/_.~-]{16,}={0,2}", _USER + r"[^\s/\"'<>]{1,256}(?=@)"])
+#: What makes the end of a token the name of an assignment (or its beginning, with dots after it). Both looks are bounded.
+_TAIL = r"(?<=(?i:" + NAMES.replace("a-z", "A-Za-z") + r")[\w-]{0,64})[\w.-]{0,64}(?:\\?[\"'])?[ \t]{0,3}[=:]{1,2}>?[ \t]{0,3}(?:\\?[\"'])?[^\s\"']"
 #: A long token with a digit that is not itself the name of an assignment.
-MIXED = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{16})(?=[A-Za-z+/_-]*+[0-9])(?![\w.-]*" + _NAMED + r"[^\s\"'])[A-Za-z0-9+/_-]{16,}={0,2}"
+MIXED = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{16})(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+(?!" + _TAIL + r")={0,2}"
 CANDIDATE = "|".join([*FORMATS.values(), ASSIGNED, MIXED])
 #: Words by which placeholders, identifiers and paths are told from random strings, and whose pairs of letters are those of words.
 DICTIONARY = (
@@ -91,14 +97,15 @@ def with_candidates(docs: DataFrame) -> DataFrame:
     some = F.size("matches") > 0
     out = out.withColumn("pieces", F.when(some, F.split("whole", CANDIDATE, -1))).drop("whole")
     lengths = F.transform("matches", lambda v, i: (F.length(F.get("pieces", i)) + F.length(v)).cast("long"))
-    out = out.withColumn("lengths", F.when(some, lengths))
+    # conditions name the arrays that lambdas look up: what is used twice is not worked out anew for each candidate
+    out = out.withColumn("lengths", F.when(F.size("pieces") > 1, lengths))
     add = lambda a, b: a + b
     zero = F.lit(0).cast("long")
     # sums of whole blocks, then of the blocks before each: no candidate adds up more than a block
     sums = F.transform(F.sequence(F.lit(0), F.floor((F.size("lengths") - 1) / _BLOCK).cast("int")), lambda b: F.aggregate(F.slice("lengths", b * _BLOCK + 1, _BLOCK), zero, add))
-    out = out.withColumn("sums", F.when(some, sums))
+    out = out.withColumn("sums", F.when(F.size("lengths") > 0, sums))
     blocks = F.transform("sums", lambda _, b: F.aggregate(F.slice("sums", F.lit(1), b), zero, add))
-    out = out.withColumn("blocks", F.when(some, blocks))
+    out = out.withColumn("blocks", F.when(F.size("sums") > 0, blocks))
 
     def found(match: Column, i: Column) -> Column:
         block = F.floor(i / _BLOCK).cast("int")
@@ -107,7 +114,7 @@ def with_candidates(docs: DataFrame) -> DataFrame:
         before = F.right(F.concat(F.get("pieces", i), name), F.lit(BEFORE))
         return F.struct(F.substring(match, F.length(name) + 1, F.length(match)).alias("value"), name.alias("name"), (start + F.length(name)).alias("start"), before.alias("before"), F.left(F.get("pieces", i + 1), F.lit(AFTER)).alias("after"))
 
-    return out.withColumn("found", F.when(some, F.transform("matches", found))).drop("matches", "lengths", "sums", "blocks")
+    return out.withColumn("found", F.when((F.size("blocks") > 0) & (F.size("lengths") > 0) & (F.size("pieces") > 1), F.transform("matches", found))).drop("matches", "lengths", "sums", "blocks")
 
 
 def kind(value: Column) -> Column:
@@ -128,7 +135,7 @@ def features(value: Column, before: Column, after: Column, path: Column) -> dict
     # what stands for a value: references, placeholders; what is a word
     reference = value.rlike(r"^(?:[$<{%*(\[]|[xX*.]{4,}$|[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+\W{0,2}$|[\w.]+[(\[])") & (kind(value) == "token")
     word = value.rlike(r"^[A-Za-z]?[a-z]{1,15}[.,;:!?)]{0,2}$")
-    named = beside.rlike(NAMES + r"(?:s|[_.-]?key|[_.-]?value|orization|[_.-][a-z0-9_.-]*)?\W{0,6}(?:(?:bearer|basic|token)\W{1,3})?$")
+    named = beside.rlike(NAMES + r"(?:s|[_.-]?key|[_.-]?value|orization|[_.-][a-z0-9_.-]*)?\W{0,6}(?:(?:bearer|basic|token|is|was)\W{1,3})?$")
     assigned = before.rlike(r"=\s?[\"']?$|[\"']\s{0,3}:\s{0,3}[\"']$|(?i:bearer|basic)\s+$")
     user = before.rlike(r"://[^\s/:@]*:$") & after.startswith("@")
     # pairs of letters that follow each other, by the codes of both; arrays are made once, not once a pair
@@ -154,7 +161,7 @@ def features(value: Column, before: Column, after: Column, path: Column) -> dict
         "test_path": yes(F.lower(path).rlike("test|fixture|example|sample|mock|docs?/")),
         "named": yes(named),
         "near_name": yes(beside.rlike(NAMES)),
-        "harmless": yes(beside.rlike(r"(?:\b|[_.-])" + HARMLESS + r"\W{0,6}$")),
+        "harmless": yes(beside.rlike(r"(?:\b|[_.-])" + HARMLESS + r"\W{0,6}(?:(?:code|number|is|was)\W{1,3})?$") | value.rlike("^(?i:sha(?:1|256|384|512)-)")),
         "context": F.when(user, 3).when(named & assigned, 2).when(named, 1).otherwise(0).cast("double"),
     }
 
@@ -221,6 +228,17 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
         (0, words, F.concat(prose, query)),
         (0, uuid, F.concat(prose, query)),
         (0, number, F.concat(prose, query)),
+        (1, F.concat(F.lit("SG."), F.substring(F.translate(alphabetic, "+/", "ab"), 1, 22), F.lit("."), F.substring(F.reverse(F.translate(random64, "+/", "_-")), 1, 43)), prose),
+        (1, F.concat(pick(29, "hf_", "glpat-", "npm_", "sk-", "sk_live_", "pypi-"), F.substring(F.translate(alphabetic, "+/", "xy"), 1, 36)), F.concat(prose, pick(30, "", "token: ", "use "))),
+        (1, F.concat(pick(31, "hf_", "glpat-", "npm_", "sk-ant-api03-", "sk-proj-", "rk_test_"), F.substring(F.translate(random64, "+/", "xy"), 1, 36)), prose),
+        (1, F.concat(word, pick(32, "99", "7", "2024!", "_42", "123")), F.concat(prose, pick(33, "password is ", "the password was ", "passphrase is: ", "my passcode is "))),
+        (1, F.concat(word, pick(42, "2", "99", "4u", "1"), pick(43, "secret", "house", "castle", "under", "water", "Pass")), F.concat(prose, compound)),
+        (0, pick(44, "garden", "window", "teacher", "morning", "nothing", "everyone", "tonight", "missing", "expired", "wrong", "bicycle", "mountain"), F.concat(prose, pick(45, "the password: ", "a token: ", "the secret: ", "passwords: ", "author: ", "this password: "))),
+        (0, F.concat(F.lit("iVBORw0KGgo"), random64), F.concat(prose, pick(34, "data:image/png;base64,", "url(data:font/woff2;base64,"))),
+        (0, F.concat(pick(35, "sha512-", "sha384-", "sha256-"), random64), F.concat(prose, pick(36, "integrity=\"", "\"integrity\": \"", ""))),
+        (0, F.substring(upper, 1, 16), F.concat(prose, pick(37, "product code ", "part ", "model ", "serial number ", "order ", "", "the "))),
+        (0, F.substring(h, 1, 40), F.concat(prose, pick(38, "\"private_key_id\": \"", "secret_id=", "token_id: ", "\"api_key_id\": \"", "private_key_version: "))),
+        (0, F.concat_ws("-", pick(39, "sk-learn", "sk-very-long", "npm-package", "hf-some"), pick(40, "with", "about", "under"), pick(41, "hyphenated-words-in-it", "many-parts-to-name")), prose),
     ]
     made = F.element_at(F.array(*(F.struct(F.lit(y).alias("label"), v.alias("value"), b.alias("before"), (after[0] if after else F.lit(" and so")).alias("after")) for y, v, b, *after in cases)), (F.col("id") % len(cases) + 1).cast("int"))
     path = F.when(F.col("id") % 11 == 0, "tests/fixture").otherwise(F.lit("src"))
@@ -253,12 +271,12 @@ def _tree(node) -> tuple:
     return node.split().featureIndex(), node.split().threshold(), _tree(node.leftChild()), _tree(node.rightChild())
 
 
-def train(findings: DataFrame, trees: int = 24, depth: int = 6, seed: int = 11) -> Forest:
+def train(findings: DataFrame, trees: int = 24, depth: int = 7, seed: int = 11) -> Forest:
     """A forest of labelled findings (value, before, after, path, label)."""
     of = features(F.col("value"), F.col("before"), F.col("after"), F.col("path"))
     rows = findings.select("label", *(c.alias(n) for n, c in of.items()))
     assembled = VectorAssembler(inputCols=list(of), outputCol="features").transform(rows)
-    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt", minInstancesPerNode=4).fit(assembled)
+    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="onethird", minInstancesPerNode=4).fit(assembled)
     return Forest(list(of), [_tree(t._java_obj.rootNode()) for t in model.trees])
 
 
@@ -275,7 +293,9 @@ def scanned(docs: DataFrame, forest: Forest, least: float = 0.4) -> DataFrame:
 
 def findings(docs: DataFrame, forest: Forest, least: float = 0.4) -> DataFrame:
     """A row per candidate of docs (doc_id, text, source): doc_id, kind, start, n_chars, value_sha256, score, secret."""
-    rows = scanned(docs.select("doc_id", "text", "source"), forest, least).select("row.doc_id", F.explode_outer("judged").alias("x")).where("x is not null")
+    # texts are left behind before candidates are rows: each would carry its text otherwise
+    held = scanned(docs.select("doc_id", "text", "source"), forest, least).select(F.col("row.doc_id").alias("doc_id"), "judged")
+    rows = held.select("doc_id", F.explode_outer("judged").alias("x")).where("x is not null")
     return rows.select("doc_id", "x.kind", "x.start", F.length("x.value").alias("n_chars"), F.sha2("x.value", 256).alias("value_sha256"), "x.score", "x.secret")
 
 
