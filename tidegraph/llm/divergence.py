@@ -125,7 +125,7 @@ def pairs(rated: DataFrame, sizes: DataFrame) -> DataFrame:
     rated: lang, source, term, p of the terms that a source has; sizes: lang, source, kept (terms of the language), base.
     """
     small = sizes.select("lang", "source", "kept", "base")
-    other = small.select("lang", F.col("source").alias("other"), F.col("base").alias("other_base"))
+    other = _near(small.select("lang", F.col("source").alias("other"), F.col("base").alias("other_base")))
     apart = F.abs(F.col("base") - F.col("other_base"))
     lacking = small.join(other, "lang").where("source <> other").select("lang", "source", "other", (F.col("kept") * apart).alias("value"))
     # what the terms of one source add where the other has its baseline: by distinct rates, in both directions
