@@ -22,7 +22,6 @@ from tidegraph.operators.shared import checkpointed
 #: Blocks of a unit that one task solves.
 GROUP = 20_000
 FACT = "unit long, pos long, cell long, val string, prod long"
-_NAMES, _TYPES = ["unit", "pos", "cell", "val", "prod"], [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
 Fact = tuple[int, str, int]
 
 
@@ -41,18 +40,21 @@ def fact(cell: Column, val: Column, prod: Column) -> Column:
     return F.struct(cell.cast("long").alias("cell"), val.alias("val"), prod.cast("long").alias("prod"))
 
 
-def by_unit(flow: DataFrame, solve: Callable[[list[dict]], Iterable[tuple]]) -> DataFrame:
-    """Facts that solve finds from all rows of a unit, unit after unit of sorted partitions.
+def by_unit(flow: DataFrame, solve: Callable[[list[dict]], Iterable[tuple]], shape: str = FACT) -> DataFrame:
+    """Rows (facts, or of another shape of longs and strings that begins with the unit) that solve finds from all rows of a unit, unit after unit of sorted partitions.
 
     Partitions hold many units each, and are read as a stream: one unit is in memory at a time.
     """
 
+    names, kinds = zip(*(x.split() for x in shape.split(", ")), strict=True)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
         out: list[tuple] = []
+        types = [pa.int64() if k == "long" else pa.string() for k in kinds]
 
         def given() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _TYPES, strict=True)], _NAMES)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], list(names))
 
         for batch in batches:
             for row in batch.to_pylist():
@@ -68,7 +70,7 @@ def by_unit(flow: DataFrame, solve: Callable[[list[dict]], Iterable[tuple]]) ->
         if out:
             yield given()
 
-    return flow.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, FACT)
+    return flow.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, shape)
 
 
 def _grouped(flow: DataFrame, transfer: Transfer) -> DataFrame:

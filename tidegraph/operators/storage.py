@@ -42,13 +42,14 @@ def overlaps(ranges: DataFrame) -> DataFrame:
     return a.join(b, met & (ordered | same & (F.col("a.n") > 1))).select(*(f"a.{c}" for c in (*keys, "n")), *other)
 
 
-def coalesced(ranges: DataFrame) -> DataFrame:
-    """unit, base, start, end: ranges that overlap or touch made one (gaps and islands)."""
-    order = Window.partitionBy("unit", "base").orderBy("start", "end")
+def coalesced(ranges: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """keys (unit, base), start, end: ranges that overlap or touch made one (gaps and islands)."""
+    keys = keys or ["unit", "base"]
+    order = Window.partitionBy(*keys).orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    starts = ranges.select("unit", "base", "start", "end").distinct().withColumn("new", F.when(F.col("start") <= reach, 0).otherwise(1))
-    island = F.sum("new").over(Window.partitionBy("unit", "base").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0))
-    return starts.withColumn("island", island).groupBy("unit", "base", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+    starts = ranges.select(*keys, "start", "end").distinct().withColumn("new", F.when(F.col("start") <= reach, 0).otherwise(1))
+    island = F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return starts.withColumn("island", island).groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
 def copies(blocks: DataFrame) -> DataFrame:

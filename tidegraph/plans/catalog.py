@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidegraph.functions import codecs
 from tidegraph.functions import text as tx
 from tidegraph.functions import truth as tr
-from tidegraph.operators import cfg, contexts, dataflow, dependencies, evidence, fixpoint, reports, storage
+from tidegraph.operators import cfg, contexts, dataflow, dependencies, evidence, expressions, fixpoint, regions, reports, storage, summaries
 from tidegraph.plans import oracles
 from tidegraph.sources import documents as src
 from tidegraph.sources.programs import blocks, table
@@ -181,6 +181,49 @@ def recursive_activations(spark: SparkSession, d: str) -> DataFrame:
     return contexts.recursive(blocks(spark, d))
 
 
+@named
+def activation_values(spark: SparkSession, d: str) -> DataFrame:
+    return summaries.values(blocks(spark, d))
+
+
+@named
+def activation_reach(spark: SparkSession, d: str) -> DataFrame:
+    return summaries.reach(blocks(spark, d))
+
+
+@named
+def exit_summaries(spark: SparkSession, d: str) -> DataFrame:
+    return summaries.exit_summaries(blocks(spark, d))
+
+
+@named
+def unique_contexts(spark: SparkSession, d: str) -> DataFrame:
+    return summaries.unique_contexts(blocks(spark, d))
+
+
+@named
+def byte_definitions(spark: SparkSession, d: str) -> DataFrame:
+    return regions.byte_definitions(blocks(spark, d))
+
+
+@named
+def bytes_surely_written(spark: SparkSession, d: str) -> DataFrame:
+    return regions.surely_written(blocks(spark, d))
+
+
+@named
+def expression_values(spark: SparkSession, d: str) -> DataFrame:
+    b = blocks(spark, d)
+    return expressions.evaluate(expressions.trees(b), dataflow.possible_values(b))
+
+
+@named
+def expression_assignments(spark: SparkSession, d: str) -> DataFrame:
+    """unit, pos, n, open, vals: what each block's expression may give, its candidates sorted."""
+    b = blocks(spark, d)
+    return expressions.assigned(expressions.evaluate(expressions.trees(b), dataflow.possible_values(b)))
+
+
 @named
 def branch_pruned_values(spark: SparkSession, d: str) -> DataFrame:
     return contexts.pruned_values(blocks(spark, d))

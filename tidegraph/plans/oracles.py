@@ -69,6 +69,67 @@ st(unit, pos, stack) AS (
   FROM st JOIN m ON m.unit = st.unit AND m.pos = st.pos JOIN i ON i.unit = st.unit AND i.src = st.pos
   WHERE NOT (m.mark = 'C' AND contains(st.stack || '/', '/' || m.pos || '/')))
 """
+#: Each shape of expression written out, over snapshots of the two cells that it may read: s, of the source, and c, of the block's own.
+EXPRESSIONS = """,
+g AS (SELECT x.unit, x.pos, x.k % 7 AS shape, x.k, x.literal, x.source, x.cell FROM x),
+av AS (SELECT unit, pos, cell, CASE WHEN val <> '?' THEN val END AS val FROM v),
+al AS (SELECT g.unit, g.pos, c AS cell, av.val FROM g, (SELECT unnest([0, 1, 2, 3])::BIGINT AS c) LEFT JOIN av ON av.unit = g.unit AND av.pos = g.pos AND av.cell = c),
+am AS (SELECT unit, pos, cell, count(*) AS m, min(val) AS only FROM al GROUP BY ALL),
+sn AS (
+  SELECT g.*, al.val AS s, NULL AS c FROM g JOIN al ON al.unit = g.unit AND al.pos = g.pos AND al.cell = g.source WHERE shape IN (1, 2, 4, 6)
+  UNION ALL SELECT g.*, NULL, al.val FROM g JOIN al ON al.unit = g.unit AND al.pos = g.pos AND al.cell = g.cell WHERE shape = 5
+  UNION ALL SELECT g.*, NULL, NULL FROM g WHERE shape = 0
+  UNION ALL SELECT g.*, al.val, CASE WHEN y.m = 1 THEN y.only END FROM g JOIN al ON al.unit = g.unit AND al.pos = g.pos AND al.cell = g.source
+            JOIN am y ON y.unit = g.unit AND y.pos = g.pos AND y.cell = g.cell JOIN am z ON z.unit = g.unit AND z.pos = g.pos AND z.cell = g.source WHERE shape = 3 AND (z.m > 1 OR y.m = 1)
+  UNION ALL SELECT g.*, CASE WHEN z.m = 1 THEN z.only END, al.val FROM g JOIN al ON al.unit = g.unit AND al.pos = g.pos AND al.cell = g.cell
+            JOIN am y ON y.unit = g.unit AND y.pos = g.pos AND y.cell = g.cell JOIN am z ON z.unit = g.unit AND z.pos = g.pos AND z.cell = g.source WHERE shape = 3 AND y.m > 1),
+er AS (
+  SELECT unit, pos, CASE shape
+    WHEN 0 THEN literal
+    WHEN 1 THEN coalesce(rpad(s, (2 + k % 7)::INT, ' '), repeat(chr(65533), 2 + k % 7))
+    WHEN 2 THEN s || '-' || k
+    WHEN 3 THEN CASE WHEN k % 4 + 1 + k % 5 <= length(s || c) THEN substr(s || c, k % 4 + 1, 1 + k % 5) ELSE repeat(chr(65533), 1 + k % 5) END
+    WHEN 4 THEN s
+    WHEN 5 THEN CASE WHEN k % 2 = 0 THEN repeat('*', 1 + k % 3) ELSE repeat(chr(65533), 1 + k % 3) END || c
+    ELSE s || s END AS val FROM sn
+  UNION ALL SELECT unit, pos, rpad(literal, (k % 9)::INT, ' ') FROM g WHERE shape = 4),
+ev AS (SELECT DISTINCT unit, pos, coalesce(val, '?') AS val FROM er)
+"""
+#: Definitions byte by byte: must-writes kill the bytes that they write, may-writes nothing, anywhere-writes are of all bytes.
+BYTES = """,
+y AS (SELECT *, k % 16 AS s, k % 16 + length(event_type) AS f, CASE WHEN action <> 2 THEN 'must' WHEN k > 90 THEN 'anywhere' ELSE 'may' END AS how FROM x),
+n AS (SELECT unnest(range(0, 4))::BIGINT AS base), u AS (SELECT base, unnest(range(0, 32))::BIGINT AS byte FROM n),
+bd(unit, pos, base, byte, def) AS (
+  SELECT unit, 0::BIGINT, base, byte, -1::BIGINT FROM l, u
+  UNION SELECT i.unit, i.dst, bd.base, bd.byte, bd.def FROM bd JOIN y ON y.unit = bd.unit AND y.pos = bd.pos JOIN i ON i.unit = bd.unit AND i.src = bd.pos
+        WHERE NOT (how = 'must' AND y.cell = bd.base AND bd.byte >= s AND bd.byte < f)
+  UNION SELECT i.unit, i.dst, u.base, u.byte, y.pos FROM r JOIN y ON y.unit = r.unit AND y.pos = r.pos JOIN i ON i.unit = r.unit AND i.src = r.pos
+        JOIN u ON how = 'anywhere' OR u.base = y.cell AND u.byte >= s AND u.byte < f)
+"""
+_MADE = """
+      SELECT q.unit, q.entry, q.ec, q.ev, q.ep, q.pos, o.cell, o.val, o.prod, cl."to", cl.back, en.pos IS NOT NULL AS ends
+      FROM {path} q JOIN x ON x.unit = q.unit AND x.pos = q.pos LEFT JOIN cl ON cl.unit = q.unit AND cl.pos = q.pos LEFT JOIN en ON en.unit = q.unit AND en.pos = q.pos,
+           LATERAL (SELECT q.cell AS cell, q.val AS val, q.prod AS prod WHERE q.cell = -1 OR q.cell <> x.cell
+                    UNION ALL SELECT x.cell, CASE WHEN x.action = 0 THEN x.literal ELSE '?' END, x.pos WHERE q.cell = -1 AND x.action <> 1
+                    UNION ALL SELECT x.cell, q.val, q.prod WHERE x.action = 1 AND q.cell = x.source) o"""
+_BACK = """
+    SELECT a.unit, a.entry, a.ec, a.ev, a.ep, a.back, b.cell, b.val, b.prod FROM ({a}) a JOIN ({b}) b
+    ON a.unit = b.unit AND a."to" = b.entry AND a.cell = b.ec AND a.val = b.ev AND a.prod = b.ep
+    WHERE a."to" IS NOT NULL AND a.back IS NOT NULL AND b."to" IS NULL AND b.ends AND b.entry <> -1"""
+_NEW, _ALL = _MADE.format(path="ac"), _MADE.format(path="recurring.ac")
+#: Facts of activations: a call's facts at a procedure's entry meet those at its exits, new ones with all and all with new ones.
+ACTIVATIONS = f""",
+cl AS (SELECT unit, pos, pos + 2 + k % 7 AS "to", CASE WHEN pos < last THEN pos + 1 END AS back FROM x JOIN l USING (unit) WHERE event_type = 'error' AND k % 4 = 0 AND k % 10 <> 0 AND pos + 2 + k % 7 <= last),
+en AS (SELECT unit, pos FROM x WHERE event_type = 'view' AND k % 2 = 0),
+ac(unit, entry, ec, ev, ep, pos, cell, val, prod) USING KEY (unit, entry, ec, ev, ep, pos, cell, val, prod) AS (
+  SELECT unit, -1::BIGINT, -1::BIGINT, '', -1::BIGINT, 0::BIGINT, c, CASE WHEN c = -1 THEN '' ELSE '?' END, -1::BIGINT FROM l, (SELECT unnest([-1, 0, 1, 2, 3])::BIGINT AS c)
+  UNION
+  (SELECT n.unit, n.entry, n.ec, n.ev, n.ep, i.dst, n.cell, n.val, n.prod FROM ({_NEW}) n JOIN i ON i.unit = n.unit AND i.src = n.pos WHERE n."to" IS NULL AND (NOT n.ends OR n.entry = -1)
+   UNION SELECT unit, "to", cell, val, prod, "to", cell, val, prod FROM ({_NEW}) WHERE "to" IS NOT NULL
+   UNION {_BACK.format(a=_NEW, b=_ALL)}
+   UNION {_BACK.format(a=_ALL, b=_NEW)})),
+ar AS (SELECT DISTINCT unit, entry, pos FROM ac WHERE cell = -1)
+"""
 GRAPH = """
 WITH RECURSIVE g AS (
   SELECT DISTINCT 'o' || l_orderkey AS src, 'p' || l_partkey AS dst FROM lineitem
@@ -127,6 +188,21 @@ SQL = {
         FROM (SELECT *, pos // 8 AS run, row_number() OVER (PARTITION BY unit, pos // 8, cell ORDER BY pos DESC) AS n FROM x) WHERE n = 1""",
     "stack_contexts": BASE + STACKS + "SELECT unit, pos, stack FROM st",
     "recursive_activations": BASE + STACKS + "SELECT st.unit, st.pos, stack FROM st JOIN m ON m.unit = st.unit AND m.pos = st.pos WHERE mark = 'C' AND contains(stack || '/', '/' || st.pos || '/')",
+    "byte_definitions": BASE + BYTES + """, z AS (SELECT *, byte - row_number() OVER (PARTITION BY unit, pos, base, def ORDER BY byte) AS island FROM bd)
+        SELECT z.unit, z.pos, base, def AS def_pos, min(byte) AS "start", max(byte) + 1 AS "end", coalesce(any_value(how), 'must') AS strength
+        FROM z LEFT JOIN y ON y.unit = z.unit AND y.pos = z.def GROUP BY z.unit, z.pos, base, def, island""",
+    "bytes_surely_written": BASE + BYTES + "SELECT r.unit, r.pos, base, 32 - count(byte) AS n FROM r CROSS JOIN n LEFT JOIN (SELECT * FROM bd WHERE def = -1) USING (unit, pos, base) GROUP BY ALL HAVING count(byte) < 32",
+    "expression_values": BASE + SUPPORT + EXPRESSIONS + "SELECT unit, pos, val FROM ev",
+    "expression_assignments": BASE + SUPPORT + EXPRESSIONS + """SELECT unit, pos, count(*) FILTER (NOT unsure) AS n, bool_or(unsure) AS open, coalesce(string_agg(val, '|' ORDER BY val) FILTER (NOT unsure), '') AS vals
+        FROM (SELECT *, val = '?' OR contains(val, chr(65533)) AS unsure FROM ev) GROUP BY unit, pos""",
+    "activation_values": BASE + ACTIVATIONS + "SELECT DISTINCT unit, pos, cell, val, prod AS producer_pos FROM ac WHERE cell <> -1",
+    "activation_reach": BASE + ACTIVATIONS + "SELECT * FROM ar",
+    "exit_summaries": BASE + ACTIVATIONS + f"""SELECT DISTINCT unit, entry, ec AS entry_cell, ev AS entry_val, cell, val FROM ({_MADE.format(path="ac")}) WHERE ends AND "to" IS NULL AND entry <> -1""",
+    "unique_contexts": BASE + ACTIVATIONS + """,
+        st AS (SELECT ar.unit, ar.entry, ar.pos, cl."to" FROM ar JOIN cl ON cl.unit = ar.unit AND cl.pos = ar.pos),
+        one AS (SELECT unit, "to", min(entry) AS entry, min(pos) AS pos FROM st GROUP BY unit, "to" HAVING count(*) = 1),
+        u(unit, entry, callers) AS (SELECT DISTINCT unit, entry, '' FROM ar WHERE entry = -1 UNION ALL SELECT one.unit, one."to", u.callers || '/' || one.pos FROM u JOIN one ON one.unit = u.unit AND one.entry = u.entry)
+        SELECT ar.unit, ar.pos, CASE WHEN count(*) = 1 THEN max(callers) END AS callers FROM ar LEFT JOIN u ON u.unit = ar.unit AND u.entry = ar.entry GROUP BY ar.unit, ar.pos""",
     "segments": BASE + SEGMENTS + 'SELECT unit, base, "start", "end" FROM g WHERE "end" IS NOT NULL',
     "covered_segments": BASE + SEGMENTS + 'SELECT g.unit, g.base, "start", "end", count(*) AS n FROM g JOIN w ON g.unit = w.unit AND g.base = w.base AND "start" < f AND s < "end" GROUP BY ALL',
     "overlapping_writes": BASE + RANGES + """, spans AS (SELECT unit, base, s, f, count(*) AS n FROM w GROUP BY ALL)
