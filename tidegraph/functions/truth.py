@@ -38,6 +38,6 @@ def digits(candidates: Column, open_: Column) -> Column:
 
 
 def compare(a: Column, op: str, b: Column) -> Column:
-    """An exact comparison of decimals as a truth."""
+    """An exact comparison of decimals as a truth; it may be either with an operand that is not known."""
     ops = {"EQ": a == b, "NE": a != b, "LT": a < b, "LE": a <= b, "GT": a > b, "GE": a >= b}
-    return F.when(ops[op], F.lit(TRUE)).otherwise(F.lit(FALSE))
+    return F.when(ops[op], F.lit(TRUE)).when(~ops[op], F.lit(FALSE)).otherwise(F.lit(BOTH))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.operators import cfg
-from tidegraph.operators.fixpoint import GROUP, Transfer, fact, solve
+from tidegraph.operators.fixpoint import GROUP, Transfer, budgeted, fact, solve
 from tidegraph.sources.programs import COPY, LITERAL
 
 #: The cell of the fact that a block is reached, and the value of anything.
@@ -114,3 +114,14 @@ def candidates(values: DataFrame) -> DataFrame:
     """unit, pos, cell, n, open, vals (sorted, joined by |): each reached cell's closed candidates and whether there may be others."""
     known = F.collect_set(F.when(F.col("val") != UNKNOWN, F.col("val")))
     return values.groupBy("unit", "pos", "cell").agg(F.size(known).cast("long").alias("n"), F.bool_or(F.col("val") == UNKNOWN).alias("open"), F.array_join(F.array_sort(known), "|").alias("vals"))
+
+
+def budgeted_candidates(blocks: DataFrame, rounds: int) -> DataFrame:
+    """unit, pos, cell, n, open, limited, vals: candidates as far as so many steps find them; those of units with more to find are open."""
+    seeds = _entry(blocks, (REACHED, "", -1), *((c, UNKNOWN, -1) for c in range(CELLS)))
+    found = budgeted(blocks, _inside(cfg.edges(blocks)), seeds, PLAIN_VALUES, rounds).where(F.col("cell") != REACHED)
+    known = F.collect_set(F.when(F.col("val") != UNKNOWN, F.col("val")))
+    limited = F.bool_or("limited")
+    return found.groupBy("unit", "pos", "cell").agg(
+        F.size(known).cast("long").alias("n"), (F.bool_or(F.col("val") == UNKNOWN) | limited).alias("open"), limited.alias("limited"), F.array_join(F.array_sort(known), "|").alias("vals")
+    )

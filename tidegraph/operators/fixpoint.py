@@ -101,7 +101,8 @@ def _grouped(flow: DataFrame, transfer: Transfer) -> DataFrame:
     return by_unit(flow, solve)
 
 
-def _joined(flow: DataFrame, transfer: Transfer, most_rounds: int) -> DataFrame:
+def _rounds(flow: DataFrame, transfer: Transfer, most_rounds: int) -> tuple[DataFrame, DataFrame | None]:
+    """What is known after the rounds, and what the last of them found newly; None where nothing is left to find."""
     flow = checkpointed(flow)
     known = flow.select("unit", "pos", F.explode(F.arrays_zip("s_cell", "s_val", "s_prod")).alias("s")).select("unit", "pos", F.col("s.s_cell").alias("cell"), F.col("s.s_val").alias("val"), F.col("s.s_prod").alias("prod")).distinct()
     known = new = checkpointed(known)
@@ -111,25 +112,49 @@ def _joined(flow: DataFrame, transfer: Transfer, most_rounds: int) -> DataFrame:
         made = held.join(steps, ["unit", "pos"]).select("unit", F.col("dst").alias("pos"), F.inline(transfer.joined())).distinct()
         new = checkpointed(made.join(known, ["unit", "pos", "cell", "val", "prod"], "left_anti"))
         if new.isEmpty():
-            return known
+            return known, None
         known = checkpointed(known.unionByName(new))
-    raise RuntimeError(f"no fixpoint within {most_rounds} rounds")
+    return known, new
 
 
-def solve(blocks: DataFrame, edges: DataFrame, seeds: DataFrame, transfer: Transfer, group: int = GROUP, most_rounds: int = 100_000) -> DataFrame:
-    """unit, pos, cell, val, prod: all facts at blocks' entries.
+def _joined(flow: DataFrame, transfer: Transfer, most_rounds: int) -> DataFrame:
+    known, left = _rounds(flow, transfer, most_rounds)
+    if left is not None:
+        raise RuntimeError(f"no fixpoint within {most_rounds} rounds")
+    return known
 
-    edges: unit, src, dst between blocks. seeds: unit, pos, cell, val, prod.
+
+def budgeted(blocks: DataFrame, edges: DataFrame, seeds: DataFrame, transfer: Transfer, rounds: int) -> DataFrame:
+    """unit, pos, cell, val, prod, limited: the facts of at most so many steps; limited, in all rows of a unit, says that the unit's last step still found some.
+
+    Such a unit may have more facts, so nothing of it is closed.
     """
+    known, left = _rounds(_flow(blocks, edges, seeds), transfer, rounds)
+    if left is None:
+        return known.withColumn("limited", F.lit(False))
+    open_units = left.select("unit", F.lit(True).alias("limited")).distinct()
+    return known.join(open_units, "unit", "left").withColumn("limited", F.coalesce("limited", F.lit(False)))
+
+
+def _flow(blocks: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """A row for each block and successor, with the block's effect and seeds."""
     given = seeds.groupBy("unit", "pos").agg(F.collect_list(F.struct("cell", "val", "prod")).alias("s"))
     empty = lambda kind: F.array().cast(f"array<{kind}>")
-    flow = (
+    return (
         blocks.select("unit", "pos", "cell", "action", "source", "literal")
         .join(edges.select("unit", F.col("src").alias("pos"), "dst"), ["unit", "pos"], "left")
         .join(given, ["unit", "pos"], "left")
         .select("*", F.coalesce("s.cell", empty("bigint")).alias("s_cell"), F.coalesce("s.val", empty("string")).alias("s_val"), F.coalesce("s.prod", empty("bigint")).alias("s_prod"))
         .drop("s")
     )
+
+
+def solve(blocks: DataFrame, edges: DataFrame, seeds: DataFrame, transfer: Transfer, group: int = GROUP, most_rounds: int = 100_000) -> DataFrame:
+    """unit, pos, cell, val, prod: all facts at blocks' entries.
+
+    edges: unit, src, dst between blocks. seeds: unit, pos, cell, val, prod.
+    """
+    flow = _flow(blocks, edges, seeds)
     large = blocks.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group).select("unit")
     if large.isEmpty():
         return _grouped(flow, transfer)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidegraph.functions import codecs
 from tidegraph.functions import text as tx
 from tidegraph.functions import truth as tr
-from tidegraph.operators import cfg, contexts, dataflow, dependencies, evidence, expressions, fixpoint, regions, reports, storage, summaries
+from tidegraph.operators import cfg, contexts, dataflow, dependencies, evidence, expressions, fixpoint, outcomes, regions, reports, storage, summaries
 from tidegraph.plans import oracles
 from tidegraph.sources import documents as src
 from tidegraph.sources.programs import blocks, table
@@ -85,6 +85,13 @@ def cfg_count_mismatches(spark: SparkSession, d: str) -> DataFrame:
     return cfg.count_mismatches(cfg.edges(b), b)
 
 
+@named
+def cfg_count_mismatches_mutated(spark: SparkSession, d: str) -> DataFrame:
+    """The same check over edges of which those out of every 97th place are gone: it must find the places."""
+    b = blocks(spark, d)
+    return cfg.count_mismatches(cfg.edges(b).where("src % 97 <> 3"), b)
+
+
 @named
 def open_control_edges(spark: SparkSession, d: str) -> DataFrame:
     return cfg.open_edges(blocks(spark, d))
@@ -153,6 +160,12 @@ def value_candidates(spark: SparkSession, d: str) -> DataFrame:
     return dataflow.candidates(dataflow.possible_values(blocks(spark, d)))
 
 
+@named
+def budgeted_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates that eight steps find; larger units are limited, and open everywhere."""
+    return dataflow.budgeted_candidates(blocks(spark, d), 8)
+
+
 @named
 def closed_everywhere(spark: SparkSession, d: str) -> DataFrame:
     """unit, cell, n: cells closed at some reached block, minus those open at any (difference of fact sets)."""
@@ -201,6 +214,21 @@ def unique_contexts(spark: SparkSession, d: str) -> DataFrame:
     return summaries.unique_contexts(blocks(spark, d))
 
 
+@named
+def entry_graphs(spark: SparkSession, d: str) -> DataFrame:
+    return outcomes.graphs(blocks(spark, d))
+
+
+@named
+def entry_exit_counts(spark: SparkSession, d: str) -> DataFrame:
+    return outcomes.exit_counts(blocks(spark, d))
+
+
+@named
+def qualified_occurrences(spark: SparkSession, d: str) -> DataFrame:
+    return outcomes.qualified(blocks(spark, d))
+
+
 @named
 def byte_definitions(spark: SparkSession, d: str) -> DataFrame:
     return regions.byte_definitions(blocks(spark, d))
@@ -504,7 +532,9 @@ def candidate_equality(spark: SparkSession, d: str) -> DataFrame:
 
 @named
 def numeric_comparison(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").cast("decimal(18,2)").alias("p"))
+    """Prices against 150000; those of orders in process are not known."""
+    price = F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice").cast("decimal(18,2)"))
+    o = table(spark, d, "orders").select("o_orderkey", price.alias("p"))
     return o.select("o_orderkey", *(tr.compare(F.col("p"), op, F.lit("150000.00").cast("decimal(18,2)")).alias(op.lower()) for op in ("LT", "GE", "EQ", "NE")))
 
 
@@ -526,6 +556,14 @@ def invalid_evidence(spark: SparkSession, d: str) -> DataFrame:
     return src.rejected(table(spark, d, "events"))
 
 
+@named
+def invalid_evidence_mutated(spark: SparkSession, d: str) -> DataFrame:
+    """The same check over evidence that got another key, lost its end, or is gone: it must find it."""
+    n = F.col("event_id") % 50
+    changed = F.when(n == 1, F.lit('{"k": 1, "other": 2}')).when(n == 2, F.lit('{"k": 1')).when(n != 3, F.col("props"))
+    return src.rejected(table(spark, d, "events").withColumn("props", changed))
+
+
 @named
 def cfg_documents(spark: SparkSession, d: str) -> DataFrame:
     return src.cfg_documents(cfg.edges(blocks(spark, d)))

@@ -69,6 +69,30 @@ st(unit, pos, stack) AS (
   FROM st JOIN m ON m.unit = st.unit AND m.pos = st.pos JOIN i ON i.unit = st.unit AND i.src = st.pos
   WHERE NOT (m.mark = 'C' AND contains(st.stack || '/', '/' || m.pos || '/')))
 """
+#: Edges with abnormal outcomes, and the blocks that each entry reaches.
+OUTCOMES = """,
+hs AS (SELECT unit, pos AS handler, pos - 3 - k // 3 AS first, pos - 1 AS last FROM x WHERE event_type = 'purchase' AND k % 2 = 0),
+fs AS (SELECT x.unit, x.pos, arg_min(h.handler, (h.last - h.first, -h.handler)) AS handler FROM x LEFT JOIN hs h ON h.unit = x.unit AND x.pos BETWEEN h.first AND h.last
+       WHERE x.event_type = 'error' AND x.k % 2 = 1 GROUP BY x.unit, x.pos),
+oe AS (SELECT unit, src, dst, CASE WHEN kind = 'HALT' THEN 'CONTROL_EXIT' ELSE kind END AS kind FROM e
+       UNION ALL SELECT unit, pos, coalesce(handler, -3), CASE WHEN handler IS NULL THEN 'CONTROL_EXIT' ELSE 'EXCEPTION' END FROM fs),
+re(unit, entry, pos) AS (SELECT unit, pos, pos FROM x WHERE pos = 0 OR event_type = 'signup' AND k % 5 = 0
+       UNION SELECT re.unit, re.entry, oe.dst FROM re JOIN oe ON oe.unit = re.unit AND oe.src = re.pos AND oe.dst >= 0),
+eg AS (SELECT DISTINCT re.unit, re.entry, src, CASE WHEN dst >= 0 THEN dst END AS dst, CASE dst WHEN -1 THEN 'NORMAL' WHEN -2 THEN 'HALT' WHEN -3 THEN 'PROPAGATE' END AS "exit", kind
+       FROM re JOIN oe ON oe.unit = re.unit AND oe.src = re.pos)
+"""
+#: Blocks under unknown control, and occurrences with their status.
+QUALIFIED = SUPPORT + """,
+oc AS (SELECT p.unit, p.pos AS src, q.pos AS dst FROM x p JOIN x q ON p.unit = q.unit WHERE p.event_type = 'purchase' AND p.k % 25 = 0 AND q.event_type = 'signup' AND q.k % 10 = 0),
+un(unit, pos) AS (SELECT DISTINCT oc.unit, oc.dst FROM oc JOIN r ON r.unit = oc.unit AND r.pos = oc.src
+       UNION SELECT un.unit, a.dst FROM un JOIN (SELECT unit, src, dst FROM i UNION SELECT unit, src, dst FROM oc) a ON a.unit = un.unit AND a.src = un.pos),
+qs AS (SELECT x.unit, x.pos, CASE WHEN l.last < 1 THEN 'CONTROL_UNAVAILABLE' WHEN un.pos IS NOT NULL THEN 'POSSIBLE_UNDER_UNKNOWN_CONTROL' WHEN r.pos IS NOT NULL THEN 'QUALIFIED_POSSIBLE' ELSE 'NOT_QUALIFIED' END AS status
+       FROM x JOIN l USING (unit) LEFT JOIN r ON r.unit = x.unit AND r.pos = x.pos LEFT JOIN un ON un.unit = x.unit AND un.pos = x.pos WHERE event_type = 'purchase'),
+qo AS (SELECT vs.unit, vs.pos, vs.val, coalesce(p.action = 0, false) AND un.pos IS NULL AS closed FROM vs LEFT JOIN x p ON p.unit = vs.unit AND p.pos = vs.prod LEFT JOIN un ON un.unit = vs.unit AND un.pos = vs.prod WHERE vs.cell = 0),
+qq AS (SELECT qs.unit, qs.pos, status, coalesce(string_agg(DISTINCT val, '|' ORDER BY val) FILTER (val <> '?' AND status IN ('QUALIFIED_POSSIBLE', 'POSSIBLE_UNDER_UNKNOWN_CONTROL')), '') AS names,
+              count(DISTINCT val) FILTER (val <> '?' AND status IN ('QUALIFIED_POSSIBLE', 'POSSIBLE_UNDER_UNKNOWN_CONTROL')) AS n, status <> 'QUALIFIED_POSSIBLE' OR NOT coalesce(bool_and(closed), false) AS remainder
+       FROM qs LEFT JOIN qo ON qo.unit = qs.unit AND qo.pos = qs.pos GROUP BY qs.unit, qs.pos, status)
+"""
 #: Each shape of expression written out, over snapshots of the two cells that it may read: s, of the source, and c, of the block's own.
 EXPRESSIONS = """,
 g AS (SELECT x.unit, x.pos, x.k % 7 AS shape, x.k, x.literal, x.source, x.cell FROM x),
@@ -97,14 +121,14 @@ ev AS (SELECT DISTINCT unit, pos, coalesce(val, '?') AS val FROM er)
 """
 #: Definitions byte by byte: must-writes kill the bytes that they write, may-writes nothing, anywhere-writes are of all bytes.
 BYTES = """,
-y AS (SELECT *, k % 16 AS s, k % 16 + length(event_type) AS f, CASE WHEN action <> 2 THEN 'must' WHEN k > 90 THEN 'anywhere' ELSE 'may' END AS how FROM x),
+y AS (SELECT unit, pos, cell, k % 16 AS s, k % 16 + length(event_type) AS f, CASE WHEN action <> 2 THEN 0 WHEN k > 90 THEN 2 ELSE 1 END AS how FROM x),
 n AS (SELECT unnest(range(0, 4))::BIGINT AS base), u AS (SELECT base, unnest(range(0, 32))::BIGINT AS byte FROM n),
 bd(unit, pos, base, byte, def) AS (
-  SELECT unit, 0::BIGINT, base, byte, -1::BIGINT FROM l, u
+  (SELECT unit, 0::BIGINT, base, byte, -1::BIGINT FROM l, u
+   UNION SELECT i.unit, i.dst, u.base, u.byte, y.pos FROM r JOIN y ON y.unit = r.unit AND y.pos = r.pos JOIN i ON i.unit = r.unit AND i.src = r.pos
+         JOIN u ON how = 2 OR u.base = y.cell AND u.byte >= s AND u.byte < f)
   UNION SELECT i.unit, i.dst, bd.base, bd.byte, bd.def FROM bd JOIN y ON y.unit = bd.unit AND y.pos = bd.pos JOIN i ON i.unit = bd.unit AND i.src = bd.pos
-        WHERE NOT (how = 'must' AND y.cell = bd.base AND bd.byte >= s AND bd.byte < f)
-  UNION SELECT i.unit, i.dst, u.base, u.byte, y.pos FROM r JOIN y ON y.unit = r.unit AND y.pos = r.pos JOIN i ON i.unit = r.unit AND i.src = r.pos
-        JOIN u ON how = 'anywhere' OR u.base = y.cell AND u.byte >= s AND u.byte < f)
+        WHERE NOT (how = 0 AND y.cell = bd.base AND bd.byte >= s AND bd.byte < f))
 """
 _MADE = """
       SELECT q.unit, q.entry, q.ec, q.ev, q.ep, q.pos, o.cell, o.val, o.prod, cl."to", cl.back, en.pos IS NOT NULL AS ends
@@ -161,6 +185,8 @@ SQL = {
     "cfg_duplicate_edges": BASE + "SELECT unit, src, dst, 'ANY' AS kind, count(*) AS n FROM e GROUP BY unit, src, dst HAVING count(*) > 1",
     "cfg_count_mismatches": BASE + """SELECT b.unit, b.pos AS src, CASE WHEN event_type = 'click' THEN 2 ELSE 1 END::BIGINT AS asked, coalesce(n, 0) AS got
         FROM b LEFT JOIN (SELECT unit, src, count(*) AS n FROM e GROUP BY unit, src) q ON q.unit = b.unit AND q.src = b.pos WHERE coalesce(n, 0) <> CASE WHEN event_type = 'click' THEN 2 ELSE 1 END""",
+    "cfg_count_mismatches_mutated": BASE + """SELECT b.unit, b.pos AS src, CASE WHEN event_type = 'click' THEN 2 ELSE 1 END::BIGINT AS asked, coalesce(n, 0) AS got
+        FROM b LEFT JOIN (SELECT unit, src, count(*) AS n FROM e WHERE src % 97 <> 3 GROUP BY unit, src) q ON q.unit = b.unit AND q.src = b.pos WHERE coalesce(n, 0) <> CASE WHEN event_type = 'click' THEN 2 ELSE 1 END""",
     "open_control_edges": BASE + "SELECT p.unit, p.pos AS src, q.pos AS dst FROM x p JOIN x q ON p.unit = q.unit WHERE p.event_type = 'purchase' AND p.k % 25 = 0 AND q.event_type = 'signup' AND q.k % 10 = 0",
     "projection_issues": BASE + ISSUES + "SELECT * FROM ii",
     "build_status": BASE + ISSUES + """SELECT l.unit, CASE WHEN n IS NULL THEN 'COMPLETE' ELSE 'PARTIAL' END AS inventory,
@@ -181,6 +207,20 @@ SQL = {
     "possible_values": BASE + SUPPORT + "SELECT * FROM v",
     "value_support": BASE + SUPPORT + "SELECT unit, pos, cell, val, prod AS producer_pos FROM vs WHERE cell <> -1",
     "value_candidates": BASE + CANDIDATES + "SELECT * FROM c",
+    "budgeted_candidates": BASE + """,
+        bv(unit, pos, cell, val, depth) AS (
+          SELECT unit, 0::BIGINT, c, CASE WHEN c = -1 THEN '' ELSE '?' END, 0 FROM l, (SELECT unnest([-1, 0, 1, 2, 3])::BIGINT AS c)
+          UNION
+          SELECT i.unit, i.dst, o.cell, o.val, depth + 1
+          FROM bv JOIN x ON x.unit = bv.unit AND x.pos = bv.pos JOIN i ON i.unit = bv.unit AND i.src = bv.pos,
+               LATERAL (SELECT bv.cell AS cell, bv.val AS val WHERE bv.cell = -1 OR bv.cell <> x.cell
+                        UNION ALL SELECT x.cell, CASE WHEN x.action = 0 THEN x.literal ELSE '?' END WHERE bv.cell = -1 AND x.action <> 1
+                        UNION ALL SELECT x.cell, bv.val WHERE x.action = 1 AND bv.cell = x.source) o
+          WHERE depth < 8),
+        bf AS (SELECT unit, pos, cell, val, min(depth) AS depth FROM bv GROUP BY ALL),
+        bl AS (SELECT unit, max(depth) = 8 AS limited FROM bf GROUP BY unit)
+        SELECT unit, pos, cell, count(*) FILTER (val <> '?') AS n, bool_or(val = '?') OR any_value(limited) AS open, any_value(limited) AS limited, coalesce(string_agg(val, '|' ORDER BY val) FILTER (val <> '?'), '') AS vals
+        FROM bf JOIN bl USING (unit) WHERE cell <> -1 GROUP BY unit, pos, cell""",
     "closed_everywhere": BASE + CANDIDATES + "SELECT unit, cell, count(*) AS n FROM c WHERE NOT open AND (unit, cell) NOT IN (SELECT (unit, cell) FROM c WHERE open AND pos > 0) GROUP BY unit, cell",
     "replay_points": BASE + """SELECT unit, pos, cell, val FROM (SELECT unit, pos, cell, last_value(CASE WHEN action = 0 THEN literal END IGNORE NULLS)
         OVER (PARTITION BY unit, pos // 8, cell ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS val FROM x) WHERE val IS NOT NULL""",
@@ -188,8 +228,12 @@ SQL = {
         FROM (SELECT *, pos // 8 AS run, row_number() OVER (PARTITION BY unit, pos // 8, cell ORDER BY pos DESC) AS n FROM x) WHERE n = 1""",
     "stack_contexts": BASE + STACKS + "SELECT unit, pos, stack FROM st",
     "recursive_activations": BASE + STACKS + "SELECT st.unit, st.pos, stack FROM st JOIN m ON m.unit = st.unit AND m.pos = st.pos WHERE mark = 'C' AND contains(stack || '/', '/' || st.pos || '/')",
+    "entry_graphs": BASE + OUTCOMES + "SELECT * FROM eg",
+    "entry_exit_counts": BASE + OUTCOMES + """SELECT unit, entry, count(DISTINCT src) FILTER ("exit" = 'NORMAL') AS normal, count(DISTINCT src) FILTER ("exit" = 'HALT') AS halt,
+        count(DISTINCT src) FILTER ("exit" = 'PROPAGATE') AS propagate FROM eg GROUP BY unit, entry""",
+    "qualified_occurrences": BASE + QUALIFIED + "SELECT * FROM qq",
     "byte_definitions": BASE + BYTES + """, z AS (SELECT *, byte - row_number() OVER (PARTITION BY unit, pos, base, def ORDER BY byte) AS island FROM bd)
-        SELECT z.unit, z.pos, base, def AS def_pos, min(byte) AS "start", max(byte) + 1 AS "end", coalesce(any_value(how), 'must') AS strength
+        SELECT z.unit, z.pos, base, def AS def_pos, min(byte) AS "start", max(byte) + 1 AS "end", ['must', 'may', 'anywhere'][(coalesce(any_value(how), 0) + 1)::INT] AS strength
         FROM z LEFT JOIN y ON y.unit = z.unit AND y.pos = z.def GROUP BY z.unit, z.pos, base, def, island""",
     "bytes_surely_written": BASE + BYTES + "SELECT r.unit, r.pos, base, 32 - count(byte) AS n FROM r CROSS JOIN n LEFT JOIN (SELECT * FROM bd WHERE def = -1) USING (unit, pos, base) GROUP BY ALL HAVING count(byte) < 32",
     "expression_values": BASE + SUPPORT + EXPRESSIONS + "SELECT unit, pos, val FROM ev",
@@ -263,10 +307,12 @@ SQL = {
     "padded_equality": "SELECT n_nationkey, n_nationkey % 3 <> 2 AS result FROM nation",
     "candidate_equality": BASE + CANDIDATES + """SELECT p.unit, p.pos, CASE WHEN p.open OR q.open THEN 3 WHEN NOT list_has_any(string_split(p.vals, '|'), string_split(q.vals, '|')) THEN 1 WHEN p.n = 1 AND q.n = 1 THEN 2 ELSE 3 END AS result
         FROM c p JOIN c q ON p.unit = q.unit AND p.pos = q.pos AND p.cell = 0 AND q.cell = 1""",
-    "numeric_comparison": """SELECT o_orderkey, CASE WHEN p < 150000 THEN 2 ELSE 1 END AS lt, CASE WHEN p >= 150000 THEN 2 ELSE 1 END AS ge, CASE WHEN p = 150000 THEN 2 ELSE 1 END AS eq, CASE WHEN p <> 150000 THEN 2 ELSE 1 END AS ne
-        FROM (SELECT o_orderkey, o_totalprice::DECIMAL(18, 2) AS p FROM orders)""",
+    "numeric_comparison": """SELECT o_orderkey, CASE WHEN p IS NULL THEN 3 WHEN p < 150000 THEN 2 ELSE 1 END AS lt, CASE WHEN p IS NULL THEN 3 WHEN p >= 150000 THEN 2 ELSE 1 END AS ge,
+        CASE WHEN p IS NULL THEN 3 WHEN p = 150000 THEN 2 ELSE 1 END AS eq, CASE WHEN p IS NULL THEN 3 WHEN p <> 150000 THEN 2 ELSE 1 END AS ne
+        FROM (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice::DECIMAL(18, 2) END AS p FROM orders)""",
     "artifact_receipts": "SELECT page_id, strlen(html) AS n_bytes, sha256(html) AS sha256, CASE WHEN strlen(html) <= 1048576 THEN 'DELIVERED' ELSE 'RESOURCE_LIMIT' END AS status FROM pages",
     "evidence_rows": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE json_keys(props) = ['k']",
+    "invalid_evidence_mutated": "SELECT event_id FROM events WHERE event_id % 50 IN (1, 2, 3) OR props IS NULL OR json_keys(props) <> ['k']",
     "invalid_evidence": "SELECT event_id FROM events WHERE props IS NULL OR json_keys(props) <> ['k']",
     "cfg_documents": BASE + """SELECT unit, '{"unit":' || unit || ',"transitions":[' || string_agg('{"src":' || src || ',"dst":' || dst || ',"kind":"' || kind || '"}', ',' ORDER BY src, dst, kind) || ']}' AS document,
         max(CASE kind WHEN 'HALT' THEN 3 WHEN 'INVOKE_NORMAL' THEN 2 ELSE 1 END)::BIGINT AS version FROM e GROUP BY unit""",
