@@ -28,7 +28,7 @@ and extra columns of any name pass through `deduplicate`.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -49,8 +49,8 @@ _BLOCK = 32768
 SHARES = 1000
 
 
-def fingerprints_of(texts: list[bytes], width: int = 4, seed: int = 42) -> np.ndarray:
-    """SimHash of each text's word shingles, of XXH64 hashes, as unsigned numbers."""
+def shingle_hashes(texts: list[bytes], width: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of each text's word shingles (of fewer words: the whole text), and the number of the text that each is of."""
     from xxhash import xxh64_intdigest
 
     raw = b"".join([b" ".join(t.lower().split()) + b"\n" for t in texts])
@@ -66,12 +66,18 @@ def fingerprints_of(texts: list[bytes], width: int = 4, seed: int = 42) -> np.nd
     owner = np.repeat(np.arange(len(texts)), shingles)
     word = first[owner] + np.arange(begin[-1]) - begin[owner]
     to = np.minimum(word + width - 1, last[owner])
-    hashes = np.fromiter((xxh64_intdigest(raw[a:b], seed) for a, b in zip(starts[word].tolist(), stops[to].tolist(), strict=True)), np.uint64, len(word))
+    return np.fromiter((xxh64_intdigest(raw[a:b], seed) for a, b in zip(starts[word].tolist(), stops[to].tolist(), strict=True)), np.uint64, len(word)), owner
+
+
+def counted_bits(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """A number for each of n texts: its bits are set in over half of the text's hashes. owner is in order."""
     if not len(hashes):
-        return np.zeros(len(texts), np.uint64)
-    cuts = np.unique(np.concatenate([begin[:-1][shingles > 0], np.arange(0, len(hashes), _BLOCK)]))
+        return np.zeros(n, np.uint64)
+    shingles = np.bincount(owner, minlength=n)
+    starts = np.append(0, np.cumsum(shingles))[:-1][shingles > 0]
+    cuts = np.unique(np.concatenate([starts, np.arange(0, len(hashes), _BLOCK)]))
     of = owner[cuts]
-    set_bits = np.zeros((len(texts), 64), np.int64)
+    set_bits = np.zeros((n, 64), np.int64)
     columns = hashes.view(np.uint8).reshape(-1, 8)
     for byte in range(8):
         for half, counters in enumerate((_LOW, _HIGH)):
@@ -82,6 +88,11 @@ def fingerprints_of(texts: list[bytes], width: int = 4, seed: int = 42) -> np.nd
     return np.packbits(ones, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
+def fingerprints_of(texts: list[bytes], width: int = 4, seed: int = 42) -> np.ndarray:
+    """SimHash of each text's word shingles, of XXH64 hashes, as unsigned numbers."""
+    return counted_bits(*shingle_hashes(texts, width, seed), len(texts))
+
+
 def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
     """doc_id, fp (64 bits as a signed number) for each row of docs (doc_id, text)."""
 
@@ -203,11 +214,10 @@ def links(fps: DataFrame, distance: int = 4) -> DataFrame:
     return dealt.mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4, seed: int = 42) -> DataFrame:
-    """doc_id, fp, component_id (smallest doc_id reachable) for each row of docs (doc_id, text)."""
-    printed = checkpointed(fingerprints(docs, width, seed))
+def members(printed: DataFrame, linked_by: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """doc_id, fp, component_id (smallest doc_id reachable) of written rows (doc_id, fp); linked_by gives links (u, v) of distinct fingerprints (fp), of which there are so many."""
     distinct = checkpointed(printed.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
-    roots = components(links(distinct.select("fp"), distance))
+    roots = components(linked_by(distinct.select("fp"), distinct.count()))
     linked = roots.union(roots.select("root", "root").distinct()).toDF("fp", "root")
     least = linked.join(distinct, "fp").groupBy("root").agg(F.min("first").alias("least"))
     of = checkpointed(distinct.join(linked.join(least, "root").select("fp", "least"), "fp", "left").select("fp", "n", F.coalesce("least", "first").alias("component_id")))
@@ -219,6 +229,11 @@ def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4, seed: in
     return every.select("doc_id", "fp", "component_id")
 
 
+def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4, seed: int = 42) -> DataFrame:
+    """doc_id, fp, component_id (smallest doc_id reachable) for each row of docs (doc_id, text)."""
+    return members(checkpointed(fingerprints(docs, width, seed)), lambda distinct, _: links(distinct, distance))
+
+
 def deduplicate(docs: DataFrame, distance: int = 4, width: int = 4, seed: int = 42) -> DataFrame:
     """docs with one document of each group of near duplicates: the one with the smallest id.
 
