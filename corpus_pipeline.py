@@ -14,12 +14,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm import decontamination, mixing, quality_rules, secrets, simhash
+from tidegraph.llm import decontamination, mixing, quality_rules, secrets, wide_simhash
 from tidegraph.llm.common import table
 
 
-#: Words of a shingle and bits of a fingerprint in the near-duplicate stage.
-WIDTH, DISTANCE = 5, 6
+#: Words of a shingle and Jaccard similarity of their sets in the near-duplicate stage.
+WIDTH, SIMILARITY = 5, 0.8
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles), the document with the smallest id stays."""
-    return simhash.deduplicate(docs, DISTANCE, WIDTH)
+    return wide_simhash.deduplicate(docs, SIMILARITY, WIDTH)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +48,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def _counted(docs: DataFrame) -> DataFrame:
-    """docs with n_chars as its text now has."""
+    """docs with n_chars, if they have it, as their text now has."""
+    if "n_chars" not in docs.columns:
+        return docs
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
@@ -60,7 +62,8 @@ STAGES = [
     ("mixing", mixing_stage),
 ]
 
-#: SQL can express neither the fingerprints nor the estimates; tests hold each stage's rows against plain code.
+#: SQL can express neither the fingerprints nor the estimates. Tests hold the rows of the near-duplicate and decontamination stages
+#: against all pairs and all windows, and those of the others against the verdicts, findings and copies of their operators.
 ORACLE_SQL = None
 
 
