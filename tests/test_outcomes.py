@@ -93,3 +93,27 @@ def test_comparisons_with_what_is_not_known(spark):
 
     got = spark.createDataFrame([(1, 2), (2, 2), (None, 2), (1, None)], "a long, b long").select(*(truth.compare(F.col("a"), op, F.col("b")) for op in ("LT", "EQ", "NE", "GE"))).collect()
     assert [tuple(r) for r in got] == [(2, 1, 2, 1), (1, 2, 1, 2), (3, 3, 3, 3), (3, 3, 3, 3)]
+
+
+def test_derived_values_need_all_premises(spark):
+    """Against rounds over everything, with rules that feed back, cycles without ground and values that predicates stop."""
+    import random
+
+    from tidegraph.operators.derivations import derived_values
+
+    for seed in (1, 2, 3):
+        rng = random.Random(seed)
+        nodes = [f"n{i}" for i in range(25)]
+        rules = [(f"r{i}", rng.choice(nodes), rng.choice(nodes), *rng.choice([("ANY", ""), ("NOT", "a"), ("PREFIX", "b")])) for i in range(60)]
+        premises = [(r[0], p) for r in rules for p in rng.sample(nodes, rng.choice([0, 0, 1, 2]))]
+        seeds = [(n, v) for n in rng.sample(nodes, 5) for v in rng.sample(["a", "ab", "b", "ba", "c"], 2)]
+        held = set(seeds)
+        while True:
+            there = {n for n, _ in held}
+            lets = {"ANY": lambda v, x: True, "NOT": lambda v, x: v != x, "PREFIX": str.startswith}
+            more = {(h, v) for r, h, c, kind, arg in rules if all(p in there for q, p in premises if q == r) for n, v in held if n == c and lets[kind](v, arg)}
+            if more <= held:
+                break
+            held |= more
+        frames = (spark.createDataFrame(x or [("", "")], t) for x, t in ((rules, "rule string, head string, carrier string, kind string, arg string"), (premises, "rule string, premise string"), (seeds, "node string, val string")))
+        assert {tuple(r) for r in derived_values(*frames).collect()} == held

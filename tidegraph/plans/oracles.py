@@ -121,12 +121,12 @@ ev AS (SELECT DISTINCT unit, pos, coalesce(val, '?') AS val FROM er)
 """
 #: Definitions byte by byte: must-writes kill the bytes that they write, may-writes nothing, anywhere-writes are of all bytes.
 BYTES = """,
-y AS (SELECT unit, pos, cell, k % 16 AS s, k % 16 + length(event_type) AS f, CASE WHEN action <> 2 THEN 0 WHEN k > 90 THEN 2 ELSE 1 END AS how FROM x),
-n AS (SELECT unnest(range(0, 4))::BIGINT AS base), u AS (SELECT base, unnest(range(0, 32))::BIGINT AS byte FROM n),
+y AS MATERIALIZED (SELECT unit, pos, cell, k % 16 AS s, k % 16 + length(event_type) AS f, CASE WHEN action <> 2 THEN 0 WHEN k > 90 THEN 2 ELSE 1 END AS how FROM x),
+n AS MATERIALIZED (SELECT unnest(range(0, 4))::BIGINT AS base), u AS MATERIALIZED (SELECT base, unnest(range(0, 32))::BIGINT AS byte FROM n),
+wr AS MATERIALIZED (SELECT y.unit, y.pos, u.base, u.byte FROM y JOIN u ON u.base = y.cell AND u.byte >= s AND u.byte < f WHERE how <> 2 UNION ALL SELECT y.unit, y.pos, u.base, u.byte FROM y, u WHERE how = 2),
+di AS MATERIALIZED (SELECT i.unit, i.dst, wr.base, wr.byte, wr.pos FROM r JOIN wr ON wr.unit = r.unit AND wr.pos = r.pos JOIN i ON i.unit = r.unit AND i.src = r.pos),
 bd(unit, pos, base, byte, def) AS (
-  (SELECT unit, 0::BIGINT, base, byte, -1::BIGINT FROM l, u
-   UNION SELECT i.unit, i.dst, u.base, u.byte, y.pos FROM r JOIN y ON y.unit = r.unit AND y.pos = r.pos JOIN i ON i.unit = r.unit AND i.src = r.pos
-         JOIN u ON how = 2 OR u.base = y.cell AND u.byte >= s AND u.byte < f)
+  (SELECT unit, 0::BIGINT, base, byte, -1::BIGINT FROM l, u UNION SELECT * FROM di)
   UNION SELECT i.unit, i.dst, bd.base, bd.byte, bd.def FROM bd JOIN y ON y.unit = bd.unit AND y.pos = bd.pos JOIN i ON i.unit = bd.unit AND i.src = bd.pos
         WHERE NOT (how = 0 AND y.cell = bd.base AND bd.byte >= s AND bd.byte < f))
 """
@@ -221,6 +221,18 @@ SQL = {
         bl AS (SELECT unit, max(depth) = 8 AS limited FROM bf GROUP BY unit)
         SELECT unit, pos, cell, count(*) FILTER (val <> '?') AS n, bool_or(val = '?') OR any_value(limited) AS open, any_value(limited) AS limited, coalesce(string_agg(val, '|' ORDER BY val) FILTER (val <> '?'), '') AS vals
         FROM bf JOIN bl USING (unit) WHERE cell <> -1 GROUP BY unit, pos, cell""",
+    "derived_nations": """WITH RECURSIVE i AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p, l_suppkey AS s FROM lineitem), op AS MATERIALIZED (SELECT DISTINCT o, p FROM i),
+        ps AS MATERIALIZED (SELECT DISTINCT p, s FROM i), os AS MATERIALIZED (SELECT DISTINCT o, s FROM i JOIN orders ON o_orderkey = o WHERE o_orderpriority = '1-URGENT'),
+        w AS MATERIALIZED (SELECT o, count(*) AS n FROM op GROUP BY o),
+        d(kind, id, val) USING KEY (kind, id, val) AS (
+          SELECT 's', s_suppkey::BIGINT, s_nationkey::VARCHAR FROM supplier WHERE s_acctbal > 0
+          UNION
+          (SELECT 'p', ps.p::BIGINT, d.val FROM d JOIN ps ON d.kind = 's' AND d.id = ps.s WHERE d.val <> (ps.p % 100)::VARCHAR
+           UNION SELECT 's', os.s::BIGINT, d.val FROM d JOIN os ON d.kind = 'o' AND d.id = os.o WHERE d.val LIKE '1%'
+           UNION SELECT 'o', op.o::BIGINT, a.val FROM op JOIN recurring.d a ON a.kind = 'p' AND a.id = op.p
+                 JOIN (SELECT op.o FROM op JOIN (SELECT DISTINCT id FROM recurring.d WHERE kind = 'p') b ON b.id = op.p JOIN w ON w.o = op.o GROUP BY op.o, w.n HAVING count(*) = w.n) f ON f.o = op.o
+                 WHERE EXISTS (SELECT 1 FROM d)))
+        SELECT kind || id AS node, val FROM d""",
     "closed_everywhere": BASE + CANDIDATES + "SELECT unit, cell, count(*) AS n FROM c WHERE NOT open AND (unit, cell) NOT IN (SELECT (unit, cell) FROM c WHERE open AND pos > 0) GROUP BY unit, cell",
     "replay_points": BASE + """SELECT unit, pos, cell, val FROM (SELECT unit, pos, cell, last_value(CASE WHEN action = 0 THEN literal END IGNORE NULLS)
         OVER (PARTITION BY unit, pos // 8, cell ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS val FROM x) WHERE val IS NOT NULL""",
@@ -232,9 +244,10 @@ SQL = {
     "entry_exit_counts": BASE + OUTCOMES + """SELECT unit, entry, count(DISTINCT src) FILTER ("exit" = 'NORMAL') AS normal, count(DISTINCT src) FILTER ("exit" = 'HALT') AS halt,
         count(DISTINCT src) FILTER ("exit" = 'PROPAGATE') AS propagate FROM eg GROUP BY unit, entry""",
     "qualified_occurrences": BASE + QUALIFIED + "SELECT * FROM qq",
-    "byte_definitions": BASE + BYTES + """, z AS (SELECT *, byte - row_number() OVER (PARTITION BY unit, pos, base, def ORDER BY byte) AS island FROM bd)
-        SELECT z.unit, z.pos, base, def AS def_pos, min(byte) AS "start", max(byte) + 1 AS "end", ['must', 'may', 'anywhere'][(coalesce(any_value(how), 0) + 1)::INT] AS strength
-        FROM z LEFT JOIN y ON y.unit = z.unit AND y.pos = z.def GROUP BY z.unit, z.pos, base, def, island""",
+    "byte_definitions": BASE + BYTES + """, z AS (SELECT *, byte - row_number() OVER (PARTITION BY unit, pos, base, def ORDER BY byte) AS island FROM bd),
+        zr AS MATERIALIZED (SELECT unit, pos, base, def, min(byte) AS first, max(byte) + 1 AS past FROM z GROUP BY unit, pos, base, def, island)
+        SELECT zr.unit, zr.pos, zr.base, def AS def_pos, first AS "start", past AS "end", CASE WHEN def < 0 OR how = 0 THEN 'must' WHEN how = 1 THEN 'may' ELSE 'anywhere' END AS strength
+        FROM zr LEFT JOIN y ON y.unit = zr.unit AND y.pos = zr.def""",
     "bytes_surely_written": BASE + BYTES + "SELECT r.unit, r.pos, base, 32 - count(byte) AS n FROM r CROSS JOIN n LEFT JOIN (SELECT * FROM bd WHERE def = -1) USING (unit, pos, base) GROUP BY ALL HAVING count(byte) < 32",
     "expression_values": BASE + SUPPORT + EXPRESSIONS + "SELECT unit, pos, val FROM ev",
     "expression_assignments": BASE + SUPPORT + EXPRESSIONS + """SELECT unit, pos, count(*) FILTER (NOT unsure) AS n, bool_or(unsure) AS open, coalesce(string_agg(val, '|' ORDER BY val) FILTER (NOT unsure), '') AS vals
