@@ -14,7 +14,9 @@ at the price of n ** 0.24 keys each. Where fingerprints meet, pigeonring chains
 from the segment that agrees on, running differences must stay within their share
 of the distance and `slack` bits more (the segment is given, not the best start); what
 is left is checked in full. As in `simhash`, only distinct fingerprints meet, and
-within a key a search gives a spanning forest instead of pairs.
+within a key a search gives a spanning forest instead of pairs. Most keys have one
+fingerprint alone: keys travel with hashes of fingerprints first, and the
+fingerprints themselves only to the keys that two or more have.
 
 Defined results are those of `simhash`: wordless texts have fingerprint zero, a
 text of fewer than `width` words is one shingle, and so on.
@@ -28,7 +30,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegraph.llm.batches import mixed, pieces
@@ -39,6 +41,8 @@ from tidegraph.llm.simhash import counted_bits, members, shingle_hashes
 WORDS = 4
 _SALTS = mixed(np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 BITS = 64 * WORDS
+#: A key is a segment's value, below this bit, and the segment's number.
+KEY_AT = 48
 
 
 class Plan(NamedTuple):
@@ -92,6 +96,14 @@ def fingerprints(docs: DataFrame, width: int = 5, seed: int = 42) -> DataFrame:
     return parallel(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, fp binary")
 
 
+def hashed(fps: np.ndarray) -> np.ndarray:
+    """A 64-bit number of each fingerprint; those that collide only meet a key too many."""
+    out = np.zeros(len(fps), np.uint64)
+    for w in range(WORDS):
+        out = mixed(out ^ fps[:, w])
+    return out.view(np.int64)
+
+
 def _bits(fps: np.ndarray) -> np.ndarray:
     """A row of BITS zeros and ones for each fingerprint of WORDS numbers."""
     return np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
@@ -153,27 +165,32 @@ def links(fps: DataFrame, of: Plan) -> DataFrame:
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
-                some = batch.column(0).slice(at, 4096)
-                values = parts(read(some), of)
-                k = np.tile(np.arange(len(keys), dtype=np.int32), len(values))
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(values.ravel()), some.take(pa.array(np.repeat(np.arange(len(values)), len(keys))))], ["k", "part", "fp"])
+                some = read(batch.column(0).slice(at, 4096))
+                values = parts(some, of) | (np.arange(len(keys), dtype=np.int64) << KEY_AT)
+                yield pa.RecordBatch.from_arrays([pa.array(values.ravel()), pa.array(np.repeat(hashed(some), len(keys)))], ["key", "id"])
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(hashed(read(batch.column(0)))), batch.column(0)], ["id", "fp"])
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         known: dict[int, np.ndarray] = {}
 
         def found() -> Iterator[pa.RecordBatch]:
-            k, part, fp = (np.concatenate(x) for x in zip(*held, strict=True))
+            key, fp = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            edge = np.flatnonzero((k[1:] != k[:-1]) | (part[1:] != part[:-1])) + 1
-            begin, size = np.append(0, edge), np.diff(np.concatenate([[0], edge, [len(k)]]))
+            edge = np.flatnonzero(key[1:] != key[:-1]) + 1
+            begin, size = np.append(0, edge), np.diff(np.concatenate([[0], edge, [len(key)]]))
+            k = key >> KEY_AT
             out = [(fp[:0], fp[:0])]
-            for key in np.unique(k[begin[size > 1]]).tolist():
-                masks = known[key] if key in known else known.setdefault(key, chain_masks(of, key))
-                two = begin[(size == 2) & (k[begin] == key)]
+            for which in np.unique(k[begin[size > 1]]).tolist():
+                masks = known[which] if which in known else known.setdefault(which, chain_masks(of, which))
+                two = begin[(size == 2) & (k[begin] == which)]
                 close = near(fp[two] ^ fp[two + 1], masks, of)
                 out.append((fp[two][close], fp[two + 1][close]))
-                more = (size > 2) & (k[begin] == key)
+                more = (size > 2) & (k[begin] == which)
                 for b, n in zip(begin[more].tolist(), size[more].tolist(), strict=True):
                     out += forest(fp[b : b + n], masks, of)
             u, v = (np.concatenate([x[j] for x in out]) for j in (0, 1))
@@ -183,10 +200,9 @@ def links(fps: DataFrame, of: Plan) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            k, part = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            new = (k, part, read(batch.column(2)))
-            changes = np.flatnonzero((k[1:] != k[:-1]) | (part[1:] != part[:-1]))
-            if held and (held[-1][0][-1] != k[0] or held[-1][1][-1] != part[0]):
+            new = (batch.column(0).to_numpy(zero_copy_only=False), read(batch.column(1)))
+            changes = np.flatnonzero(new[0][1:] != new[0][:-1])
+            if held and held[-1][0][-1] != new[0][0]:
                 yield from found()
             if not len(changes):
                 held.append(new)
@@ -198,8 +214,10 @@ def links(fps: DataFrame, of: Plan) -> DataFrame:
         if held:
             yield from found()
 
-    rows = fps.select("fp").mapInArrow(dealt, "k int, part long, fp binary")
-    return rows.repartition("k", "part").sortWithinPartitions("k", "part", "fp").mapInArrow(met, "u binary, v binary")
+    keyed = fps.select("fp").mapInArrow(dealt, "key long, id long")
+    shared = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1").select("key", "id")
+    rows = shared.join(fps.select("fp").mapInArrow(named, "id long, fp binary"), "id").select("key", "fp")
+    return rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(met, "u binary, v binary")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, seed: int = 42) -> DataFrame:
