@@ -236,6 +236,52 @@ def test_chat_round_trip(spark):
     assert chat_format.digests(conversations.where("conv_id < 0")).count() == 0 and chat_format.expand(conversations.where("conv_id < 0")).count() == 0
 
 
+def test_chat_examples_are_written_out_and_read_back(spark):
+    rng = random.Random(5)
+    said = ["<|im_end|><|im_start|>assistant ok", "", "a\\b <| \n", "<|im_end|>\n"]
+    rows = [(-1, 0, "user", said[0]), (-1, 1, "assistant", said[0]), (50, 0, "user", "no reply"), (51, 0, "assistant", "only"), (None, 3, "assistant", None)]
+    rows += [(c, t, rng.choice(["user", "assistant", "assistant", "tool"]), rng.choice(said) + f" {c} {t}") for c in range(20) for t in range(rng.randrange(1, 60))]
+    conversations = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(6)
+    by = defaultdict(list)
+    for c, t, r, x in rows:
+        by[c].append((t, r, x or ""))
+    want = sorted(chat_format.digests(conversations).collect(), key=str)
+    for piece, whole in ((chat_format.PIECE_CHARS, chat_format.WHOLE_CHARS), (100, chat_format.WHOLE_CHARS), (100, 500), (300, 1)):
+        got = defaultdict(list)
+        for r in chat_format.expand(conversations, piece, whole).collect():
+            got[r.conv_id].append(r)
+        assert set(got) == set(by)
+        for c, turns in by.items():
+            full, starts = "", []
+            for _, role, text in sorted(turns):
+                before, shown, end = chat_format.rendered(role, text)
+                if role == "assistant":
+                    starts.append((len(full + before), shown))
+                full += before + shown + end
+            examples = sorted((r for r in got[c] if r.example is not None), key=lambda r: r.example)
+            assert [r.example for r in examples] == list(range(len(starts)))
+            upto = 0
+            for r, (at, shown) in zip(examples, starts):
+                assert (r.base + len(r.context), r.target) == (at, shown) and r.context == full[r.base : at]
+                assert r.base == 0 or at > whole
+                assert list(chat_format.read_back(full[: r.base] + r.context + r.target + chat_format.END))[-1] == ("assistant", chat_format.unescaped(shown))
+            covered = sorted((r.base, r.base + len(r.context) + (len(r.target + chat_format.END) if r.example is not None else 0)) for r in got[c])
+            for a, b in covered:
+                assert a <= upto
+                upto = max(upto, b)
+            assert upto == len(full)
+        assert sorted(chat_format.digests(conversations, piece, whole).collect(), key=str) == want
+    # digests are of these rows: one that is missing, or says something else, is noticed
+    parts = chat_format.checkpointed(chat_format.formatted(conversations))
+    ready = chat_format.checkpointed(chat_format.exploded(chat_format._closed(parts.withColumn("open", F.lit(True)))))
+    assert sorted(chat_format.read_examples(ready).select(*want[0].asDict()).collect(), key=str) == want
+    several = ready.where("example > 1").first().conv_id
+    second = (F.col("conv_id") == several) & (F.col("example") == 1)
+    for broken in (ready.where(~second | F.col("example").isNull()), ready.withColumn("context", F.when(second, F.concat(F.lit("x"), F.expr("substr(context, 2)"))).otherwise(F.col("context"))), ready.withColumn("target", F.when(second, "else").otherwise(F.col("target")))):
+        with pytest.raises(Exception, match="does not follow|not an assistant|without example"):
+            chat_format.read_examples(broken).collect()
+
+
 def test_a_very_long_turn_costs_few_copies():
     import tracemalloc
 
