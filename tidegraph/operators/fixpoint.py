@@ -11,13 +11,14 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.operators.shared import checkpointed
+from tidegraph.operators.shared import Pieces, checkpointed, shuffles_dropped, small, span
 
 #: Blocks of a unit that one task solves.
 GROUP = 20_000
@@ -175,18 +176,40 @@ def closure(edges: DataFrame, seeds: DataFrame, most_rounds: int = 10_000) -> Da
     raise RuntimeError(f"no fixpoint within {most_rounds} rounds")
 
 
-def and_closure(rules: DataFrame, seeds: DataFrame, most_rounds: int = 10_000) -> DataFrame:
-    """node: what follows from seeds by rules (rule, premise, head), a rule and head firing when all their premises hold."""
-    rules = checkpointed(rules.select("rule", "premise", "head").distinct())  # read in every round
-    arity = checkpointed(rules.groupBy("rule", "head").agg(F.count(F.lit(1)).alias("arity")))
-    known = new = checkpointed(seeds.select("node").distinct())
-    held = arity.select("rule", "head", F.lit(0).cast("long").alias("held")).where("false")
-    for _ in range(most_rounds):  # only what is new is counted
-        met = rules.join(new, rules["premise"] == new["node"]).groupBy("rule", "head").agg(F.count(F.lit(1)).alias("held"))
-        held = checkpointed(held.unionByName(met).groupBy("rule", "head").agg(F.sum("held").alias("held")))
-        fired = held.join(arity, ["rule", "head"]).where("held = arity").select(F.col("head").alias("node")).distinct()
-        new = checkpointed(fired.join(known, "node", "left_anti"))
-        if new.isEmpty():
-            return known
-        known = checkpointed(known.union(new))
-    raise RuntimeError(f"no fixpoint within {most_rounds} rounds")
+def and_closure(rules: DataFrame, seeds: DataFrame, edges: DataFrame | None = None, most_rounds: int = 10_000) -> DataFrame:
+    """node: what follows from seeds by rules (rule, premise, head), a rule and head firing when all their premises hold.
+
+    edges (premise, head) are rules of one premise each, and need no name. Neither is copied: both are read in the rounds that find
+    nodes within the range of their premises, so what is costly to derive should be a checkpoint. Copies of rows do no harm.
+    A rule's premises are looked up together, so no counts are kept from round to round.
+    """
+    rules = rules.select("rule", "premise", "head")
+    edges = None if edges is None else edges.select("premise", "head")
+    spark, known = rules.sparkSession, Pieces()
+    with shuffles_dropped(spark):
+        new = checkpointed(seeds.select("node").distinct())
+        asked, fires = span(rules, "premise"), span(rules, "head")
+        for _ in range(most_rounds):
+            found = known.add(new)
+            made, heads = [], []
+            if edges is not None and found.low is not None:
+                near = edges.where(F.col("premise").between(found.low, found.high))
+                if (goes := span(near, "head")).rows:
+                    made.append(near.join(small(new, found.rows), near["premise"] == new["node"]).select(F.col("head").alias("node")))
+                    heads.append(goes)
+            if asked.low is not None and found.meets(asked):
+                held = known.meeting(asked).select(F.col("node").alias("premise"), F.lit(True).alias("held"))
+                fired = rules.join(held, "premise", "left").groupBy("rule", "head").agg(F.min(F.coalesce("held", F.lit(False))).alias("fires")).where("fires")
+                made.append(fired.select(F.col("head").alias("node")))
+                heads.append(fires)
+            if not made:
+                break
+            nodes = reduce(DataFrame.union, made).withColumn("had", F.lit(False))
+            had = known.meeting(*heads)
+            nodes = nodes if had is None else nodes.union(had.select("node", F.lit(True)))
+            new = checkpointed(nodes.groupBy("node").agg(F.max("had").alias("had")).where("not had").select("node"))
+            if new.isEmpty():
+                break
+        else:
+            raise RuntimeError(f"no fixpoint within {most_rounds} rounds")
+    return known.all()
