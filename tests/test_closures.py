@@ -6,7 +6,7 @@ from pathlib import Path
 
 import pytest
 
-from tidegraph.operators import fixpoint
+from tidegraph.operators import derivations, fixpoint
 from tidegraph.operators.shared import PIECES
 from tidegraph.plans import catalog
 
@@ -63,6 +63,43 @@ def test_and_closure_over_more_rounds_than_pieces(spark):
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
 
 
+def test_derived_nations_writes_less_than_its_tables(spark):
+    assert left_by(spark, "derived_nations") < os.path.getsize(f"{TABLES}/lineitem.parquet") + os.path.getsize(f"{TABLES}/orders.parquet")
+
+
+@pytest.mark.parametrize("n_values", [3, 200])
+def test_derived_values_of_several_blocks_and_carriers(spark, monkeypatch, n_values):
+    """Rules of one and of several carriers, with and without premises, nulls everywhere; values numbered by several tasks."""
+    monkeypatch.setattr(derivations, "NUMBERED", 90)
+    rng = random.Random(n_values)
+    nodes, vals = [*range(40), None], [*(f"{rng.choice('abc')}{i}" for i in range(n_values)), None]
+    tests = [("ANY", ""), ("NOT", vals[0]), ("NOT", vals[1]), ("NOT", "none of them"), ("NOT", None), ("PREFIX", "a"), ("PREFIX", ""), ("PREFIX", "zz"), ("PREFIX", None), (None, None)]
+    rules = [(rng.choice([f"r{i}", f"r{i}", None]), h, rng.choice(nodes), *rng.choice(tests)) for i in range(40) for h in [rng.choice(nodes)] for _ in range(rng.choice([1, 1, 2, 3]))]
+    premises = [(f"r{i}", rng.choice(nodes)) for i in range(0, 40, 3)]
+    seeds = [(n, v) for n in rng.sample(nodes[:-1], 20) for v in rng.sample(vals, 3)] + [(n, None) for n in rng.sample(nodes, 3)] + [(None, vals[0])]
+    held = set(seeds)
+    lets = lambda kind, arg, v: arg is not None and v is not None and (v != arg if kind == "NOT" else v.startswith(arg)) if kind in ("NOT", "PREFIX") else True
+    while True:
+        there = {n for n, _ in held if n is not None}
+        needs: dict = {}
+        for r, h, c, *_ in rules:
+            needs.setdefault((r, h), {p for q, p in premises if q == r}).add(c)
+        more = {(h, v) for r, h, c, kind, arg in rules if r is None or needs[r, h] <= there for n, v in held if n is not None and n == c and lets(kind, arg, v)}
+        if more <= held:
+            break
+        held |= more
+    frames = (spark.createDataFrame(x * 2, t) for x, t in ((rules, "rule string, head long, carrier long, kind string, arg string"), (premises, "rule string, premise long"), (seeds, "node long, val string")))
+    got = [tuple(r) for r in derivations.derived_values(*frames).collect()]
+    assert len(got) == len(set(got)) and set(got) == held and len(held) > len(set(seeds)) + 20
+
+
+def test_derived_values_without_rules(spark):
+    rules = spark.createDataFrame([], "rule string, head long, carrier long, kind string, arg string")
+    for seeds in ([], [(1, "a"), (1, None)]):
+        got = derivations.derived_values(rules, None, spark.createDataFrame(seeds, "node long, val string")).collect()
+        assert {tuple(r) for r in got} == set(seeds)
+
+
 def test_keys_without_a_node_stop_the_query(spark):
     keys = spark.createDataFrame([(-5,), (None,), (2**61 - 1,)], "k long")
     got = [[r[0] for r in keys.select(catalog._node(kind, "k").alias("node")).select(catalog._node_name("node")).collect()] for kind in "osp"]
